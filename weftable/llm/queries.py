@@ -7,19 +7,46 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftable.llm import byte_bpe
+from weftable.llm import byte_bpe, decontaminate, line_dedup, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"), threshold=10, min_chars=1)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op3_token_counts": op3_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_line_dedup": op8_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op8_line_dedup"] = r"""
+with lines as (
+  select doc_id, i, line, regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') as k
+  from (select doc_id, unnest(l) as line, unnest(range(1, len(l) + 1)) as i
+        from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents))
+), hot as (select k from lines where k <> '' group by k having count(distinct doc_id) >= 10)
+select doc_id, count(*) as n_lines, count(*) filter (where hot.k is not null) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (where hot.k is null), '')) as kept_sha256
+from lines left join hot on lines.k = hot.k group by doc_id
+""".replace("\\\\", "\\")
