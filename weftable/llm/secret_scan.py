@@ -132,8 +132,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Text is cut at its candidates once; only the candidates and CONTEXT characters beside them are shuffled, to add
     up offsets along each row."""
     text = F.col(f"`{text_col}`").cast("string")
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
+    text = F.col("text")
     pieces = F.transform(F.split(text, CANDIDATE, -1), lambda p: F.struct(F.length(p).alias("n"), F.right(p, F.lit(CONTEXT)).alias("tail"), F.left(p, F.lit(CONTEXT)).alias("head")))
-    found = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(F.arrays_zip(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("c"), pieces.alias("p"))).alias("pos", "z"))
+    found = slim.select("row", "doc_id", F.posexplode(F.arrays_zip(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("c"), pieces.alias("p"))).alias("pos", "z"))
     flat = found.select("row", "doc_id", "pos", F.col("z.c").alias("candidate"), "z.p.*").filter("not (pos = 0 and candidate is null)")
     along = Window.partitionBy("row").orderBy("pos")
     size = F.coalesce(F.length("candidate"), F.lit(0)).cast("bigint")
