@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 ARTICLE_URL = "https://en.wikipedia.org/api/rest_v1/page/html/"
 
@@ -81,13 +82,13 @@ def _decoded(m: re.Match) -> str:
         return m.group()
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def string_escape(s: pd.Series) -> pd.Series:
     """Byte escapes (\\n, \\x41, octal) to their bytes."""
     return s.map(_string_escape, na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unicode_escape(s: pd.Series) -> pd.Series:
     """Character escapes (\\n, \\u0041) to their characters."""
     return s.map(_unicode_escape, na_action="ignore")
