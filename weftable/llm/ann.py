@@ -10,14 +10,14 @@ Largest inner product becomes smallest distance by one more coordinate, sqrt(M²
 queries, M being the largest norm.
 
 Distribution. The upper levels of the kd-tree are cut on a sample of SAMPLE projections (a documented bound);
-every vector is then in one cell, and a cell is one group. A query first goes to its home cell, which gives it a
-first k-th distance, then to those other cells that the stopping test does not rule out; inside a cell, leaves
-are visited in order of projected distance under the same test. Equal vectors are one entry that keeps the k + 1
+every vector is then in one cell, and a cell is one group. A query first goes to its NEAR nearest cells, which give
+it a first k-th distance, then to those other cells that the stopping test does not rule out; inside a cell, leaves
+are visited in order of projected distance under the same test. A cell answers a query in one row. Equal vectors are one entry that keeps the k + 1
 smallest ids (with ties to smaller ids, others can't be in any answer), so a very common vector is one row.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do
 those of another length than the most common one; null ids take no part; fewer candidates than k give all of
-them; repeated ids are rows of their own; ties go to the smaller id; an empty table gives an empty table.
+them; rows that repeat an id are queries and candidates of their own; ties go to the smaller id; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ SAMPLE = 20_000
 CELL_ROWS, LEVELS = 1024, 12
 #: Queries whose distances to all cells are held at once.
 AT_ONCE = 256
+#: Cells that a query visits before it has a k-th distance.
+NEAR = 6
 
 
 def chi_square_quantile(p: float, k: int) -> float:
@@ -204,7 +206,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
 
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     entries = written(rows.withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ann-entries")
-    queries = written(rows.filter(is_query), "ann-queries")
+    queries = written(rows.filter(is_query).withColumn("row", F.monotonically_increasing_id()), "ann-queries")
     n, norm = entries.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
     levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(1, n) / cell_rows)))))
     span = 1 << 30
@@ -221,34 +223,36 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
 
     placed = entries.mapInArrow(place, "cell bigint, v array<double>, ids array<bigint>")
 
-    def home(batches):
-        c = shared.value
-        for b in batches:
-            q = matrix(b.column("v"))
-            at = np.concatenate([c.distances(c.project(q[i : i + AT_ONCE], True)).argmin(1) for i in range(0, len(q), AT_ONCE)])
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), b.column("id"), b.column("v"), pa.array(np.full(b.num_rows, np.inf))], names=["cell", "id", "v", "reach"])
-
-    def others(batches):
+    def asked_of(batches, first: bool):
         c = shared.value
         for whole in batches:
             for i in range(0, whole.num_rows, AT_ONCE):
                 b = whole.slice(i, AT_ONCE)
-                q, reach = matrix(b.column("v")), b.column("reach").to_numpy(zero_copy_only=False)
+                q = matrix(b.column("v"))
                 far = c.distances(c.project(q, True))
-                go = far <= stop * np.maximum(reach, 0)[:, None] * (1 + 1e-9) + 1e-12
-                go[np.arange(len(q)), far.argmin(1)] = False
+                near = np.zeros(far.shape, bool)
+                np.put_along_axis(near, np.argsort(far, 1, kind="stable")[:, :NEAR], True, 1)
+                if first:
+                    go, reach = near, np.full(len(q), np.inf)
+                else:
+                    kth = b.column("kth").to_numpy(zero_copy_only=False).astype(float)
+                    reach = np.where(np.isnan(kth), np.inf, (q * q).sum(1) + c.bound**2 - 2 * kth)
+                    go = (far <= stop * np.maximum(reach, 0)[:, None] * (1 + 1e-9) + 1e-12) & ~near
                 at, cell = np.nonzero(go)
                 if len(at):
                     take = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), b.column("id").take(take), b.column("v").take(take), pa.array(reach[at])], names=["cell", "id", "v", "reach"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), *(b.column(n).take(take) for n in ("row", "id", "v")), pa.array(reach[at])], names=["cell", "row", "id", "v", "reach"])
+
+    hit = pa.list_(pa.struct([("score", pa.float64()), ("other", pa.int64())]))
 
     def visit(entry: pa.Table, asked: pa.Table) -> pa.Table:
-        ids, out = asked.column("id").to_pylist(), {"id": [], "other": [], "score": [], "reach": []}
+        rows, ids, answers = [], [], []
         if entry.num_rows and asked.num_rows:
             c = shared.value
             x, members = matrix(entry.column("v")), entry.column("ids").to_pylist()
             every, reach = matrix(asked.column("v")), asked.column("reach").to_numpy()
-            for a in range(0, len(ids), 512):
+            who, own_ids = asked.column("row").to_pylist(), asked.column("id").to_pylist()
+            for a in range(0, len(who), 512):
                 q = every[a : a + 512]
                 for i, found in enumerate(search_cell(c, x, q, reach[a : a + 512], k, stop)):
                     s = scores(x[found], q[i])
@@ -257,27 +261,27 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
                     if not len(found):
                         continue
                     hits = sorted((-v, o) for f, v in zip(found.tolist(), s.tolist()) for o in members[f])
-                    own = (-float(scores(q[i : i + 1], q[i])[0]), ids[a + i])
+                    own = (-float(scores(q[i : i + 1], q[i])[0]), own_ids[a + i])
                     if own in hits:  # a query is no candidate of its own, once
                         hits.remove(own)
-                    hits = hits[:k]
-                    kth = float((q[i] * q[i]).sum()) + c.bound**2 + 2 * hits[k - 1][0] if len(hits) == k else np.inf
-                    for v, o in hits:
-                        out["id"].append(ids[a + i])
-                        out["other"].append(o)
-                        out["score"].append(-v)
-                        out["reach"].append(kth)
-        return pa.table({"id": pa.array(out["id"], pa.int64()), "other": pa.array(out["other"], pa.int64()), "score": pa.array(out["score"], pa.float64()), "reach": pa.array(out["reach"], pa.float64())})
-
-    asked, found = "cell bigint, id bigint, v array<double>, reach double", "id bigint, other bigint, score double, reach double"
-    near = placed.groupBy("cell").cogroup(queries.mapInArrow(home, asked).groupBy("cell")).applyInArrow(visit, found)
-    if levels:
-        near = written(near, "ann-home")
-        known = queries.join(near.groupBy("id").agg(F.min("reach").alias("reach")), "id", "left").select("id", "v", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
-        more = placed.groupBy("cell").cogroup(known.mapInArrow(others, asked).groupBy("cell")).applyInArrow(visit, found)
+                    if hits:
+                        rows.append(who[a + i])
+                        ids.append(own_ids[a + i])
+                        answers.append([{"score": -v, "other": o} for v, o in hits[:k]])
+        return pa.table({"row": pa.array(rows, pa.int64()), "id": pa.array(ids, pa.int64()), "hits": pa.array(answers, hit)})
+
+    asked, found = "cell bigint, row bigint, id bigint, v array<double>, reach double", "row bigint, id bigint, hits array<struct<score:double,other:bigint>>"
+    first = queries.mapInArrow(lambda b: asked_of(b, True), asked)
+    near = placed.groupBy("cell").cogroup(first.groupBy("cell")).applyInArrow(visit, found)
+    if 1 << levels > NEAR:
+        near = written(near, "ann-near")
+        kth = F.get(F.reverse(F.array_sort(F.flatten(F.collect_list("hits.score")))), F.lit(k - 1))
+        known = queries.join(near.groupBy("row").agg(kth.alias("kth")), "row", "left").select("row", "id", "v", "kth")
+        more = placed.groupBy("cell").cogroup(known.mapInArrow(lambda b: asked_of(b, False), asked).groupBy("cell")).applyInArrow(visit, found)
         near = near.unionByName(more)
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("id").alias("query_id"), "rank", F.col("other").alias(id_col), "score")
+    each = near.select("row", "id", F.explode("hits").alias("h")).select("row", "id", "h.score", "h.other")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "other")
+    return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("id").alias("query_id"), "rank", F.col("other").alias(id_col), "score")
 
 
 def report(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

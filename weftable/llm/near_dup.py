@@ -11,12 +11,13 @@ SHINGLE words (the whole sequence if it has fewer). Two documents are linked if
    compared by 512 more minima; what may reach the threshold (est >= CUT, 4.5 standard deviations below it) is
    confirmed on the full sets. Components of these links follow.
 3. Only pairs of one bucket that lie in different components are still open. They are compared block by block
-   (at most BLOCK members against BLOCK), each pair in its first common bucket only, confirmed likewise, and the
-   components taken again. So no bucket's pairs are all emitted, no bucket is collected by one task, and none of
+   (at most BLOCK members against BLOCK), each pair in its first common bucket only: by their sketches, then by
+   their whole sets at 32 bits a shingle, which bound the overlap from above. What passes is confirmed likewise,
+   and the components taken again. So no bucket's pairs are all emitted, no bucket is collected by one task, and none of
    its pairs goes unseen. The work of this step grows with a bucket's members outside its largest component.
 
 Defined results: texts that are null or have no words have n_shingles 0 and are alone; a null doc_id takes no
-part (component_id null, kept true); rows of one doc_id are linked by it; ties of equal similarity are links
+part (component_id null, kept true); rows that share a doc_id are each judged by their own text; ties of equal similarity are links
 alike; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -97,18 +98,19 @@ def gram_hashes_of(m: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
-    """node, n, sketch (the low bytes of SKETCH minima), items (the set)."""
+    """node, n, sketch (the low bytes of SKETCH minima), low (the set's distinct low halves), items (the set)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, sketch, items = [], [], []
+        n, sketch, low, items = [], [], [], []
         for text in utf8(batch.column("text")):
             _, x = shingle_set(text, shingle)
             n.append(len(x))
             sketch.append(minima(x, _SKETCHING).astype(np.uint8).tobytes() if len(x) else None)
+            low.append(np.unique(x.astype(np.uint32)).tobytes())
             items.append(x.view(np.int64))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(items, pa.list_(pa.int64()))], names=["node", "n", "sketch", "items"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(low, pa.binary()), pa.array(items, pa.list_(pa.int64()))], names=["node", "n", "sketch", "low", "items"])
 
-    return map_blocks(docs, "text", run, "node bigint, n bigint, sketch binary, items array<bigint>")
+    return map_blocks(docs, "text", run, "node bigint, n bigint, sketch binary, low binary, items array<bigint>")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,6 +118,17 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(-1) - 1 / 256) / (1 - 1 / 256)
 
 
+def may_reach(a: np.ndarray, na: int, others: list[np.ndarray], nb: np.ndarray) -> np.ndarray:
+    """Whether a set can reach the threshold with each of the others. Sets are given by their distinct low halves,
+    a and others, and their sizes; shingles that share a low half count as common, so no link is ruled out."""
+    sizes = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(a, flat), len(a) - 1)
+    both = np.add.reduceat((a[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    both += np.minimum(na - len(a), nb - sizes)
+    return 100 * both >= PERCENT * (na + nb - both)
+
+
 def may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose set sizes and sketches allow a link."""
     small = sets.select("node", "n", "sketch")
@@ -141,19 +154,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def open_pairs(members: DataFrame, label: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
-    """(u, v): pairs of one bucket in different components that may be links by their sketches."""
+    """(u, v): pairs of one bucket in different components that may be links by their sketches and low halves."""
     m = members.join(label, members.node == label.node, "left").select("band", members.node, F.coalesce("component", members.node).alias("comp")).distinct()
     m = written(m, "bucket-components")
     part = m.groupBy("band", "comp").agg(F.count("*").alias("k"))
     wide = part.groupBy("band").agg(F.max("k").alias("k"), F.sum("k").alias("size"), F.count("*").alias("parts")).filter("parts > 1").select("band", "k", "size")
     main = part.join(wide, ["band", "k"]).groupBy("band").agg(F.min("comp").alias("main"), F.first("size").alias("size"), F.first("k").alias("k"))
     main = written(main.select("band", "main", F.ceil(F.col("size") / BLOCK).alias("ways"), F.ceil((F.col("size") - F.col("k")) / BLOCK).alias("minor_ways")), "open-buckets")
-    info = sets.select("node", "n", "sketch").join(reps.select(F.col("doc_id").alias("node"), "bands"), "node")
+    info = sets.select("node", "n", "sketch", "low").join(reps.select(F.col("doc_id").alias("node"), "bands"), "node")
     rows = m.join(main, "band").join(info, "node")
     salt = F.pmod(F.xxhash64("node"), F.col("ways"))
     left = rows.filter("comp <> main").withColumn("i", F.pmod(F.xxhash64("node"), F.col("minor_ways"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ways") - 1)))
     right = rows.withColumn("j", salt).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("minor_ways") - 1)))
-    columns = ["band", "i", "j", "node", "comp", "main", "n", "sketch", "bands"]
+    columns = ["band", "i", "j", "node", "comp", "main", "n", "sketch", "low", "bands"]
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         us, vs = [], []
@@ -164,6 +177,7 @@ def open_pairs(members: DataFrame, label: DataFrame, sets: DataFrame, reps: Data
             size_a, size_b, main_ = a.column("n").to_numpy(), b.column("n").to_numpy(), a.column("main")[0].as_py()
             sa, sb = (np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH) for t in (a, b))
             ba, bb = (np.array(t.column("bands").to_pylist(), np.int64) for t in (a, b))
+            la, lb = ([np.frombuffer(x, np.uint32) for x in t.column("low").to_pylist()] for t in (a, b))
             for i in range(len(an)):
                 # a pair of two minor members meets twice, once from each side: the larger node's side counts
                 ok = (bc != ac[i]) & ((bc == main_) | (bn < an[i])) & (100 * np.minimum(size_b, size_a[i]) >= PERCENT * np.maximum(size_b, size_a[i]))
@@ -173,6 +187,8 @@ def open_pairs(members: DataFrame, label: DataFrame, sets: DataFrame, reps: Data
                 if len(at):
                     same = bb[at] == ba[i]
                     at = at[bb[at, same.argmax(1)] == band]  # the first common bucket
+                if len(at):
+                    at = at[may_reach(la[i], int(size_a[i]), [lb[j] for j in at.tolist()], size_b[at])]
                     us += [an[i]] * len(at)
                     vs += bn[at].tolist()
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
