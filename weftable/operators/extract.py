@@ -12,7 +12,6 @@ substitute header row once, names a cell's column by where it lands, and lets a
 
 from __future__ import annotations
 
-import json
 import re
 from collections import Counter
 
@@ -189,12 +188,12 @@ def extract_article(html: str, mode: str = "reference", dedupe: bool = False) ->
         for m, table in enumerate(tables):
             if len(table.select("table")) > 1:
                 continue
+            markup, caption = table.html(), " ".join(c.text() for c in table.select("caption")).strip()
             try:
                 for sub, rows in enumerate(sub_tables(table, mode)):
-                    laid = lay_out(rows, mode)
-                    found.append({"table_ord": m, "sub_id": sub, "caption": " ".join(c.text() for c in table.select("caption")).strip(), "markup": table.html(), **laid})
+                    found.append({"table_ord": m, "sub_id": sub, "caption": caption, "markup": markup, **lay_out(rows, mode)})
             except LayoutError as e:
-                out["errors"].append({"section_ord": n, "section": name, "table_ord": m, "reason": str(e), "html": table.html()})
+                out["errors"].append({"section_ord": n, "section": name, "table_ord": m, "reason": str(e), "html": markup})
         out["sections"].append({"section_ord": n, "section": name, "tables": found})
     return out
 
@@ -232,6 +231,20 @@ def extract(pages: DataFrame, html_col: str = "html", mode: str = "reference", d
     return slim.mapInArrow(run, schema).select(*[F.col("page").getField(c).alias(c) for c in keep], *arrow.names)
 
 
-def article_json(article: dict) -> str:
-    """ASCII JSON of an article as plain Python data."""
-    return json.dumps(article, ensure_ascii=True)
+def page_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """A row per link of each page, in or out of tables: pos, structured (its title, or empty) and anchor (its text)."""
+    keep = [c for c in pages.columns if c != html_col]
+    slim = pages.select(F.col(f"`{html_col}`").cast("string").alias("html"), F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_")).alias("page"))
+    kind = f"array<{schemas.LINK}>"
+    arrow = _arrow_schema(f"links {kind}")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                rows = [{"links": [{"structured": a.attrs.get("title", ""), "anchor": a.text()} for a in parse(h or "").select("a")]} for h in part.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("page"), *pa.RecordBatch.from_pylist(rows, schema=arrow).columns], names=["page", "links"])
+
+    schema = StructType([slim.schema["page"], *StructType.fromDDL(f"links {kind}")])
+    found = slim.mapInArrow(run, schema).select(*[F.col("page").getField(c).alias(c) for c in keep], F.posexplode("links").alias("pos", "l"))
+    return found.select(*keep, "pos", "l.structured", "l.anchor")

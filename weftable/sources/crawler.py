@@ -84,8 +84,8 @@ class ArticleSource(DataSource):
     def name(cls) -> str:
         return "articles"
 
-    def schema(self) -> StructType:
-        return StructType.fromDDL(SCHEMA)
+    def schema(self) -> str:
+        return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options, type(self).fetch)
