@@ -33,7 +33,7 @@ from weftable.llm.common import key_and_text, map_blocks, utf8, written
 from weftable.llm.components import components
 from weftable.llm.words import gram_hashes, word_hashes
 
-SHINGLE, PERCENT = 4, 80
+SHINGLE, PERCENT = 5, 80
 ROWS, BANDS = 4, 28
 SKETCH, CUT = 512, 0.72
 BLOCK = 512
