@@ -4,7 +4,7 @@ Base detectors run on the text itself. Then transducers rewrite disguises: homog
 to ASCII, invisible characters to nothing, spelled digits to digits, and disguised "at" and "dot" to "@" and ".".
 Each carries, for every character that it writes, the span of the source that it stands for, and transducers
 compose. The same detectors run on the result, and what they find is mapped back to the source. Only findings
-that contain a rewritten character and touch no base finding of their kind are added, so base findings stay.
+in which a character was rewritten or left out, and which touch no base finding of their kind, are added, so base findings stay.
 
 Offsets are code points, ends exclusive. Defined results: null text is empty (no findings); repeated rows give
 repeated results; an empty table gives an empty table; other columns are ignored.
@@ -92,11 +92,12 @@ _NUMBER = "(?:" + "|".join(_NUMBERS) + ")"
 #: At least three spelled digits in a row, with "plus" before and digits, "double" and "triple" among them.
 _SPELLED = re.compile(rf"\b(?:plus[ ,.-]{{1,3}})?(?:(?:double|triple)[ -]+)?{_NUMBER}(?:[ ,.-]{{1,3}}(?:(?:double|triple)[ -]+)?(?:{_NUMBER}|[0-9]+)){{2,}}\b", re.I)
 _SPELLED_TOKEN = re.compile(rf"plus|double|triple|{_NUMBER}|[0-9]+", re.I)
-_BOXED = re.compile(r"[ \t]*[\[({<][ \t]*(at|dot|@|\.)[ \t]*[\])}>][ \t]*", re.I)
+_BOXED = re.compile(r"(?<![ \t])[ \t]*[\[({<][ \t]*(at|dot|@|\.)[ \t]*[\])}>][ \t]*", re.I)
 _LABEL = r"[A-Za-z0-9-]+"
 _TOP = "(?:com|org|net|edu|gov|mil|int|io|ai|co|info|biz|app|dev|eu|us|uk|de|fr|es|it|nl|ch|se|dk|fi|pl|pt|ru|cn|jp|kr|br|mx|ca|au|nz|example|test|invalid|local)"
 #: "name at host dot com", with one spelled dot at least in the host and a common last label, for "at" and "dot" are words too.
-_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9._%+-]++[ \t]+dot[ \t]+)*[A-Za-z0-9._%+-]++(?:[ \t]+at[ \t]+|[ \t]*@[ \t]*){_LABEL}(?:\.{_LABEL})*(?:[ \t]+dot[ \t]+{_LABEL}(?:\.{_LABEL})*)*[ \t]+dot[ \t]+(?:{_LABEL}\.)*{_TOP}(?![A-Za-z0-9-])", re.I)
+#: At most eight spelled dots on either side of the "at", so that a long run of them costs linear time.
+_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9._%+-]++[ \t]+dot[ \t]+){{0,8}}[A-Za-z0-9._%+-]++(?:[ \t]+at[ \t]+|[ \t]*@[ \t]*){_LABEL}(?:\.{_LABEL})*(?:[ \t]+dot[ \t]+{_LABEL}(?:\.{_LABEL})*){{0,8}}[ \t]+dot[ \t]+(?:{_LABEL}\.)*{_TOP}(?![A-Za-z0-9-])", re.I)
 _SPOKEN_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|[ \t]+dot[ \t]+)[0-9]{1,3}){3}(?![0-9])", re.I)
 _SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[ \t]+@[ \t]+{_LABEL}(?:[ \t]*\.[ \t]*{_LABEL})+(?![A-Za-z0-9-])")
 _SPOKEN_TOKEN = re.compile(r"[ \t]+(at|dot)[ \t]+|[ \t]*(@)[ \t]*|[ \t]*(\.)[ \t]*", re.I)
@@ -202,7 +203,7 @@ def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     for a, kind, b in detect(m.text):
         # a rewritten separator at either end belongs to the neighbourhood, so ends are those of real characters
         start, end = m.starts[a], m.ends[b - 1]
-        if any(m.new[a:b]) and not any(k == kind and s < end and start < e for s, k, e in base):
+        if (any(m.new[a:b]) or end - start != b - a) and not any(k == kind and s < end and start < e for s, k, e in base):
             out.append((start, kind, end))
     return out
 
