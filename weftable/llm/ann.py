@@ -10,7 +10,8 @@ Largest inner product becomes smallest distance by one more coordinate, sqrt(M²
 queries, M being the largest norm.
 
 Distribution. The upper levels of the kd-tree are cut on a sample of SAMPLE projections (a documented bound);
-every vector is then in one cell, and a cell is one group. A query first goes to its NEAR nearest cells, which give
+every vector is then in one cell. A cell, or where cells are large a part of one, is a group that one task holds, while
+the queries that visit it stream past. A query first goes to its NEAR nearest cells, which give
 it a first k-th distance, then to those other cells that the stopping test does not rule out; inside a cell, leaves
 are visited in order of projected distance under the same test. A cell answers a query in one row. Equal vectors are one entry that keeps the k + 1
 smallest ids (with ties to smaller ids, others can't be in any answer), so a very common vector is one row.
@@ -22,11 +23,13 @@ them; rows that repeat an id are queries and candidates of their own; ties go to
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftable.llm.common import written
@@ -36,8 +39,11 @@ CONFIDENCE = 0.98
 LEAF = 256
 SAMPLE = 20_000
 CELL_ROWS, LEVELS = 1024, 12
+#: Vectors of a cell that one task holds, on average.
+PART_ROWS = 8192
 #: Queries whose distances to all cells are held at once.
 AT_ONCE = 256
+HITS = pa.list_(pa.struct([("score", pa.float64()), ("other", pa.int64())]))
 #: Cells that a query visits before it has a k-th distance.
 NEAR = 6
 
@@ -133,42 +139,67 @@ def leaves(p: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def search_cell(cells: Cells, x: np.ndarray, q: np.ndarray, reach: np.ndarray, k: int, stop: float) -> list[np.ndarray]:
-    """For each query, indices of a cell's vectors that may be among its k best: leaves are visited in order of
-    projected distance until the stopping test holds. reach: squared k-th distances known so far (inf: none)."""
-    p, pq = cells.project(x, False), cells.project(q, True)
-    tree = leaves(p)
-    low = np.stack([p[a].min(0) for a in tree])
-    high = np.stack([p[a].max(0) for a in tree])
-    gap = np.zeros((len(q), len(tree)))
-    for d in range(DIMS):
-        g = np.maximum(np.maximum(low[None, :, d] - pq[:, None, d], pq[:, None, d] - high[None, :, d]), 0)
-        gap += g * g
-    order = np.argsort(gap, 1, kind="stable")
-    width = k + 1
-    best = np.full((len(q), width), -np.inf)  # of inner products
-    who = np.full((len(q), width), -1)
-    norms = (q * q).sum(1) + cells.bound**2
-    live = np.arange(len(q))
-    for step in range(len(tree)):
-        kth = best[live, k - 1 if k - 1 < width else -1]
-        known = np.minimum(reach[live], norms[live] - 2 * kth)
-        nearest = gap[live, order[live, step]]
-        live = live[nearest <= stop * np.maximum(known, 0) * (1 + 1e-9) + 1e-12]
-        if not len(live):
-            break
-        leaf = order[live, step]
-        by = np.argsort(leaf, kind="stable")
-        cuts = np.flatnonzero(np.diff(leaf[by])) + 1
-        for rows in np.split(live[by], cuts):
-            at = tree[order[rows[0], step]]
-            s = q[rows] @ x[at].T
-            both = np.concatenate([best[rows], s], 1)
-            ids = np.concatenate([who[rows], np.broadcast_to(at, (len(rows), len(at)))], 1)
-            top = np.argsort(-both, 1, kind="stable")[:, :width]
-            best[rows] = np.take_along_axis(both, top, 1)
-            who[rows] = np.take_along_axis(ids, top, 1)
-    return [w[w >= 0] for w in who]
+class Cell:
+    """The vectors of a cell (or a part of one), with the lower levels of the kd-tree over them."""
+
+    def __init__(self, cells: Cells, x: np.ndarray, ids: list[list[int]]) -> None:
+        self.cells, self.x, self.ids = cells, x, ids
+        p = cells.project(x, False)
+        self.tree = leaves(p)
+        self.low = np.stack([p[a].min(0) for a in self.tree])
+        self.high = np.stack([p[a].max(0) for a in self.tree])
+
+    def search(self, q: np.ndarray, reach: np.ndarray, k: int, stop: float) -> list[np.ndarray]:
+        """For each query, indices of the vectors that may be among its k best: leaves are visited in order of
+        projected distance until the stopping test holds. reach: squared k-th distances known so far (inf: none)."""
+        pq = self.cells.project(q, True)
+        gap = np.zeros((len(q), len(self.tree)))
+        for d in range(DIMS):
+            g = np.maximum(np.maximum(self.low[None, :, d] - pq[:, None, d], pq[:, None, d] - self.high[None, :, d]), 0)
+            gap += g * g
+        order = np.argsort(gap, 1, kind="stable")
+        width = k + 1
+        best = np.full((len(q), width), -np.inf)  # of inner products
+        who = np.full((len(q), width), -1)
+        norms = (q * q).sum(1) + self.cells.bound**2
+        live = np.arange(len(q))
+        for step in range(len(self.tree)):
+            known = np.minimum(reach[live], norms[live] - 2 * best[live, k - 1])
+            nearest = gap[live, order[live, step]]
+            live = live[nearest <= stop * np.maximum(known, 0) * (1 + 1e-9) + 1e-12]
+            if not len(live):
+                break
+            leaf = order[live, step]
+            by = np.argsort(leaf, kind="stable")
+            cuts = np.flatnonzero(np.diff(leaf[by])) + 1
+            for rows in np.split(live[by], cuts):
+                at = self.tree[order[rows[0], step]]
+                s = q[rows] @ self.x[at].T
+                both = np.concatenate([best[rows], s], 1)
+                ids = np.concatenate([who[rows], np.broadcast_to(at, (len(rows), len(at)))], 1)
+                top = np.argsort(-both, 1, kind="stable")[:, :width]
+                best[rows] = np.take_along_axis(both, top, 1)
+                who[rows] = np.take_along_axis(ids, top, 1)
+        return [w[w >= 0] for w in who]
+
+    def answers(self, asked: pa.RecordBatch, k: int, stop: float) -> pa.RecordBatch:
+        """row, id and hits of the queries that find something here."""
+        rows, ids, answers = [], [], []
+        q, reach = matrix(asked.column("v")), asked.column("reach").to_numpy(zero_copy_only=False)
+        who, own_ids = asked.column("row").to_pylist(), asked.column("id").to_pylist()
+        for i, found in enumerate(self.search(q, reach, k, stop)):
+            s = scores(self.x[found], q[i])
+            near = (q[i] * q[i]).sum() + self.cells.bound**2 - 2 * s <= reach[i] * (1 + 1e-9) + 1e-9
+            found, s = found[near], s[near]
+            hits = sorted((-v, o) for f, v in zip(found.tolist(), s.tolist()) for o in self.ids[f])
+            own = (-float(scores(q[i : i + 1], q[i])[0]), own_ids[i])
+            if own in hits:  # a query is no candidate of its own, once
+                hits.remove(own)
+            if hits:
+                rows.append(who[i])
+                ids.append(own_ids[i])
+                answers.append([{"score": -v, "other": o} for v, o in hits[:k]])
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(answers, HITS)], names=["row", "id", "hits"])
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -202,8 +233,6 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     d = max(lengths, key=lambda x: (lengths[x], x))
     rows = rows.filter(F.size("v") == d)
     # equal vectors: one entry with the k + 1 smallest ids, found below each task first
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     entries = written(rows.withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ann-entries")
     queries = written(rows.filter(is_query).withColumn("row", F.monotonically_increasing_id()), "ann-queries")
@@ -221,7 +250,9 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
             home = c.cell(c.project(matrix(b.column("v")), False))
             yield pa.RecordBatch.from_arrays([pa.array(home, pa.int64()), b.column("v"), b.column("ids")], names=["cell", "v", "ids"])
 
-    placed = entries.mapInArrow(place, "cell bigint, v array<double>, ids array<bigint>")
+    # a cell of more than PART_ROWS vectors is dealt to several tasks, each of which its queries ask
+    parts = max(1, -(-n // (PART_ROWS << levels)))
+    placed = entries.mapInArrow(place, "cell bigint, v array<double>, ids array<bigint>").withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)))
 
     def asked_of(batches, first: bool):
         c = shared.value
@@ -243,41 +274,40 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
                     take = pa.array(at)
                     yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), *(b.column(n).take(take) for n in ("row", "id", "v")), pa.array(reach[at])], names=["cell", "row", "id", "v", "reach"])
 
-    hit = pa.list_(pa.struct([("score", pa.float64()), ("other", pa.int64())]))
-
-    def visit(entry: pa.Table, asked: pa.Table) -> pa.Table:
-        rows, ids, answers = [], [], []
-        if entry.num_rows and asked.num_rows:
-            c = shared.value
-            x, members = matrix(entry.column("v")), entry.column("ids").to_pylist()
-            every, reach = matrix(asked.column("v")), asked.column("reach").to_numpy()
-            who, own_ids = asked.column("row").to_pylist(), asked.column("id").to_pylist()
-            for a in range(0, len(who), 512):
-                q = every[a : a + 512]
-                for i, found in enumerate(search_cell(c, x, q, reach[a : a + 512], k, stop)):
-                    s = scores(x[found], q[i])
-                    near = (q[i] * q[i]).sum() + c.bound**2 - 2 * s <= reach[a + i] * (1 + 1e-9) + 1e-9
-                    found, s = found[near], s[near]
-                    if not len(found):
-                        continue
-                    hits = sorted((-v, o) for f, v in zip(found.tolist(), s.tolist()) for o in members[f])
-                    own = (-float(scores(q[i : i + 1], q[i])[0]), own_ids[a + i])
-                    if own in hits:  # a query is no candidate of its own, once
-                        hits.remove(own)
-                    if hits:
-                        rows.append(who[a + i])
-                        ids.append(own_ids[a + i])
-                        answers.append([{"score": -v, "other": o} for v, o in hits[:k]])
-        return pa.table({"row": pa.array(rows, pa.int64()), "id": pa.array(ids, pa.int64()), "hits": pa.array(answers, hit)})
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors of a part come first and are held; queries follow and stream."""
+        held: list[pa.RecordBatch] = []
+        cell = None
+        for b in batches:
+            is_query = b.column("is_query")
+            mine, others = b.filter(pc.invert(is_query)), b.filter(is_query)
+            if mine.num_rows:
+                if cell is not None:
+                    raise RuntimeError("a vector after a query")
+                held.append(mine.select(["v", "ids"]))
+            if others.num_rows and held:
+                if cell is None:
+                    x = pa.Table.from_batches(held)
+                    cell = Cell(shared.value, matrix(x.column("v")), x.column("ids").to_pylist())
+                for a in range(0, others.num_rows, 512):
+                    out = cell.answers(others.slice(a, 512), k, stop)
+                    if out.num_rows:
+                        yield out
+
+    def meet(asked_: DataFrame) -> DataFrame:
+        asks = asked_.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("bigint")) if parts > 1 else asked_.withColumn("part", F.lit(0).cast("bigint"))
+        both = placed.withColumn("is_query", F.lit(False)).unionByName(asks.withColumn("is_query", F.lit(True)), allowMissingColumns=True)
+        dealt = both.repartition("cell", "part").sortWithinPartitions("cell", "part", "is_query")
+        return dealt.groupBy("cell", "part").applyInArrow(visit, found)
 
     asked, found = "cell bigint, row bigint, id bigint, v array<double>, reach double", "row bigint, id bigint, hits array<struct<score:double,other:bigint>>"
     first = queries.mapInArrow(lambda b: asked_of(b, True), asked)
-    near = placed.groupBy("cell").cogroup(first.groupBy("cell")).applyInArrow(visit, found)
+    near = meet(first)
     if 1 << levels > NEAR:
         near = written(near, "ann-near")
         kth = F.get(F.reverse(F.array_sort(F.flatten(F.collect_list("hits.score")))), F.lit(k - 1))
         known = queries.join(near.groupBy("row").agg(kth.alias("kth")), "row", "left").select("row", "id", "v", "kth")
-        more = placed.groupBy("cell").cogroup(known.mapInArrow(lambda b: asked_of(b, False), asked).groupBy("cell")).applyInArrow(visit, found)
+        more = meet(known.mapInArrow(lambda b: asked_of(b, False), asked))
         near = near.unionByName(more)
     each = near.select("row", "id", F.explode("hits").alias("h")).select("row", "id", "h.score", "h.other")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "other")
