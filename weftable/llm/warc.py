@@ -6,7 +6,8 @@ made by SQL expressions and written by Spark's text writer (record text, CR LF a
 file system that Spark can write works and a lost executor's files are committed once or not at all.
 
 Reading. Archives are read whole with `binaryFile`, are gzip (one member or one for each record) or plain, and
-are cut by Content-Length, never by searching. Archives are limited to ROWS pages when written here.
+are cut by Content-Length, never by searching. Archives written here hold as many pages as make FILE_BYTES of
+average payload, ROWS at most, so that one fits in a task's memory.
 
 Assembly. Request and metadata records join the capture that they are concurrent to, by its record id; they
 are grouped by capture, so each capture is one nested row. No payload is shuffled: digests and lengths are
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from weftable.llm.common import shared_path, written
 
-ROWS = 4000
+ROWS, FILE_BYTES = 4000, 64 << 20
 RECORD = "record_id string, type string, concurrent_to string, target_uri string, profile string, payload_bytes bigint, payload_digest string, declared_digest string, fields map<string,string>, payload binary"
 
 
@@ -71,8 +72,15 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return named.select(F.expr(f"concat(if(first_id is null, {response}, {revisit}), '\\r\\n', {request}, '\\r\\n', {metadata})").alias("value"))
 
 
-def write(pages: DataFrame, path: str, rows: int = ROWS, **columns) -> None:
+def rows_of(pages: DataFrame, html_col: str = "html") -> int:
+    """Pages of an archive."""
+    average = pages.agg(F.avg(F.octet_length(F.col(f"`{html_col}`")))).first()[0] or 0
+    return max(1, min(ROWS, int(FILE_BYTES / (average + 1000))))
+
+
+def write(pages: DataFrame, path: str, rows: int | None = None, **columns) -> None:
     """Writes pages as gzip archives of at most `rows` pages."""
+    rows = rows or rows_of(pages, columns.get("html_col", "html"))
     out = records(pages, **columns)
     out.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", rows).text(path)
 
