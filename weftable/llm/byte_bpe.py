@@ -32,7 +32,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: after it, the last plain space going with what follows. So each part can be encoded by itself.
 PARTS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Entries of a generation of the cache of parts; at most two generations live in a worker.
-CACHE = 400_000
+CACHE = 120_000
 #: Parts handled at once, so that the memory for one huge text stays bounded.
 PIECES = 1 << 16
 

@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Text bytes handed to Python at once; whole rows, so one longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weftable-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from weftable.sources.shared import shared_path, written
 
+__all__ = ["blocks", "key_and_text", "map_blocks", "shared_path", "text_udf", "utf8", "written"]
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Text bytes handed to Python at once; whole rows, so one longer text is a block of its own.
+BLOCK_BYTES = 8 << 20
 
 
 def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -64,6 +46,21 @@ def map_blocks(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.Recor
     return df.mapInArrow(run, schema)
 
 
+def text_udf(fn: Callable[[pa.Array], pa.Array], kind: str):
+    """A scalar UDF of a text column, given to fn as Arrow strings in slices of bounded size.
+
+    Only the texts go to Python: the other columns of the rows stay in the JVM."""
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+            made = [fn(b.column("text")) for b in blocks(batch, "text")]
+            yield made[0] if len(made) == 1 else pa.concat_arrays(made)
+
+    return run
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """Whole texts as UTF-8 bytes."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

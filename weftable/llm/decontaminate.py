@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftable.llm.common import key_and_text, map_blocks, utf8
+from weftable.llm.common import key_and_text, map_blocks, text_udf, utf8
 from weftable.llm.words import gram_hashes, word_hashes
 
 WINDOW, K = 10, 6
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -56,58 +56,71 @@ def fingerprints(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[n
 
 
 class Index:
-    """Fingerprints and windows of a bounded block of benchmark items."""
+    """Fingerprints and windows of a bounded block of benchmark items, in arrays: some 40 bytes a word."""
 
     def __init__(self, items: list[tuple[object, bytes | None]]) -> None:
-        prints, windows = [], {}
+        self.words: list[bytes] = []  # of all items, one after another
+        self.names: list[str] = []
+        kept, spans, prints = {}, [], []
         for item, text in items:
             words = words_of(text)
-            if not words:
-                continue
-            name = "null" if item is None else str(item)
-            if len(words) < WINDOW:
-                windows.setdefault((len(words), b" ".join(words)), set()).add(name)
-                continue
-            prints.append(fingerprints(word_hashes(words))[1])
-            for i in range(len(words) - WINDOW + 1):
-                windows.setdefault((WINDOW, b" ".join(words[i : i + WINDOW])), set()).add(name)
+            if words:
+                spans.append((len(self.words), len(words)))
+                self.words += [kept.setdefault(w, w) for w in words]
+                self.names.append("null" if item is None else str(item))
+        h = word_hashes(self.words)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        of_length: dict[int, list[int]] = {}
+        for owner, (at, n) in enumerate(spans):
+            of_length.setdefault(min(n, WINDOW), []).append(owner)
+            if n >= WINDOW:
+                prints.append(fingerprints(h[at : at + n])[1])
+        for n, owners in of_length.items():
+            starts = np.concatenate([np.arange(spans[o][0], spans[o][0] + spans[o][1] - n + 1) for o in owners])
+            owner = np.repeat(owners, [spans[o][1] - n + 1 for o in owners])
+            a, b = gram_hashes(h, n)[starts], gram_hashes(~h, n)[starts]
+            # a window that an item repeats is one entry
+            _, first = np.unique(np.stack([a, b, owner.astype(np.uint64)], 1), axis=0, return_index=True)
+            first = first[np.argsort(a[first], kind="stable")]
+            self.windows[n] = a[first], starts[first], owner[first]
         self.prints = np.unique(np.concatenate(prints)) if prints else np.empty(0, np.uint64)
-        self.by_length: dict[int, dict[int, list[tuple[bytes, set[str]]]]] = {}
-        for (n, words), names in windows.items():
-            h = int(gram_hashes(word_hashes(words.split(b" ")), n)[0])
-            self.by_length.setdefault(n, {}).setdefault(h, []).append((words, names))
-        self.hashes = {n: np.array(sorted(d), np.uint64) for n, d in self.by_length.items()}
         # a first, cheap test of fingerprints: one bit for each value of their low 20 bits
         self.low = np.zeros(1 << 20, bool)
         self.low[(self.prints & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def find(self, words: list[bytes], h: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans (start, end) of the words that lie in occurrences of windows, and the items that have them."""
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
-        for n, known in self.hashes.items():
+        if not self.windows or not words:
+            return spans, items
+        h = word_hashes(words)
+        for n, (known, places, owners) in self.windows.items():
+            grams = gram_hashes(h, n)
             if n == WINDOW:
                 at, prints = fingerprints(h)
                 maybe = self.low[(prints & np.uint64((1 << 20) - 1)).astype(np.int64)]
                 at = at[maybe][member(prints[maybe], self.prints)]
                 if not len(at):
                     continue
-                grams = gram_hashes(h, n)
                 near = (at[:, None] - np.arange(WINDOW - K + 1)).ravel()
                 starts = np.unique(near[(near >= 0) & (near < len(grams))])
             else:
-                grams = gram_hashes(h, n)
                 starts = np.arange(len(grams))
             starts = starts[member(grams[starts], known)]
+            seen: dict[bytes, list[int]] = {}
             for i in starts.tolist():
-                here = b" ".join(words[i : i + n])
-                for window, names in self.by_length[n][int(grams[i])]:
-                    if window == here:
-                        items |= names
-                        if spans and i <= spans[-1][1] and i >= spans[-1][0]:
-                            spans[-1] = (spans[-1][0], max(spans[-1][1], i + n))
-                        else:
-                            spans.append((i, i + n))
+                here = words[i : i + n]
+                key = b" ".join(here)
+                if key not in seen:
+                    low, high = np.searchsorted(known, grams[i]), np.searchsorted(known, grams[i], "right")
+                    seen[key] = [e for e in range(low, high) if self.words[places[e] : places[e] + n] == here]
+                    items.update(self.names[owners[e]] for e in seen[key])
+                if seen[key]:
+                    if spans and spans[-1][0] <= i <= spans[-1][1]:
+                        spans[-1] = (spans[-1][0], max(spans[-1][1], i + n))
+                    else:
+                        spans.append((i, i + n))
         return merged(spans), items
 
 
@@ -173,7 +186,7 @@ def scan(slim: DataFrame, block, kind: str) -> DataFrame:
         index, n_words, n_hit, items, spans, digest = built[0], [], [], [], [], []
         for text in utf8(batch.column("text")):
             words = words_of(text)
-            found, names = index.find(words, word_hashes(words)) if index.hashes else ([], set())
+            found, names = index.find(words)
             n_words.append(len(words))
             n_hit.append(sum(b - a for a, b in found))
             items.append(sorted(names))
@@ -201,19 +214,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_clean(docs: DataFrame, block, text_col: str) -> DataFrame:
     built: list[Index] = []
-    names = docs.columns
-    slim = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(texts: pa.Array) -> pa.Array:
         if not built:
             built.append(Index(block.value))
-        keep = []
-        for text in utf8(batch.column("text")):
-            words = words_of(text)
-            keep.append(not (built[0].hashes and built[0].find(words, word_hashes(words))[0]))
-        return batch.select(["row"]).filter(pa.array(keep, pa.bool_()))
-
-    from pyspark.sql.types import StructField, StructType
+        return pa.array([not built[0].find(words_of(text))[0] for text in utf8(texts)], pa.bool_())
 
-    out = map_blocks(slim, "text", run, StructType([StructField("row", slim.schema["row"].dataType)]))
-    return out.select("row.*")
+    return docs.filter(text_udf(run, "boolean")(F.col(f"`{text_col}`").cast("string")))

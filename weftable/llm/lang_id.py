@@ -23,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
-from weftable.llm.common import key_and_text, map_blocks
+from weftable.llm.common import key_and_text, map_blocks, text_udf
 
 PER_LANG = 600
 BINS = 4096
@@ -176,15 +175,13 @@ def train(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, families: di
     return Model.fit(x, [r["lang"] for r in rows], families)
 
 
-def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score, from the text alone."""
-    names = docs.columns
-    slim = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+def _told(docs: DataFrame, model: Model, text_col: str) -> Column:
+    """A struct of lang_pred and score for each text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(column: pa.Array) -> pa.Array:
         m = shared.value
-        texts = batch.column("text").to_pylist()
+        texts = column.to_pylist()
         lang, score = ["und"] * len(texts), np.zeros(len(texts))
         ask = [i for i, t in enumerate(texts) if t and m.families and LETTER.search(t)]
         for k in range(0, len(ask), 512):
@@ -193,10 +190,21 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             score[part] = s
             for i, g in zip(part, got):
                 lang[i] = g
-        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lang, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], names=["lang_pred", "score"])
+
+    return text_udf(run, "lang_pred string, score double")(F.col(f"`{text_col}`").cast("string"))
+
+
+def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score, from the text alone; columns of docs by these names give way."""
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in names], F.lit(0)).alias("row"), _told(docs, model, text_col).alias("told"))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in names], "told.lang_pred", "told.score")
+
 
-    schema = StructType([StructField("row", slim.schema["row"].dataType)]).add("lang_pred", "string").add("score", "double")
-    return map_blocks(slim, "text", run, schema).select("row.*", "lang_pred", "score")
+def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose language can be told."""
+    return docs.filter(_told(docs, model, text_col)["lang_pred"] != "und")
 
 
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:

@@ -28,9 +28,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
-from weftable.llm.common import map_blocks, utf8, written
+from weftable.llm.common import map_blocks, text_udf, utf8, written
 
 SHARD_KEYS = 400_000
 BROADCAST_BYTES = 64 << 20
@@ -195,53 +194,44 @@ class LineStore:
                 pairs = np.stack([b.column(c).to_numpy() for c in ("k1", "k2")], 1).view(np.uint64)
                 yield b.select(["k1", "k2"]).filter(pa.array(ask.has(pairs)))
 
-        wrong = rare.select("k1", "k2").mapInArrow(claimed, "k1 bigint, k2 bigint").limit(limit // 64 + 1).collect()
-        if len(wrong) > limit // 64:
+        most = limit // 256  # entries of the list; each is some 100 bytes in a worker
+        wrong = rare.select("k1", "k2").mapInArrow(claimed, "k1 bigint, k2 bigint").limit(most + 1).toArrow()
+        if wrong.num_rows > most:
             return None
-        not_these = {(r["k1"] & (1 << 64) - 1).to_bytes(8, "big") + (r["k2"] & (1 << 64) - 1).to_bytes(8, "big") for r in wrong}
+        flat = np.stack([wrong.column(c).to_numpy() for c in ("k1", "k2")], 1).astype(">i8").tobytes()
+        not_these = {flat[i : i + 16] for i in range(0, len(flat), 16)}
         return sc.broadcast((shared.value, shards, not_these))
 
     def apply(self, docs: DataFrame, text_col: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
         """docs with n_lines, n_dropped and kept (the text without frequent lines; null where the text is null).
 
-        Exact for documents that the store counts.
+        Exact for documents that the store counts. Columns of docs by the names of the new ones give way.
         """
-        names, min_chars = docs.columns, self.min_chars
-        row = F.struct(*[F.col(f"`{c}`") for c in names])
-        slim = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), row.alias("row"))
-        extra = [("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())]
-        schema = StructType([StructField("row", slim.schema["row"].dataType)]).add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
-
-        def result(batch: pa.RecordBatch, drop) -> pa.RecordBatch:
-            lines_, dropped, kept = [], [], []
-            for i, text in enumerate(utf8(batch.column("text"))):
-                keys = line_keys(text, min_chars)
-                gone = drop(i, keys)
-                lines_.append(len(keys))
-                dropped.append(sum(gone))
-                if any(gone):
-                    text = b"\n".join(x for x, g in zip(text.split(b"\n"), gone) if not g)
-                kept.append(text)
-            return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lines_, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["row", *(n for n, _ in extra)])
-
-        if (found := self._broadcastable(limit)) is not None:
-            asked: list[Filters] = []
-
-            def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-                blobs, shards, not_these = found.value
-                if not asked:
-                    asked.append(Filters(blobs, shards))
-                keys = [line_keys(t, min_chars) for t in utf8(batch.column("text"))]
-                flat = [k for ks in keys for k in ks if k is not None]
-                hit = set() if not flat else {k for k, h in zip(flat, asked[0].has(as_pairs(flat)).tolist()) if h} - not_these
-                return result(batch, lambda i, ks: [k in hit for k in ks])
-
-            out = map_blocks(slim, "text", run, schema)
-        else:
-            out = self._joined(slim, result, schema)
-        return out.select("row.*", *(n for n, _ in extra))
+        made = ("n_lines", "n_dropped", "kept")
+        return self.judged(docs, text_col, limit).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in made], *made)
+
+    def judged(self, docs: DataFrame, text_col: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
+        """The same with the columns of docs in one column, row."""
+        text = F.col(f"`{text_col}`").cast("string")
+        slim = docs.select(text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        if (found := self._broadcastable(limit)) is None:
+            return self._joined(slim)
+        asked: list[Filters] = []
+        min_chars = self.min_chars
+
+        def run(column: pa.Array) -> pa.Array:
+            blobs, shards, not_these = found.value
+            if not asked:
+                asked.append(Filters(blobs, shards))
+            texts = utf8(column)
+            keys = [line_keys(t, min_chars) for t in texts]
+            flat = list({k for ks in keys for k in ks if k is not None})
+            hit = set() if not flat else {k for k, h in zip(flat, asked[0].has(as_pairs(flat)).tolist()) if h} - not_these
+            return without(texts, keys, [hit] * len(texts))
+
+        return _shown(slim.select("text", "row", text_udf(run, CHANGED)(F.col("text")).alias("made")))
 
-    def _joined(self, slim: DataFrame, result, schema) -> DataFrame:
+    def _joined(self, slim: DataFrame) -> DataFrame:
         """The way for stores beyond the limit: keys meet the exact table in a join."""
         min_chars = self.min_chars
         slim = slim.withColumn("digest", F.unhex(F.sha2("text", 256)))
@@ -261,13 +251,34 @@ class LineStore:
         asked = map_blocks(texts, "text", keys, "digest binary, k1 bigint, k2 bigint")
         frequent = self.counts.filter(F.col("n") >= self.threshold).select("k1", "k2")
         hits = asked.join(frequent, ["k1", "k2"]).groupBy("digest").agg(F.collect_list(F.struct("k1", "k2")).alias("hits"))
-        joined = slim.join(written(hits, "line-hits"), "digest", "left").drop("digest")
+        joined = slim.join(written(hits, "line-hits"), "digest", "left")
+
+        def run(column: pa.Array) -> pa.Array:
+            texts = utf8(column.field("text"))
+            hits = [{(h["k1"] & (1 << 64) - 1).to_bytes(8, "big") + (h["k2"] & (1 << 64) - 1).to_bytes(8, "big") for h in hs or ()} for hs in column.field("hits").to_pylist()]
+            return without(texts, [line_keys(t, min_chars) for t in texts], hits)
+
+        made = F.arrow_udf(run, CHANGED)(F.struct("text", "hits"))
+        return _shown(joined.select("text", "row", made.alias("made")))
+
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            hits = [{(h["k1"] & (1 << 64) - 1).to_bytes(8, "big") + (h["k2"] & (1 << 64) - 1).to_bytes(8, "big") for h in hs or ()} for hs in batch.column("hits").to_pylist()]
-            return result(batch, lambda i, ks: [k in hits[i] for k in ks])
+#: What Python says of a text: kept only where lines are gone.
+CHANGED = "n_lines bigint, n_dropped bigint, kept string"
 
-        return map_blocks(joined.select("text", "row", "hits"), "text", run, schema)
+
+def without(texts: list[bytes | None], keys: list[list[bytes | None]], hits: list[set[bytes]]) -> pa.Array:
+    """Texts without the lines whose keys are among their hits."""
+    dropped, kept = [], []
+    for text, ks, hit in zip(texts, keys, hits):
+        gone = [k in hit for k in ks] if hit else ()
+        dropped.append(sum(gone))
+        kept.append(b"\n".join(x for x, g in zip((text or b"").split(b"\n"), gone) if not g) if dropped[-1] else None)
+    return pa.StructArray.from_arrays([pa.array(map(len, keys), pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["n_lines", "n_dropped", "kept"])
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    """row, n_lines, n_dropped, kept."""
+    return df.select("row", "made.n_lines", "made.n_dropped", F.when(F.col("made.n_dropped") > 0, F.col("made.kept")).otherwise(F.col("text")).alias("kept"))
 
 
 class Filters:
@@ -294,6 +305,21 @@ def dedup_lines(docs: DataFrame, threshold: int = 10, min_chars: int = 1, text_c
     return LineStore(docs.sparkSession, threshold, min_chars).insert(docs, text_col).apply(docs, text_col)
 
 
+def without_lines(docs: DataFrame, threshold: int = 10, min_chars: int = 1, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """docs without their frequent lines, with the columns of docs; size_col, where there is one, follows the text."""
+    out = LineStore(docs.sparkSession, threshold, min_chars).insert(docs, text_col).judged(docs, text_col)
+
+    def column(c: str):
+        old = F.col("row").getField(c)
+        if c == text_col:
+            return F.col("kept").alias(c)
+        if c == size_col:
+            old = F.when(F.col("n_dropped") > 0, F.length("kept").cast(docs.schema[c].dataType)).otherwise(old)
+        return old.alias(c)
+
+    return out.select(*map(column, docs.columns))
+
+
 def report(docs: DataFrame, threshold: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     slim = docs.select(id_col, text_col)
     out = dedup_lines(slim, threshold, min_chars, text_col)

@@ -7,7 +7,7 @@ import xxhash
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Words whose hash a worker remembers; longer words are hashed anew each time.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 120_000, 64
 
 
 class _Words(dict):
