@@ -13,25 +13,26 @@ from pyspark.sql import functions as F
 from weftable.llm import byte_bpe, decontaminate, lang_id, line_dedup, near_dup
 from weftable.llm.common import written
 
+#: Words of a shingle in the near-dedup stage.
+SHINGLE = 5
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; null texts and texts without a letter go."""
     model = lang_id.train(docs, ~lang_id.held_out())
-    return lang_id.classify(docs, model).filter("lang_pred <> 'und'").select(*docs.columns)
+    return lang_id.identified(docs, model)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that ten documents or more have; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs, threshold=10, min_chars=1)
-    made = {"text": F.col("kept"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept").cast("bigint")).otherwise(F.col("n_chars"))}
-    return out.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+    return line_dedup.without_lines(docs, threshold=10, min_chars=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near-duplicates."""
-    found = near_dup.groups(docs)
+    found = near_dup.groups(docs, shingle=SHINGLE)
     gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id")
-    return docs.join(written(gone, "near-duplicates"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(written(gone, "near-duplicates"), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
