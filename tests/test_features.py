@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -107,3 +108,14 @@ def test_both_forms_of_segmentation(spark, kinds):
     a = [r["sub_id"] for r in R.segments(rows, F.col("k") == "h", F.col("k") == "d", ["t"], ["i"]).orderBy("i").collect()]
     flags = F.array(*[F.lit(k == "d") for k in kinds])
     assert a == one(spark, R.segments_of(flags))
+
+
+def test_segments_of_a_key_of_any_size(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, None, 2]), i, rng.choice("hdx")) for i in range(800)]
+    df = spark.createDataFrame(rows, "t int, i int, k string")
+    args = (F.col("k") == "h", F.col("k") == "d", ["t"], ["i"])
+    plain, spread = R.segments(df, *args), R.segments(df.repartition(3), *args, spread=True)
+    assert plain.columns == spread.columns
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, spread.collect()), key=str)
+    assert R.segments(df.limit(0), *args, spread=True).count() == 0

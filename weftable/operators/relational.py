@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftable.sources.shared import written
+
 TABLE_ID_BASE = 5_000_000
 
 
@@ -110,14 +112,36 @@ def num_columns(tables_: DataFrame) -> DataFrame:
     return tables_.withColumn("num_columns", F.coalesce("num_columns", F.lit(0)))
 
 
-def segments(rows: DataFrame, is_header: Column, is_data: Column, partition: list[str], order: list[str]) -> DataFrame:
+def segments(rows: DataFrame, is_header: Column, is_data: Column, partition: list[str], order: list[str], spread: bool = False) -> DataFrame:
     """Sub-table numbers of rows: one more at each header-only row that follows a data row.
 
-    Rows that are neither are dropped. Works over rows of any source, as a window of gaps and islands."""
+    Rows that are neither are dropped. Works over rows of any source, as a window of gaps and islands. spread: a key
+    may be of any size; its rows are cut into ranges of the order, and numbers are carried from range to range."""
+    kept = rows.withColumns({"_d": is_data, "_h": is_header}).filter("_d or _h").drop("_h")
+    if spread:
+        return _spread_segments(kept, partition, order)
     w = Window.partitionBy(*partition).orderBy(*order)
-    kept = rows.withColumns({"_d": is_data, "_h": is_header}).filter("_d or _h")
     begins = (~F.col("_d") & F.coalesce(F.lag("_d").over(w), F.lit(False))).cast("int")
-    return kept.withColumn("_b", begins).withColumn("sub_id", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_d", "_h", "_b")
+    return kept.withColumn("_b", begins).withColumn("sub_id", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_d", "_b")
+
+
+def _spread_segments(kept: DataFrame, partition: list[str], order: list[str]) -> DataFrame:
+    # ranges must be the same wherever they are read, so they are a table
+    ranges = written(kept.repartitionByRange(*partition, *order).withColumn("_range", F.spark_partition_id()), "segment-ranges")
+    w = Window.partitionBy("_range", *partition).orderBy(*order)
+    begins = (~F.col("_d") & F.coalesce(F.lag("_d").over(w), F.lit(False))).cast("int")
+    inside = ranges.withColumn("_b", begins).withColumn("_n", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # one row for each range of a key: what it begins and ends with, and how many numbers it takes
+    at = F.struct(*order)
+    edges = inside.groupBy("_range", *partition).agg(F.min_by("_d", at).alias("_first"), F.max_by("_d", at).alias("_last"), F.max("_n").alias("_all"))
+    along = Window.partitionBy(*partition).orderBy("_range")
+    joint = (~F.col("_first") & F.coalesce(F.lag("_last").over(along), F.lit(False))).cast("int")
+    carried = edges.withColumn("_joint", joint).withColumn("_before", F.sum(F.col("_joint") + F.col("_all")).over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_all"))
+    carried = carried.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(partition)], "_before")
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(partition):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return inside.join(carried, same).withColumn("sub_id", (F.col("_n") + F.col("_before")).cast("int")).select(*[c for c in kept.columns if c != "_d"], "sub_id")
 
 
 def segments_of(flags: Column) -> Column:

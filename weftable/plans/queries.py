@@ -247,7 +247,7 @@ def subtables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def subtable_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rule over rows of any table: sign-ups stand for header-only rows."""
-    found = R.segments(table(spark, sf_dir, "events"), F.col("event_type") == "signup", F.col("event_type") != "signup", ["user_id"], ["ts", "event_id"])
+    found = R.segments(table(spark, sf_dir, "events"), F.col("event_type") == "signup", F.col("event_type") != "signup", ["user_id"], ["ts", "event_id"], spread=True)
     return found.select("event_id", "user_id", "sub_id")
 
 
