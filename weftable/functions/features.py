@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftable.functions import text as T
+from weftable.sources.shared import written
 
 BINS = 10
 
@@ -118,7 +119,9 @@ def kl_divergence(df: DataFrame, a: Column, b: Column, *key: str, epsilon: float
 def table_features(df: DataFrame, key: str = "table_id", bins: int = BINS, decode: bool = False) -> DataFrame:
     """All features of tables, long form. df: key, table_caption, table_html, table_markup, columns, header."""
     long = coverage_features(token_coverage(df, key, bins=bins, decode=decode), key, bins=bins)
-    html, markup = T.strip_tags("table_html"), T.clean_markup("table_markup", decode)
+    # several features read the cleaned texts: they are made once
+    df = written(df.select(key, "table_markup", "columns", "header", T.strip_tags("table_html").alias("_html"), T.clean_markup("table_markup", decode).alias("_markup")), "table-texts")
+    html, markup = F.col("_html"), F.col("_markup")
     scalars = df.select(key, F.explode(F.create_map(
         F.lit("jacc"), jaccard(html, markup),
         F.lit("num_cols"), F.size("columns").cast("double"),
