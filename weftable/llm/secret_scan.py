@@ -1,13 +1,15 @@
 """Secret scanning with a random forest that removes false positives; DataFrame and SQL functions only.
 
-Candidates are runs of at least 12 key characters that hold a digit. Each is described by its length, its
+Candidates are runs of at least 12 key characters that hold a digit. "=" ends a name, so the value after it is a
+candidate of its own, of 6 characters at least; only as padding at the end of a value is it part of one. Each is described by its length, its
 character transitions, how much of it dictionary words cover, whether it or its surroundings look like a path,
 and the words beside it; a random forest trained on labelled findings gives the chance that it is a secret.
 
 labelled_findings() makes FINDINGS labelled findings (a documented bound) by hashing row numbers: keys of common
 kinds and random tokens in the contexts where they leak, against what scanners usually mistake for them:
 payment and phone numbers, host names, paths, versions, commit and checksum digests, UUIDs, placeholders and
-identifiers. train() takes any other table of (candidate, before, after, label) instead.
+identifiers. They are rendered as texts and cut out by candidates(), so that training and scan see the same contexts;
+names that become candidates beside them are labelled 0. train() takes any other table of (candidate, before, after, label) instead.
 
 Offsets are code points, end exclusive. Defined results: null or empty text has no candidates and gives no
 rows; a repeated document row gives its candidates again; a null doc_id is kept; an empty table gives an empty
@@ -21,8 +23,11 @@ from pyspark.sql import functions as F
 
 FINDINGS, TREES, DEPTH = 6000, 24, 6
 CONTEXT = 48
-_CHARS = r"A-Za-z0-9+/_=.\-"
-CANDIDATE = rf"(?<![{_CHARS}])(?=[A-Za-z+/_=.\-]*[0-9])[{_CHARS}]{{11,}}[A-Za-z0-9+/_=\-]"
+SHORTEST, SHORTEST_VALUE = 12, 6
+_CHARS = r"A-Za-z0-9+/_.\-"
+#: Padding is at most two "=" that neither a value nor an opening quote follows.
+_PADDING = rf"(?:={{1,2}}(?![{_CHARS}=]|[\"'`][^\s,;:.)\]}}>]))?"
+CANDIDATE = rf"(?<![{_CHARS}])(?=[A-Za-z+/_.\-]*[0-9])(?:[{_CHARS}]{{{SHORTEST - 1},}}|(?<==)[{_CHARS}]{{{SHORTEST_VALUE - 1},}})[A-Za-z0-9+/_\-]{_PADDING}"
 
 #: Kinds by shape, first match wins.
 KINDS = (
@@ -79,25 +84,28 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     b64 = "translate(base64(unhex(sha2(concat('{0}', id), 512))), '\\n', '')"
     pick = lambda salt, *xs: f"element_at(array({', '.join(repr(x) for x in xs)}), cast(pmod(xxhash64(id, {salt}), {len(xs)}) as int) + 1)"
     digits = "translate(substr(" + hashed + ", 1, 40), 'abcdef', '123456')"
-    leak = pick(1, 'token = "', "secret: ", "API_KEY=", 'password = "', "Authorization: Bearer ", "auth_token='", "access_key: ", 'client_secret="', "the token is ", "private_key = ", "credentials: ")
+    leak = pick(1, 'token = "', "secret: ", "API_KEY=", 'password = "', "Authorization: Bearer ", "auth_token='", "access_key: ", 'client_secret="', "the token is ", "private_key = ", "credentials: ", "AWS_SECRET_ACCESS_KEY=", 'my_api_token_v2 = "', "DB_PASSWORD_PROD_1=", "/login?api_key=", "&token=")
     bare = pick(2, "", " ", "see ", '= "', "value: ", "x = ", "set ", "- ")
     plain = pick(3, "the ", "of ", "and ", "le ", "der ", "", "with ", "number ", "que ", "in ")
     word = pick(4, "report", "index", "main", "user", "config", "article", "image", "template", "server", "data")
     word2 = pick(5, "page", "view", "list", "model", "service", "table", "summary", "file", "archive", "client")
     length = "cast(20 + pmod(xxhash64(id, 6), 24) as int)"
     quote = f"case when right(before, 1) in ('\"', \"'\") then right(before, 1) else {pick(7, ' ', '', '.', ' and', chr(10))} end"
+    part = pick(25, "", "", "img", "v", "p-", "item_")
     # kind -> (label, candidate, before)
     made = [
         (1, f"substr({hashed.format('a')}, 1, 40)", leak),
         (1, f"substr({hashed.format('b')}, 1, {length})", leak),
         (1, f"regexp_replace(substr({b64.format('c')}, 1, {length}), '[^A-Za-z0-9]', 'x7')", leak),
         (1, f"substr({b64.format('d')}, 1, {length})", leak),
-        (1, f"concat('AKIA', upper(translate(substr({hashed.format('e')}, 1, 16), '01', 'QZ')))", pick(8, "", "aws_access_key_id = ", '"', "key ", " ")),
+        (1, f"concat('AKIA', upper(translate(substr({hashed.format('e')}, 1, 16), '01', 'QZ')))", pick(8, "", "aws_access_key_id = ", "AWS_ACCESS_KEY_ID=", '"', "key ", " ")),
         (1, f"concat('ghp_', regexp_replace(substr({b64.format('f')}, 1, 36), '[^A-Za-z0-9]', 'k'))", pick(9, "", "token ", "https://", '"', " ")),
         (1, f"concat({pick(10, 'sk_live_', 'rk_live_', 'xoxb-', 'AIzaSy')}, regexp_replace(substr({b64.format('g')}, 1, 33), '[^A-Za-z0-9]', '4'))", bare),
         (1, f"regexp_replace(substr({b64.format('h')}, 1, {length}), '[^A-Za-z0-9]', 'Q3')", bare),
+        (1, f"substr(translate({b64.format('w')}, '+/', 'k4'), 1, cast(6 + pmod(xxhash64(id, 23), 9) as int))", pick(24, "password=", "DB_PASSWORD=", "secret=", "&token=", "passwd=", "API_KEY=", "auth=")),
+        (0, f"substr(concat({part}, {digits.format('x')}), 1, cast(6 + pmod(xxhash64(id, 26), 5) as int))", pick(27, "page=", "width=", "&id=", "utm_source=", "?v=", "lang=", "date=", "color=", "ref=")),
         (0, f"substr({digits.format('i')}, 1, 16)", plain),
-        (0, f"substr({digits.format('j')}, 1, cast(12 + pmod(xxhash64(id, 11), 8) as int))", pick(12, "card ", "phone: ", "order ", "", "invoice = ", "tel: +")),
+        (0, f"substr({digits.format('j')}, 1, cast(12 + pmod(xxhash64(id, 11), 8) as int))", pick(12, "card ", "phone: ", "order ", "", "invoice = ", "tel: +", "?id=", "&ref=")),
         (0, f"concat({word}, substr({digits.format('k')}, 1, 1), '.', {word2}, '.com')", pick(13, "http://", "@", "www.", "", "host ", "see ")),
         (0, f"concat('/', {word}, '/', {word2}, '/', substr({digits.format('l')}, 1, 4), '/index.html')", pick(14, 'href="', "https://example.com", "src=", "path ", "")),
         (0, f"concat({word}, '_', {word2}, '_', substr({digits.format('m')}, 1, 3))", pick(15, "", "import ", "call ", 'id="', "the ")),
@@ -111,7 +119,13 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     ]
     base = spark.range(rows, numPartitions=2).withColumn("kind", F.pmod("id", F.lit(len(made))))
     case = lambda i: "case kind " + " ".join(f"when {k} then {m[i]}" for k, m in enumerate(made)) + " end"
-    return base.select(F.expr(case(1)).alias("candidate"), F.expr(f"concat({pick(22, '', 'and the ', 'note: ', 'x;')}, {case(2)})").alias("before"), "id", F.expr(case(0)).cast("double").alias("label")).withColumn("after", F.expr(quote)).drop("id")
+    made_of = base.select("id", F.expr(case(1)).alias("planted"), F.expr(f"concat({pick(22, '', 'and the ', 'note: ', 'x;')}, {case(2)})").alias("before"), F.expr(case(0)).cast("double").alias("label"))
+    first, size = F.length("before"), F.length("planted")
+    texts = made_of.select(F.struct("id", "label", first.alias("from"), (first + size).alias("to")).alias("doc_id"), F.concat("before", "planted", F.expr(quote)).alias("text"))
+    met = (F.col("start") < F.col("doc_id.to")) & (F.col("end") > F.col("doc_id.from"))
+    rows_of = candidates(texts).withColumns({"id": F.col("doc_id.id"), "label": F.when(met, F.col("doc_id.label")).otherwise(0.0)})
+    # in one order, whatever the session's shuffle: the forest draws rows by position
+    return rows_of.coalesce(1).sortWithinPartitions("id", "start").select("candidate", F.col("left").alias("before"), "after", "label")
 
 
 def _assembled(df: DataFrame, c: Column, before: Column, after: Column) -> DataFrame:
@@ -134,10 +148,11 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH):
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, end, candidate, before, after: every candidate of whole texts, no Python involved.
+    """doc_id, start, end, candidate, before, after, left: every candidate of whole texts, no Python involved.
 
-    Text is cut at its candidates once; only the candidates and CONTEXT characters beside them are shuffled, to add
-    up offsets along each row."""
+    before and after reach to the neighbouring candidates at most; left is the CONTEXT characters of the text before
+    the candidate, whatever they are. Text is cut at its candidates once; only the candidates and CONTEXT characters
+    beside them are shuffled, to add up offsets and left sides along each row."""
     text = F.col(f"`{text_col}`").cast("string")
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
     text = F.col("text")
@@ -146,8 +161,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     flat = found.select("row", "doc_id", "pos", F.col("z.c").alias("candidate"), "z.p.*").filter("not (pos = 0 and candidate is null)")
     along = Window.partitionBy("row").orderBy("pos")
     size = F.coalesce(F.length("candidate"), F.lit(0)).cast("bigint")
-    placed = flat.withColumns({"end": F.sum(F.col("n") + size).over(along.rowsBetween(Window.unboundedPreceding, 0)), "after": F.lead("head").over(along)})
-    return placed.filter("candidate is not null").select("doc_id", (F.col("end") - size).alias("start"), "end", "candidate", F.col("tail").alias("before"), F.coalesce("after", F.lit("")).alias("after"))
+    # so many candidates of the shortest length fill CONTEXT; where a tail was cut, it fills CONTEXT alone
+    unit = F.concat("tail", F.right(F.coalesce("candidate", F.lit("")), F.lit(CONTEXT)))
+    passed = [F.coalesce(F.lag(unit, k).over(along), F.lit("")) for k in range(-(-CONTEXT // SHORTEST_VALUE), 0, -1)]
+    placed = flat.withColumns({"left": F.right(F.concat(*passed, "tail"), F.lit(CONTEXT)), "end": F.sum(F.col("n") + size).over(along.rowsBetween(Window.unboundedPreceding, 0)), "after": F.lead("head").over(along)})
+    return placed.filter("candidate is not null").select("doc_id", (F.col("end") - size).alias("start"), "end", "candidate", F.col("tail").alias("before"), F.coalesce("after", F.lit("")).alias("after"), "left")
 
 
 def scan(docs: DataFrame, model=None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,7 +176,7 @@ def scan(docs: DataFrame, model=None, threshold: float = 0.5, id_col: str = "doc
     kind = F.lit("generic")
     for name, pattern in reversed(KINDS):
         kind = F.when(F.col("candidate").rlike(pattern), F.lit(name)).otherwise(kind)
-    rows = _assembled(candidates(docs, id_col, text_col), F.col("candidate"), F.col("before"), F.col("after"))
+    rows = _assembled(candidates(docs, id_col, text_col), F.col("candidate"), F.col("left"), F.col("after"))
     scored = model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("f_chance").transform(rows)
     score = vector_to_array("f_chance")[1]
     out = scored.select(F.col("doc_id").alias(id_col), "start", "end", "candidate", kind.alias("kind"), F.round(score, 9).alias("score"))
