@@ -75,6 +75,13 @@ def test_disguises():
     assert disguise("at 192 dot 168 dot 0 dot 1 it") == [("ip", "192 dot 168 dot 0 dot 1")]
 
 
+def test_a_disguise_in_one_part_keeps_the_whole():
+    for text in ("jоhn@example.com", "john[dot]doe@example.com", "john@example.com[dot]au", "4111 1111 1111 1111"):
+        found = P.disguised(text, P.detect(text))
+        assert found == ([(0, 0, len(text))] if "@" in text else []), text
+    assert P.detect("jоhn@example.com") == [(2, 0, 16)]
+
+
 def test_clean_text_stays_clean():
     for t in ("We met at noon and looked at the dot on the map.", "One two three, said the man at the door.", "Привет, как дела? Это текст о котах.", "Rock (at) roll", "version 1.2.3 at 10 dot"):
         assert P.disguised(t, P.detect(t)) == [], t

@@ -4,7 +4,8 @@ Base detectors run on the text itself. Then transducers rewrite disguises: homog
 to ASCII, invisible characters to nothing, spelled digits to digits, and disguised "at" and "dot" to "@" and ".".
 Each carries, for every character that it writes, the span of the source that it stands for, and transducers
 compose. The same detectors run on the result, and what they find is mapped back to the source. Only findings
-in which a character was rewritten or left out, and which touch no base finding of their kind, are added, so base findings stay.
+in which a character was rewritten or left out, and which lie in no base finding of their kind, are added. Base findings
+stay, so where a disguise hides one end of a finding, its plain part and the whole stand beside each other.
 
 Offsets are code points, ends exclusive. Defined results: null text is empty (no findings); repeated rows give
 repeated results; an empty table gives an empty table; other columns are ignored.
@@ -190,7 +191,7 @@ def at_and_dot(m: Mapped) -> None:
 
 
 def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Findings of the deobfuscated text in source offsets, without those that base findings show."""
+    """Findings of the deobfuscated text in source offsets, without those that lie in a base finding of their kind."""
     odd = not text.isascii() and _ODD.search(text)
     if not odd and not _WORDY.search(text):
         return []
@@ -203,7 +204,7 @@ def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     for a, kind, b in detect(m.text):
         # a rewritten separator at either end belongs to the neighbourhood, so ends are those of real characters
         start, end = m.starts[a], m.ends[b - 1]
-        if (any(m.new[a:b]) or end - start != b - a) and not any(k == kind and s < end and start < e for s, k, e in base):
+        if (any(m.new[a:b]) or end - start != b - a) and not any(k == kind and s <= start and end <= e for s, k, e in base):
             out.append((start, kind, end))
     return out
 
