@@ -82,6 +82,15 @@ def test_a_disguise_in_one_part_keeps_the_whole():
     assert P.detect("jоhn@example.com") == [(2, 0, 16)]
 
 
+def test_few_spelled_digits():
+    for kind, text in (
+        ("ip", "one nine two dot one six eight dot zero dot one"), ("ip", "one nine two [dot] one six eight [dot] zero [dot] one"), ("ip", "one nine two.one six eight.zero.one"), ("ip", "192.168.0.one"), ("ip", "192 dot 168 dot zero dot 1"),
+        ("card", "4111 1111 1111 111 one"), ("card", "four 111 1111 1111 1111"), ("card", "4111.1111.1111.111.one"), ("phone", "+1 202 555 01 four two"), ("phone", "+1 (202) 555 014 two"), ("phone", "plus one 202 555 0142"),
+    ):
+        assert disguise(f"it is {text} today") == [(kind, text)], text
+    assert disguise("one 192[.]168[.]0[.]1 here") == [("ip", "192[.]168[.]0[.]1")]
+
+
 def test_clean_text_stays_clean():
     for t in ("We met at noon and looked at the dot on the map.", "One two three, said the man at the door.", "Привет, как дела? Это текст о котах.", "Rock (at) roll", "version 1.2.3 at 10 dot"):
         assert P.disguised(t, P.detect(t)) == [], t

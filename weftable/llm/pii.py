@@ -90,8 +90,12 @@ _GONE = frozenset("­᠎​‌‍⁠⁡⁢⁣﻿")
 _ODD = re.compile("[­·ıɑɡͰ-ϿЀ-ԯ٠-٩۰-۹०-९᠎ -₟℀-↏−①-⓿。＀-￯﻿\U0001d400-\U0001d7ff\U0001fbf0-\U0001fbf9]")
 _NUMBERS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _NUMBER = "(?:" + "|".join(_NUMBERS) + ")"
-#: At least three spelled digits in a row, with "plus" before and digits, "double" and "triple" among them.
-_SPELLED = re.compile(rf"\b(?:plus[ ,.-]{{1,3}})?(?:(?:double|triple)[ -]+)?{_NUMBER}(?:[ ,.-]{{1,3}}(?:(?:double|triple)[ -]+)?(?:{_NUMBER}|[0-9]+)){{2,}}\b", re.I)
+_SEP = r"[ ,.-]{1,3}"
+_TIMES = r"(?:(?:double|triple)[ -]+)?"
+_DIGITS = rf"{_TIMES}(?:{_NUMBER}|[0-9]++)"
+#: A run of spelled digits and digits, with "plus" before, "double" and "triple" among them, and a spoken "dot" beside it.
+_SPELLED = re.compile(rf"(?P<before>\bdot[ \t]+)?\b(?P<run>(?:plus{_SEP})?{_DIGITS}(?:{_SEP}{_DIGITS})*)\b(?=(?P<after>[ \t]+dot\b)?)", re.I)
+_ANY_NUMBER = re.compile(_NUMBER, re.I)
 _SPELLED_TOKEN = re.compile(rf"plus|double|triple|{_NUMBER}|[0-9]+", re.I)
 _BOXED = re.compile(r"(?<![ \t])[ \t]*[\[({<][ \t]*(at|dot|@|\.)[ \t]*[\])}>][ \t]*", re.I)
 _LABEL = r"[A-Za-z0-9-]+"
@@ -102,7 +106,7 @@ _SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9._%+-]++[ \t]+dot[ \t]
 _SPOKEN_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|[ \t]+dot[ \t]+)[0-9]{1,3}){3}(?![0-9])", re.I)
 _SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[ \t]+@[ \t]+{_LABEL}(?:[ \t]*\.[ \t]*{_LABEL})+(?![A-Za-z0-9-])")
 _SPOKEN_TOKEN = re.compile(r"[ \t]+(at|dot)[ \t]+|[ \t]*(@)[ \t]*|[ \t]*(\.)[ \t]*", re.I)
-_WORDY = re.compile(rf"[\[({{<][ \t]?(?:at|dot|@|\.)[ \t]?[\])}}>]|[ \t]dot[ \t]|[ \t]@[ \t]|\b{_NUMBER}[ ,.-]{{1,3}}(?:double[ -]|triple[ -])?(?:{_NUMBER}|[0-9])", re.I)
+_WORDY = re.compile(rf"[\[({{<][ \t]?(?:at|dot|@|\.)[ \t]?[\])}}>]|[ \t]dot[ \t]|[ \t]@[ \t]|\b(?:plus|{_NUMBER}){_SEP}{_TIMES}(?:{_NUMBER}|[0-9])|[0-9]{_SEP}{_TIMES}{_NUMBER}\b", re.I)
 
 
 class Mapped:
@@ -110,6 +114,11 @@ class Mapped:
 
     __slots__ = ("chars", "ends", "new", "starts")
 
+    def copy(self) -> Mapped:
+        m = Mapped("")
+        m.chars, m.starts, m.ends, m.new = list(self.chars), list(self.starts), list(self.ends), list(self.new)
+        return m
+
     def __init__(self, text: str) -> None:
         self.chars: list[str] = list(text)
         self.starts: list[int] = list(range(len(text)))
@@ -158,27 +167,39 @@ def homoglyphs(m: Mapped) -> None:
     m.rewrite(edits)
 
 
-def spelled_digits(m: Mapped) -> None:
-    edits = []
-    for found in _SPELLED.finditer(m.text):
-        times, last = 1, None
-        for t in _SPELLED_TOKEN.finditer(found.group()):
+def spelled_digits(m: Mapped, dots: bool = False) -> tuple[bool, bool]:
+    """Joins the runs that hold a spelled digit beside a digit, another or a spoken "plus" or "dot"; with dots, a separator
+    that holds a dot stays a dot. Whether there was a run, and whether there was such a separator."""
+    edits, dotted, text = [], False, m.text
+    for found in _SPELLED.finditer(text):
+        tokens = list(_SPELLED_TOKEN.finditer(text, *found.span("run")))
+        if not _ANY_NUMBER.search(text, *found.span("run")) or len(tokens) < 2 and not found["before"] and not found["after"]:
+            continue
+        times, head, last = 1, None, None
+        for t in tokens:
             word = t.group().lower()
             if word in ("double", "triple"):
-                times = 2 if word == "double" else 3
-                if last is not None:
-                    last[1] = found.start() + t.end()
+                times, head = 2 if word == "double" else 3, t.start()
                 continue
             by = "+" if word == "plus" else _NUMBERS.get(word, word) * times
-            times = 1
-            start = found.start() + t.start() if last is None else last[1]
-            last = [start, found.start() + t.end(), by]
+            start = t.start() if head is None else head
+            times, head = 1, None
+            if last is not None and last[2] != "+" and "." in text[last[1] : start]:
+                dotted = True
+                if dots:
+                    edits.append((last[1], start, "."))
+                    last = None
+            last = (start if last is None else last[1], t.end(), by)
             edits.append(last)
-    m.rewrite([tuple(e) for e in edits])
+    m.rewrite(edits)
+    return bool(edits), dotted
 
 
-def at_and_dot(m: Mapped) -> None:
+def boxed(m: Mapped) -> None:
     m.rewrite([(f.start(), f.end(), {"at": "@", "dot": "."}.get(f.group(1).lower(), f.group(1))) for f in _BOXED.finditer(m.text)])
+
+
+def at_and_dot(m: Mapped) -> None:
     for pattern in (_SPOKEN, _SPACED, _SPOKEN_IP):
         edits = []
         for f in pattern.finditer(m.text):
@@ -198,15 +219,30 @@ def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     m = Mapped(text)
     if odd:
         homoglyphs(m)
-    spelled_digits(m)
-    at_and_dot(m)
-    out = []
-    for a, kind, b in detect(m.text):
-        # a rewritten separator at either end belongs to the neighbourhood, so ends are those of real characters
-        start, end = m.starts[a], m.ends[b - 1]
-        if (any(m.new[a:b]) or end - start != b - a) and not any(k == kind and s <= start and end <= e for s, k, e in base):
+    boxed(m)
+    # spelled digits may be words, and a dot among them may part octets or groups of a number: each reading is looked at
+    readings = [m]
+    for dots in (False, True):
+        one = m.copy()
+        any_run, dotted = spelled_digits(one, dots)
+        if any_run:
+            readings.append(one)
+        if not dotted:
+            break
+    seen = set()
+    for one in readings:
+        at_and_dot(one)
+        for a, kind, b in detect(one.text):
+            # a rewritten separator at either end belongs to the neighbourhood, so ends are those of real characters
+            start, end = one.starts[a], one.ends[b - 1]
+            if (any(one.new[a:b]) or end - start != b - a) and not any(k == kind and s <= start and end <= e for s, k, e in base):
+                seen.add((start, kind, end))
+    out, reached = [], [0] * len(KINDS)
+    for start, kind, end in sorted(seen, key=lambda x: (x[0], -x[2])):  # of readings that hold one another, the widest
+        if end > reached[kind]:
+            reached[kind] = end
             out.append((start, kind, end))
-    return out
+    return sorted(out)
 
 
 def shown(spans: list[tuple[int, int, int]]) -> str:
