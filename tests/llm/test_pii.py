@@ -91,6 +91,17 @@ def test_few_spelled_digits():
     assert disguise("one 192[.]168[.]0[.]1 here") == [("ip", "192[.]168[.]0[.]1")]
 
 
+def test_wider_gates():
+    for text in ("john [ at ] example.com", "john [  at\t] example [   dot ] com", "name at example.com", "NAME AT EXAMPLE.COM", "jane dot doe at mail.example.co.uk", "name at host dot be", "name at host dot xyz", "name at host dot cz"):
+        assert disguise(f"write to: {text}, please") == [("email", text)], text
+    for text in ("We met at noon.It was late.", "He was at home.The end", "at least 1.5 of it", "version at 1.2.3"):
+        assert disguise(text) == [], text
+    for t in ("a at b." * 60_000, "a at " + "b." * 150_000 + "com-", "[" + " " * 200_000, "a at b.com" * 30_000):
+        began = time.process_time()
+        P.disguised(t, P.detect(t))
+        assert time.process_time() - began < 12, t[:10]
+
+
 def test_clean_text_stays_clean():
     for t in ("We met at noon and looked at the dot on the map.", "One two three, said the man at the door.", "Привет, как дела? Это текст о котах.", "Rock (at) roll", "version 1.2.3 at 10 dot"):
         assert P.disguised(t, P.detect(t)) == [], t

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weftable.llm.common import key_and_text, map_blocks
+from weftable.llm.top_level import TOP
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -99,14 +100,16 @@ _ANY_NUMBER = re.compile(_NUMBER, re.I)
 _SPELLED_TOKEN = re.compile(rf"plus|double|triple|{_NUMBER}|[0-9]+", re.I)
 _BOXED = re.compile(r"(?<![ \t])[ \t]*[\[({<][ \t]*(at|dot|@|\.)[ \t]*[\])}>][ \t]*", re.I)
 _LABEL = r"[A-Za-z0-9-]+"
-_TOP = "(?:com|org|net|edu|gov|mil|int|io|ai|co|info|biz|app|dev|eu|us|uk|de|fr|es|it|nl|ch|se|dk|fi|pl|pt|ru|cn|jp|kr|br|mx|ca|au|nz|example|test|invalid|local)"
-#: "name at host dot com", with one spelled dot at least in the host and a common last label, for "at" and "dot" are words too.
+_TOP = f"(?:{TOP})"
+#: "name at host dot com", with one spelled dot at least in the host and a top-level domain as last label, for "at" and "dot" are words too.
 #: At most eight spelled dots on either side of the "at", so that a long run of them costs linear time.
 _SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9._%+-]++[ \t]+dot[ \t]+){{0,8}}[A-Za-z0-9._%+-]++(?:[ \t]+at[ \t]+|[ \t]*@[ \t]*){_LABEL}(?:\.{_LABEL})*(?:[ \t]+dot[ \t]+{_LABEL}(?:\.{_LABEL})*){{0,8}}[ \t]+dot[ \t]+(?:{_LABEL}\.)*{_TOP}(?![A-Za-z0-9-])", re.I)
+#: "name at host.com": a plain dot in the host. Its last label is in one case, for "at noon.It" is a sentence's end.
+_SPOKEN_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9._%+-]++[ \t]+dot[ \t]+){{0,8}}[A-Za-z0-9._%+-]++[ \t]+at[ \t]+(?:{_LABEL}\.)+(?=(?-i:[a-z0-9-]+|[A-Z0-9-]+)(?![A-Za-z0-9-])){_TOP}(?![A-Za-z0-9-])", re.I)
 _SPOKEN_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|[ \t]+dot[ \t]+)[0-9]{1,3}){3}(?![0-9])", re.I)
 _SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[ \t]+@[ \t]+{_LABEL}(?:[ \t]*\.[ \t]*{_LABEL})+(?![A-Za-z0-9-])")
 _SPOKEN_TOKEN = re.compile(r"[ \t]+(at|dot)[ \t]+|[ \t]*(@)[ \t]*|[ \t]*(\.)[ \t]*", re.I)
-_WORDY = re.compile(rf"[\[({{<][ \t]?(?:at|dot|@|\.)[ \t]?[\])}}>]|[ \t]dot[ \t]|[ \t]@[ \t]|\b(?:plus|{_NUMBER}){_SEP}{_TIMES}(?:{_NUMBER}|[0-9])|[0-9]{_SEP}{_TIMES}{_NUMBER}\b", re.I)
+_WORDY = re.compile(rf"[\[({{<][ \t]*(?:at|dot|@|\.)[ \t]*[\])}}>]|[ \t]dot[ \t]|[ \t]at[ \t]+[A-Za-z0-9-]+\.[A-Za-z0-9]|[ \t]@[ \t]|\b(?:plus|{_NUMBER}){_SEP}{_TIMES}(?:{_NUMBER}|[0-9])|[0-9]{_SEP}{_TIMES}{_NUMBER}\b", re.I)
 
 
 class Mapped:
@@ -200,7 +203,7 @@ def boxed(m: Mapped) -> None:
 
 
 def at_and_dot(m: Mapped) -> None:
-    for pattern in (_SPOKEN, _SPACED, _SPOKEN_IP):
+    for pattern in (_SPOKEN, _SPOKEN_AT, _SPACED, _SPOKEN_IP):
         edits = []
         for f in pattern.finditer(m.text):
             for t in _SPOKEN_TOKEN.finditer(f.group()):
