@@ -107,3 +107,10 @@ def test_training_sees_contexts_of_the_scan(spark):
     rows = S.labelled_findings(spark)
     assert rows.filter("before like '%API_KEY=' and label = 1").count() > 50 and rows.filter("before like '%sha1='  and label = 0").count() > 10
     assert rows.filter(F.col("candidate").rlike("[^=]=[^=]")).count() == 0
+
+
+def test_dictionary_coverage(spark):
+    names = ["application_component_instance_package", "response_token_1", "benutzer_verwaltung_uebersicht", "fichier_utilisateur_adresse", "usuario_archivo_contenido"]
+    df = spark.createDataFrame([(n,) for n in names], "c string")
+    share = S.features(F.col("c"), F.lit(""), F.lit(""))["dictionary"]
+    assert all(r[0] > 0.8 for r in df.select(share).collect())

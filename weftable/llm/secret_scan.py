@@ -36,15 +36,36 @@ KINDS = (
     ("number", "^[0-9.+-]+$"), ("hex", "^[0-9a-fA-F]{24,}$"), ("host", "^[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)*\\.[a-z]{2,}$"), ("path", "^[A-Za-z0-9._=-]*(/[A-Za-z0-9._=-]+)+/?$"),
 )
 _WORDS = (
-    "access account action address admin agent app archive array article auto base branch browser build button cache call card category channel class "
-    "client cloud code collection color column comment config connect content context control core count create current custom data database date debug "
-    "default delete deploy detail device digest dir doc document domain email end engine entry error event example field file filter first form format "
-    "function general get global graph group handler hash head home host html image import index info input item java json key label layout level lib "
-    "license line link list load local log login main manager map menu message meta mode model module name net network node note number object offset "
-    "online open option order page panel path plugin point post product profile project proxy public query read record ref release report request resource "
-    "root route row rule schema script search section secure server service session setting site size sort source state static status step store stream "
-    "string style summary system table tag target task team template test text time title type update upload url user value version video view web window "
-    "word "
+    "about access account action address admin after agent alpha android apache app application archive array article asset async author auto back base "
+    "before beta bin block body book boot branch browser bucket build bundle button cache call card category change channel chapter check class client "
+    "cloud code collection color column com comment common component config connect console content context control core count create current custom data "
+    "database date debug default delete demo deploy detail device digest dir direct dist doc document domain down draft edit email enable end engine entry "
+    "error event example export face factory feature field file filter final find first folder font form format frame free from function game gateway "
+    "general get global graph group handler hash head header help home host html icon image img import index info input install instance internal item java "
+    "job json kernel key label language last latest layer layout legacy level lib library license line link linux list load local lock log login mail main "
+    "manager map master media menu message meta method mobile mode model module monitor name net network new news next node note number object office "
+    "offset online open option order org origin out output package page panel param parent part patch path pattern photo php plan platform player plugin "
+    "point policy port post print private process product profile project property provider proxy public query queue random read record ref region registry "
+    "release remote repo report request reset resource response rest result return role root route row rule run sample schema scope script search section "
+    "secure select send server service session set setting shop show sign simple site size sort source space spec sql stack start state static status step "
+    "storage store stream string style sub submit summary support sync system tab table tag target task team template term test text theme thread time "
+    "title token tool top total track train tree trigger type unit update upload url user util value version video view web widget window word work world "
+    "www year zone "
+    # German, French and Spanish, without accents as in identifiers
+    "abfrage abschnitt aktion aktuell anfrage anmeldung antwort anwendung anzahl anzeige artikel auftrag ausgabe auswahl autor beispiel benutzer bereich "
+    "bericht bestellung bild datei daten datum dienst druck eingabe eintrag ende ergebnis fehler feld fenster firma funktion gruppe haupt hilfe inhalt jahr "
+    "karte kategorie klasse konto kunde laden liste meldung menge nachricht name netz nummer objekt ordner passwort preis produkt projekt quelle rechnung "
+    "schluessel seite server sprache stadt start status strasse suche tabelle teil text titel uebersicht verwaltung vorlage welt wert zahl zeile zeit ziel "
+    "zugriff "
+    "acces accueil adresse affichage ajout annee appel article auteur bouton cadre carte categorie champ chemin classe clef client colonne commande compte "
+    "connexion contenu date demande dernier donnee dossier element entree envoi erreur etat exemple fichier fonction forme groupe heure image jour langue "
+    "lecture ligne liste livre message modele monde niveau nombre nouveau numero objet outil page paiement panier partie poste premier prix produit projet "
+    "recherche region reponse requete reseau resultat retour service site source sujet table temps texte titre type utilisateur valeur vente ville "
+    "acceso actual ajuste archivo articulo autor ayuda boton busqueda cabecera cadena campo cantidad carpeta categoria ciudad clase clave cliente codigo "
+    "columna compra consulta contenido contrasena correo cuenta dato descarga destino direccion documento ejemplo elemento enlace entrada envio estado "
+    "etiqueta factura fecha fila formulario fuente grupo historia hora idioma imagen informe inicio lista llave lugar mensaje mundo nivel nombre nuevo "
+    "numero objeto orden pagina pais palabra pedido perfil precio primero producto proyecto prueba registro respuesta resultado salida servicio sitio tabla "
+    "tiempo tienda tipo titulo usuario valor venta version vista "
 )
 _DICTIONARY = "(" + "|".join(sorted({w for w in _WORDS.split() if len(w) > 2}, key=lambda w: (-len(w), w))) + ")"
 _GOOD = "(token|secret|passw|passphrase|pwd|api.?key|access.?key|private.?key|auth|bearer|credential|signature)"
