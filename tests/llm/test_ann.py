@@ -84,3 +84,14 @@ def test_odd_rows(spark):
 def test_chi_square():
     for p, k, x in ((0.95, 1, 3.841), (0.95, 8, 15.507), (0.99, 10, 23.209), (0.5, 2, 1.386)):
         assert abs(A.chi_square_quantile(p, k) - x) < 1e-2
+
+
+def test_the_query_itself_does_not_stop_the_search():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((2000, 24))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    cell = A.Cell(A.Cells.fit(x, 1 + 1e-9, 0), x, [[i] for i in range(len(x))])
+    s = x[:200] @ x.T
+    s[np.arange(200), np.arange(200)] = -2
+    found = cell.search(x[:200], np.full(200, np.inf), 1, A.chi_square_quantile(0.98, A.DIMS))
+    assert np.mean([s[i].argmax() in f for i, f in enumerate(found)]) >= 0.9

@@ -164,7 +164,8 @@ class Cell:
         norms = (q * q).sum(1) + self.cells.bound**2
         live = np.arange(len(q))
         for step in range(len(self.tree)):
-            known = np.minimum(reach[live], norms[live] - 2 * best[live, k - 1])
+            # the query itself may be among the best of any cell, so the k-th other is the last of the k + 1
+            known = np.minimum(reach[live], norms[live] - 2 * best[live, k])
             nearest = gap[live, order[live, step]]
             live = live[nearest <= stop * np.maximum(known, 0) * (1 + 1e-9) + 1e-12]
             if not len(live):
