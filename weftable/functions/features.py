@@ -6,11 +6,15 @@ Input columns of a table: table_caption, table_html, table_markup, columns (arra
 
 from __future__ import annotations
 
+from collections import Counter
+from math import log
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from weftable.functions import text as T
-from weftable.sources.shared import written
 
 BINS = 10
 
@@ -43,24 +47,58 @@ def skipped_token(token: Column, caption: Column) -> Column:
     return (token == "") | F.coalesce(F.contains(caption, token), F.lit(False)) | start
 
 
+def let(value: Column, body) -> Column:
+    """body of a lambda variable that holds the value: made once, where a column that a lambda names might be put
+    into the lambda by the optimizer and made again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def run_counts(items: Column) -> Column:
+    """Array of (item, n): how often each distinct element of an array occurs, by sorting within the row."""
+
+    def of(s: Column) -> Column:
+        starts = F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | ~x.eqNullSafe(F.get(s, i - 1)), i)))
+        return let(starts, lambda p: F.transform(p, lambda at, i: F.struct(F.get(s, at).alias("item"), (F.coalesce(F.get(p, i + 1), F.size(s)) - at).cast("bigint").alias("n"))))
+
+    return let(F.sort_array(items), of)
+
+
+def coverage(markup: Column, caption: Column, columns: Column, values: Column | None = None, bins: int = BINS) -> Column:
+    """Array of (bucket, token, known, n) of one table's markup, made within the row."""
+    lines = F.transform(F.split(markup, "\n"), lambda x: T.strip(x))
+    none = F.array().cast("array<string>")
+
+    def of(title: Column, names: Column, all_: Column) -> Column:
+        split = lambda x, i: F.transform(F.when(skipped_line(x), none).otherwise(tokens(x)), lambda t: F.struct(line_bucket(i, F.size(all_), bins).alias("bucket"), t.alias("token")))
+        each = F.filter(F.flatten(F.transform(all_, split)), lambda e: ~skipped_token(e["token"], title))
+        known = lambda t: F.coalesce(F.array_contains(names, t), F.lit(False))
+        return F.transform(run_counts(each), lambda r: F.struct(r["item"]["bucket"].alias("bucket"), r["item"]["token"].alias("token"), known(r["item"]["token"]).alias("known"), r["n"].alias("n")))
+
+    names = columns if values is None else F.concat(columns, values)
+    return let(caption, lambda title: let(names, lambda k: let(lines, lambda all_: of(title, k, all_))))
+
+
 def token_coverage(df: DataFrame, *key: str, markup: str = "table_markup", caption: str = "table_caption", columns: str = "columns", values: str | None = None, bins: int = BINS, decode: bool = False) -> DataFrame:
     """(key, bucket, token, covered, uncovered). A token is covered if it is a column name; with `values` (an array
-    column), if it is a column name or one of those values."""
-    known = F.array_contains(columns, F.col("token"))
-    if values:
-        known = known | F.array_contains(values, F.col("token"))
-    extra = [caption, columns, *([values] if values else [])]
-    lines = markup_lines(df, markup, *key, *extra, bins=bins, decode=decode).filter(~skipped_line(F.col("line")))
-    each = lines.select(*key, *extra, "bucket", F.explode(tokens(F.col("line"))).alias("token")).filter(~skipped_token(F.col("token"), F.col(caption)))
-    each = each.withColumn("_known", F.coalesce(known, F.lit(False)))
-    return each.groupBy(*key, "bucket", "token").agg(F.count_if("_known").alias("covered"), F.count_if(~F.col("_known")).alias("uncovered"))
+    column), if it is a column name or one of those values. A key is a row."""
+    if decode:  # in a column of its own: higher-order functions take no Python
+        df = df.withColumn(markup, T.string_escape(F.col(markup)))
+    found = coverage(F.col(markup), F.col(caption), F.col(columns), F.col(values) if values else None, bins)
+    n, known = F.col("c.n"), F.col("c.known")
+    # explode_outer: for explode() the optimizer tests the array's size beforehand, which would make it twice
+    return df.select(*key, F.explode_outer(found).alias("c")).filter("c is not null").select(*key, "c.bucket", "c.token", F.when(known, n).otherwise(0).alias("covered"), F.when(known, 0).otherwise(n).alias("uncovered"))
+
+
+def feature_name(bucket: Column, covered: Column, uncovered: Column, bins: int = BINS) -> Column:
+    """"<line bucket>-<coverage bin>"."""
+    ratio = covered / (covered + uncovered).cast("double")
+    bin_ = (F.width_bucket(ratio, F.lit(0.0), F.lit(1.0), F.lit(bins - 1)) - 1).cast("int")
+    return F.concat_ws("-", bucket.cast("string"), bin_.cast("string"))
 
 
 def coverage_features(coverage: DataFrame, *key: str, bins: int = BINS) -> DataFrame:
     """(key, feature, value): "<line bucket>-<coverage bin>" -> number of distinct tokens."""
-    ratio = F.col("covered") / (F.col("covered") + F.col("uncovered")).cast("double")
-    bin_ = (F.width_bucket(ratio, F.lit(0.0), F.lit(1.0), F.lit(bins - 1)) - 1).cast("int")
-    name = F.concat_ws("-", F.col("bucket").cast("string"), bin_.cast("string"))
+    name = feature_name(F.col("bucket"), F.col("covered"), F.col("uncovered"), bins)
     return coverage.groupBy(*key, name.alias("feature")).agg(F.count("*").cast("double").alias("value"))
 
 
@@ -105,34 +143,72 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)).cast("double")
 
 
+@F.arrow_udf(DoubleType())
+def _divergence(a: pa.Array, b: pa.Array, epsilon: pa.Array) -> pa.Array:
+    return pa.array((None if x is None or y is None else _kl(x, y, e) for x, y, e in zip(a.to_pylist(), b.to_pylist(), epsilon.to_pylist())), pa.float64())
+
+
+def _kl(a: str, b: str, epsilon: float) -> float:
+    x, y = Counter(a.split(" ")), Counter(b.split(" "))
+    n, m = x.total(), y.total()
+    side = sum(c / n * log(c / n / ((y.get(w) or epsilon) / m)) for w, c in x.items())
+    return side + sum(epsilon / n * log(epsilon / n / (c / m)) for w, c in y.items() if w not in x)
+
+
+def divergence(a: Column, b: Column, epsilon: float = 0.001) -> Column:
+    """Divergence of the lower-cased unigram distributions of a from b; words that one side lacks have epsilon in place
+    of their count. Null where a or b is. Counted in Arrow batches: sorting words within rows by higher-order
+    functions took ten times as long, exploding them a shuffle of every word."""
+    return _divergence(F.lower(a), F.lower(b), F.lit(epsilon))
+
+
 def kl_divergence(df: DataFrame, a: Column, b: Column, *key: str, epsilon: float = 0.001) -> DataFrame:
-    """(key, kl): divergence of the lower-cased unigram distributions of a from b; words that one side lacks have
-    epsilon in place of their count."""
-    both = df.select(*key, F.split(F.lower(a), " ").alias("_a"), F.split(F.lower(b), " ").alias("_b"))
-    words = both.select(*key, F.explode(F.concat(F.transform("_a", lambda w: F.struct(w.alias("w"), F.lit(1).alias("x"), F.lit(0).alias("y"))), F.transform("_b", lambda w: F.struct(w.alias("w"), F.lit(0).alias("x"), F.lit(1).alias("y"))))).alias("t"), F.size("_a").alias("_na"), F.size("_b").alias("_nb"))
-    counts = words.groupBy(*key, "t.w").agg(F.sum("t.x").alias("x"), F.sum("t.y").alias("y"), F.first("_na").alias("na"), F.first("_nb").alias("nb"))
-    p = F.when(F.col("x") > 0, F.col("x").cast("double")).otherwise(epsilon) / F.col("na")
-    q = F.when(F.col("y") > 0, F.col("y").cast("double")).otherwise(epsilon) / F.col("nb")
-    return counts.groupBy(*key).agg(F.sum(p * F.ln(p / q)).alias("kl"))
+    """(key, kl) of the rows whose a and b aren't null; see divergence()."""
+    return df.filter(a.isNotNull() & b.isNotNull()).select(*key, divergence(a, b, epsilon).alias("kl"))
+
+
+def class_profile(leaf: Column, bins: int = BINS) -> Column:
+    """Array of (feature, value) of char_class_profile() for the leaf columns of a row's own header."""
+    kinds = ("num", "lt", "ot")
+    count = lambda c, k: F.aggregate(F.filter(c["value_dist"], lambda v: char_class(v["value"]) == k), F.lit(0.0), lambda s, v: s + F.coalesce(v["count"], F.lit(0)))
+    sums = F.transform(leaf, lambda c: F.struct(*[F.coalesce(count(c, k), F.lit(0.0)).alias(k) for k in kinds]))
+    all_ = lambda s: s["num"] + s["lt"] + s["ot"]
+
+    def shares(t: Column) -> Column:
+        bucket = lambda i: F.coalesce(F.width_bucket(i.cast("double"), F.lit(1.0), F.size(t).cast("double"), F.lit(bins - 1)), F.lit(0))
+        return F.transform(t, lambda s, i: F.struct(bucket(i).alias("bucket"), *[F.when(all_(s) == 0, 0.0).otherwise(s[k] / all_(s)).alias(k) for k in kinds]))
+
+    def features(t: Column) -> Column:
+        def of(b: Column) -> Column:
+            mean = lambda here, k: F.aggregate(here, F.lit(0.0), lambda v, s: v + s[k]) / F.size(here)
+            return let(F.filter(t, lambda s: s["bucket"] == b), lambda here: F.array(*[F.struct(F.concat(F.lit(f"col-{k}-"), b.cast("string")).alias("feature"), mean(here, k).alias("value")) for k in kinds]))
+
+        return F.flatten(F.transform(F.array_distinct(F.transform(t, lambda s: s["bucket"])), of))
+
+    return let(let(sums, shares), features)
 
 
 def table_features(df: DataFrame, key: str = "table_id", bins: int = BINS, decode: bool = False) -> DataFrame:
-    """All features of tables, long form. df: key, table_caption, table_html, table_markup, columns, header."""
-    long = coverage_features(token_coverage(df, key, bins=bins, decode=decode), key, bins=bins)
-    # several features read the cleaned texts: they are made once
-    df = written(df.select(key, "table_markup", "columns", "header", T.strip_tags("table_html").alias("_html"), T.clean_markup("table_markup", decode).alias("_markup")), "table-texts")
-    html, markup = F.col("_html"), F.col("_markup")
-    scalars = df.select(key, F.explode(F.create_map(
-        F.lit("jacc"), jaccard(html, markup),
-        F.lit("num_cols"), F.size("columns").cast("double"),
-        F.lit("markup_double_exlamanation"), T.count_of("table_markup", "!!").cast("double"),
-        F.lit("markup_single_exlamanation"), T.count_of("table_markup", "!").cast("double"),
-    )).alias("feature", "value"))
-    leaf = leaf_columns(F.col("header"))
-    flat = df.select(key, F.size(leaf).alias("num_columns"), F.posexplode(leaf).alias("col_index", "c")).select(key, "num_columns", "col_index", F.explode_outer("c.value_dist").alias("v")).select(key, "num_columns", "col_index", "v.value", "v.count")
-    profile = char_class_profile(flat, key, bins=bins)
-    kl = kl_divergence(df, html, markup, key).select(key, F.lit("kl").alias("feature"), F.col("kl").alias("value"))
-    return long.unionByName(scalars).unionByName(profile).unionByName(kl)
+    """All features of tables, long form. df: a row per table with key, table_caption, table_html, table_markup,
+    columns, header. Every feature is made within its row: one pass, no shuffle."""
+    df = df.withColumn("_plain", T.string_escape(F.col("table_markup")) if decode else F.col("table_markup"))
+    covered = coverage(F.col("_plain"), F.col("table_caption"), F.col("columns"), bins=bins)
+    df = df.select(key, "table_markup", "columns", "header", covered.alias("_coverage"), T.strip_tags("table_html").alias("_html"), T.clean_markup("table_markup", decode).alias("_markup"))
+    one, none = F.lit(1), F.lit(0)
+    names = F.transform("_coverage", lambda c: feature_name(c["bucket"], F.when(c["known"], one).otherwise(none), F.when(c["known"], none).otherwise(one), bins))
+    pair = lambda name, value: F.struct(F.lit(name).alias("feature"), value.alias("value"))
+    scalars = F.array(
+        pair("jacc", jaccard(F.col("_html"), F.col("_markup"))),
+        pair("num_cols", F.size("columns").cast("double")),
+        pair("markup_double_exlamanation", T.count_of("table_markup", "!!").cast("double")),
+        pair("markup_single_exlamanation", T.count_of("table_markup", "!").cast("double")),
+        pair("kl", divergence(F.col("_html"), F.col("_markup"))),
+    )
+    some = lambda c: F.coalesce(c, F.array().cast("array<struct<feature:string,value:double>>"))
+    buckets = F.transform(run_counts(names), lambda r: F.struct(r["item"].alias("feature"), r["n"].cast("double").alias("value")))
+    profile = class_profile(leaf_columns(F.col("header")), bins)
+    found = df.select(key, F.explode_outer(F.concat(some(buckets), scalars, some(profile))).alias("f")).select(key, "f.feature", "f.value")
+    return found.filter("feature <> 'kl' or value is not null")
 
 
 def feature_map(long: DataFrame, key: str = "table_id") -> DataFrame:

@@ -130,6 +130,13 @@ def lay_out(rows: list[Element], mode: str = "reference") -> dict:
             headers.append(h)
             k = grid.place(h, i, k, wide, high)
     leaf = grid.slots[-1]
+    shown: set[int] = set()
+
+    def is_first(cell: dict) -> bool:
+        new = cell["uid"] not in shown
+        shown.add(cell["uid"])
+        return new
+
     body = _Grid(len(data), len(leaf))
     uid = 0
     for i, r in enumerate(data):
@@ -158,7 +165,7 @@ def lay_out(rows: list[Element], mode: str = "reference") -> dict:
             {
                 "row_index": n,
                 "values": [
-                    {"cell_uid": c["uid"], "header_uid": c["header"]["uid"], "column": c["header"]["name"], "column_at_index": leaf[j]["name"] if leaf[j] else None, "col_index": j, "value": c["value"], "structured_values": [{"structured": s, "anchor": a} for s, a in c["links"]] or None}
+                    {"cell_uid": c["uid"], "is_first": is_first(c), "header_uid": c["header"]["uid"], "column": c["header"]["name"], "column_at_index": leaf[j]["name"] if leaf[j] else None, "col_index": j, "value": c["value"], "structured_values": [{"structured": s, "anchor": a} for s, a in c["links"]] or None}
                     for j, c in enumerate(line) if c is not None
                 ],
             }

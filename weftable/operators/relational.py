@@ -33,7 +33,8 @@ def errors(articles: DataFrame, *key: str) -> DataFrame:
 def with_table_ids(tables_: DataFrame, *key: str, base: int = TABLE_ID_BASE) -> DataFrame:
     """Dense ids base + 1, base + 2, ... in the order of key, section, table and sub-table.
 
-    Rows are range-partitioned by that order; only counts per partition meet, so no task sees all rows.
+    Rows are range-partitioned by that order; only counts per partition meet, so no task sees all rows. Ids are
+    bigint; the published JSON has int, and writing it fails beyond that rather than wrap around.
     """
     order = [*key, "section_ord", "table_ord", "sub_id"]
     spark = tables_.sparkSession
@@ -43,7 +44,7 @@ def with_table_ids(tables_: DataFrame, *key: str, base: int = TABLE_ID_BASE) ->
     counts = at.groupBy("_part").agg(F.count("*").alias("n"))
     before = counts.withColumn("_before", F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
     # as many rows as there are partitions: bounded, so it may be broadcast
-    return at.join(F.broadcast(before), "_part").withColumn("table_id", (F.lit(base + 1) + F.col("_before") + F.col("_nth")).cast("int")).drop("_part", "_at", "_nth", "_before")
+    return at.join(F.broadcast(before), "_part").withColumn("table_id", F.lit(base + 1).cast("bigint") + F.col("_before") + F.col("_nth")).drop("_part", "_at", "_nth", "_before")
 
 
 def stable_table_id(*key: str) -> Column:
@@ -51,38 +52,48 @@ def stable_table_id(*key: str) -> Column:
     return F.xxhash64(*key, "section_ord", "table_ord", "sub_id")
 
 
+#: What tells the sub-tables of an article apart; uids of headers and cells count from 0 in each.
+PLACE = ("section_ord", "table_ord", "sub_id")
+
+
+def placed(key: tuple[str, ...]) -> list[str]:
+    """The caller's key columns and the place of a sub-table in its article."""
+    return [*key, *(p for p in PLACE if p not in key)]
+
+
 def headers(tables_: DataFrame, *key: str) -> DataFrame:
-    """A row per filled header slot."""
-    each = tables_.select(*key, F.explode("header").alias("h"))
-    return each.select(*key, F.col("h.level").alias("level"), F.explode("h.columns").alias("c")).select(*key, "level", "c.col_index", "c.header_uid", "c.name", "c.col_span", "c.row_span")
+    """A row per filled header slot: key, place of the sub-table, level, slot and header."""
+    at = placed(key)
+    each = tables_.select(*at, F.explode("header").alias("h"))
+    return each.select(*at, F.col("h.level").alias("level"), F.explode("h.columns").alias("c")).select(*at, "level", "c.col_index", "c.header_uid", "c.name", "c.col_span", "c.row_span")
 
 
 def leaf_headers(tables_: DataFrame, *key: str) -> DataFrame:
+    at = placed(key)
     leaf = F.element_at("header", -1)["columns"]
-    return tables_.filter(F.size("header") > 0).select(*key, F.explode(leaf).alias("c")).select(*key, "c.col_index", "c.header_uid", "c.name")
+    return tables_.filter(F.size("header") > 0).select(*at, F.explode(leaf).alias("c")).select(*at, "c.col_index", "c.header_uid", "c.name")
 
 
 def cells(tables_: DataFrame, *key: str) -> DataFrame:
-    """A row per filled cell slot; a cell that spans several slots has one cell_uid."""
-    rows = tables_.select(*key, F.explode("rows").alias("r"))
-    return rows.select(*key, F.col("r.row_index").alias("row_index"), F.explode("r.values").alias("c")).select(*key, "row_index", "c.*")
+    """A row per filled cell slot: key, place of the sub-table, row_index and the cell. A cell that spans several slots
+    has one cell_uid, and is_first in one of them."""
+    at = placed(key)
+    rows = tables_.select(*at, F.explode("rows").alias("r"))
+    return rows.select(*at, F.col("r.row_index").alias("row_index"), F.explode("r.values").alias("c")).select(*at, "row_index", "c.*")
 
 
 def links(cells_: DataFrame, *key: str) -> DataFrame:
     """A row per link of each cell (once, however many slots it spans)."""
-    once = _once(cells_, *key)
-    return once.select(*key, "cell_uid", F.posexplode("structured_values").alias("pos", "l")).select(*key, "cell_uid", "pos", "l.structured", "l.anchor")
-
-
-def _once(cells_: DataFrame, *key: str) -> DataFrame:
-    return cells_.dropDuplicates([*key, "cell_uid"])
+    at = [*placed(key), "cell_uid"]
+    return cells_.filter("is_first").select(*at, F.posexplode("structured_values").alias("pos", "l")).select(*at, "pos", "l.structured", "l.anchor")
 
 
 def value_histogram(cells_: DataFrame, *key: str) -> DataFrame:
-    """(key, header_uid, value, count): link titles of cells with links, else the cell's text; each cell once."""
+    """(key, place, header_uid, column, value, count): link titles of cells with links, else the cell's text; each
+    cell once. column is the header's name."""
     values = F.when(F.size("structured_values") > 0, F.transform("structured_values", lambda x: x["structured"])).otherwise(F.array("value"))
-    once = _once(cells_, *key)
-    return once.select(*key, "header_uid", F.explode(values).alias("value")).groupBy(*key, "header_uid", "value").agg(F.count("*").cast("int").alias("count"))
+    by = [*placed(key), "header_uid", "column"]
+    return cells_.filter("is_first").select(*by, F.explode(values).alias("value")).groupBy(*by, "value").agg(F.count("*").cast("int").alias("count"))
 
 
 def sorted_domain(histogram: DataFrame, *key: str) -> DataFrame:
@@ -93,13 +104,14 @@ def sorted_domain(histogram: DataFrame, *key: str) -> DataFrame:
 
 def histograms(tables_: DataFrame, *key: str) -> DataFrame:
     """Value counts as the extractor put them beside each leaf header, for leaf slots."""
+    at = placed(key)
     leaf = F.element_at("header", -1)["columns"]
-    return tables_.filter(F.size("header") > 0).select(*key, F.explode(leaf).alias("c")).select(*key, "c.col_index", "c.name", F.explode("c.value_dist").alias("v")).select(*key, "col_index", "name", "v.value", "v.count")
+    return tables_.filter(F.size("header") > 0).select(*at, F.explode(leaf).alias("c")).select(*at, "c.col_index", "c.name", F.explode("c.value_dist").alias("v")).select(*at, "col_index", "name", "v.value", "v.count")
 
 
 def find_column(headers_: DataFrame, name: str, *key: str) -> DataFrame:
-    """The first leaf column of a name in each table; tables without it give no row."""
-    return headers_.filter(F.col("name") == name).groupBy(*key).agg(F.min("col_index").alias("col_index"))
+    """The first leaf column of a name in each sub-table; those without it give no row."""
+    return headers_.filter(F.col("name") == name).groupBy(*placed(key)).agg(F.min("col_index").alias("col_index"))
 
 
 def find_column_index(header: Column | str, name: str) -> Column:
@@ -156,11 +168,12 @@ def segments_of(flags: Column) -> Column:
 
 
 def row_dicts(tables_: DataFrame, *key: str) -> DataFrame:
-    """(key, row_index, row): column -> value of each row; of columns with one name the last counts."""
-    each = tables_.select(*key, F.explode("rows").alias("r"))
+    """(key, place, row_index, row): column -> value of each row; of columns with one name the last counts."""
+    at = placed(key)
+    each = tables_.select(*at, F.explode("rows").alias("r"))
     names = F.array_distinct(F.transform("r.values", lambda c: c["column"]))
     last = F.transform(names, lambda n: F.struct(n.alias("key"), F.element_at(F.filter("r.values", lambda c: c["column"].eqNullSafe(n)), -1)["value"].alias("value")))
-    return each.select(*key, F.col("r.row_index").alias("row_index"), F.map_from_entries(last).alias("row"))
+    return each.select(*at, F.col("r.row_index").alias("row_index"), F.map_from_entries(last).alias("row"))
 
 
 def ordered_columns(rows: Column | str = "rows") -> Column:

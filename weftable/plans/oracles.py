@@ -4,7 +4,10 @@ from __future__ import annotations
 
 #: Customers with the article and the row that they are rendered in.
 _CUSTOMERS = "b as (select *, c_custkey // 40 as article, cast(row_number() over (partition by c_custkey // 40 order by c_custkey) - 1 as integer) as r from customer)"
-_ORDERS = "b as (select *, o_orderkey // 40 as article from orders)"
+#: Cells of the first and second column of orders, by the sub-table that they are rendered in.
+_ORDERS = """b as (select *, o_orderkey // 40 as article, cast(o_orderkey % 2 as integer) as table_ord, cast(case when o_orderkey % 4 = 2 then 1 else 0 end as integer) as sub_id from orders),
+cells as (select article, table_ord, sub_id, if(sub_id = 1, 'Later', 'Priority') as name, o_orderpriority as value from b
+  union all select article, table_ord, sub_id, if(sub_id = 1, 'Later', 'Link'), case o_orderkey % 3 when 0 then o_orderpriority when 1 then '' else concat('see ', o_orderstatus) end from b)"""
 
 
 def _unpivot(*columns: tuple[int, str, str], keys: str = "article, r as row_index", source: str = "b", more: dict[int, str] | None = None) -> str:
@@ -14,7 +17,14 @@ def _unpivot(*columns: tuple[int, str, str], keys: str = "article, r as row_inde
 
 
 _PLAIN = _unpivot((0, "'Key'", "c_custkey"), (1, "'Name'", "c_name"), (2, "'Segment'", "c_mktsegment"))
-_DOUBLED = "with b as (select distinct c_custkey // 40 as article from customer)"
+#: Leaf columns of both tables of an article, by place.
+_DOUBLED = """with b as (select distinct c_custkey // 40 as article from customer),
+leaf as (select article, 0 as table_ord, i as col_index, n as name from b cross join (values (0, 'Name'), (1, 'Segment'), (2, 'Name')) as v(i, n)
+  union all select article, 1, cast(i + article % 2 as integer), n from b cross join (values (-1, 'Key'), (0, 'Segment'), (1, 'Name')) as v(i, n) where i + article % 2 >= 0)"""
+#: The cells of these tables that a map of a row keeps.
+_DOUBLED_CELLS = """select article, 0 as table_ord, r as row_index, 'Name' as "column", cast(c_custkey as varchar) as value from b
+union all select article, 0, r, 'Segment', c_mktsegment from b union all select article, 1, r, 'Segment', c_mktsegment from b
+union all select article, 1, r, 'Name', c_name from b union all select article, 1, r, 'Key', cast(c_custkey as varchar) from b where article % 2 = 1"""
 
 #: The first column's cell covers its nation's rows; in later rows of a nation the first cell takes column 0's name.
 _SPANNED = """with b as (select *, c_custkey // 40 as article,
@@ -56,7 +66,16 @@ _TAGLESS = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
 _TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
 _JACCARD = "len(list_intersect({0}, {1})) / cast(len(list_distinct(list_concat({0}, {1}))) as double)"
 _STRIPPED_TEXT = "regexp_replace(text, '<[^>]+>', ' ', 'g')"
-_VALUE_COUNTS = "select article, value, cast(count(*) as integer) as count from v group by all"
+_VALUE_COUNTS = "select article, table_ord, sub_id, {} value, cast(count(*) as integer) as count from cells where {} group by all"
+_LETTERS = "case when regexp_full_match(c, '\\p{L}+') then 'lt' when regexp_full_match(c, '\\p{Nd}+') then 'num' else 'ot' end"
+#: Sub-tables by segment, and an empty last one.
+_INHERITED = """with g as (select c_custkey // 40 as article, c_mktsegment as name, cast(count(*) as integer) as n from customer group by all),
+b as (select *, cast(row_number() over (partition by article order by name) - 1 as integer) as s from g)
+select article, s as sub_id, n as n_rows, 2 as n_levels, 'Customer|Customer' as top, {0} as leaf from b
+union all select article, cast(max(s) + 1 as integer), 0, 2, 'Customer|Customer', {1} from b group by article"""
+_JSON = """concat('{{"caption":"","markup":"","id":', n_nationkey, ',"header":[{{"level":0,"columns":[{{"name":"Name","col_span":1,"row_span":1,"value_dist":[{{"value":"', {0}, '","count":1}}]}},{{"name":"Link","col_span":1,"row_span":1,"value_dist":[{{"value":"', n_name,
+  '","count":1}}]}}]}}],"rows":[{{"row_index":0,"values":[{{"column":"Name","col_index":0,"value":"', {0}, '"}},{{"column":"Link","col_index":1,"value":"see","structured_values":[{{"structured":"', n_name, '","anchor":"see"}}]}}]}}]}}')"""
+_ODD = """concat('\\"', n_name, '\\" \\\\ {}')"""
 
 ORACLES: dict[str, str] = {
     # HTML text
@@ -74,7 +93,7 @@ ORACLES: dict[str, str] = {
         select r_regionkey, replace(r_name, ' ', '_') as entity, 0 as section_ord, 'MAIN_SECTION' as section, 1 as n_tables from r
         union all select r_regionkey, replace(r_name, ' ', '_'), 1, r_name, cast(count(*) as integer) from r join nation on r_regionkey = n_regionkey group by r_regionkey, r_name
         union all select r_regionkey, replace(r_name, ' ', '_'), cast(1 + row_number() over (partition by r_regionkey order by n_nationkey) as integer), n_name, 1 from r join nation on r_regionkey = n_regionkey""",
-    "table_ids": "with a as (select distinct c_custkey // 40 as article from customer) select cast(5000000 + row_number() over (order by article) as integer) as table_id, article, 'Rows' as section, 0 as table_ord, 0 as sub_id from a",
+    "table_ids": "with a as (select distinct c_custkey // 40 as article from customer) select cast(5000000 + row_number() over (order by article) as bigint) as table_id, article, 'Rows' as section, 0 as table_ord, 0 as sub_id from a",
     "skip_nested": "select c_custkey // 40 as article, case when c_custkey // 40 % 3 = 0 then 1 else 0 end as table_ord, cast(count(*) as integer) as n_rows from customer group by all",
     "bad_tables": """select distinct a as article, concat('Article_', a) as entity, 'Rows' as section, 0 as table_ord, case when a % 7 = 0 then 'more cells than columns' else 'colspan is no integer: ''2;''' end as reason
         from (select c_custkey // 40 as a from customer) where a % 7 < 2""",
@@ -98,21 +117,29 @@ ORACLES: dict[str, str] = {
         union all select article, cast(s as integer), r, 1, case when s = 0 then 'Nation' else c_mktsegment end, cast(c_nationkey as varchar) from b""",
     "subtable_segmentation": """select event_id, user_id, cast(sum(b) over (partition by user_id order by ts, event_id) as integer) as sub_id from (
         select *, case when event_type = 'signup' and lag(event_type) over (partition by user_id order by ts, event_id) <> 'signup' then 1 else 0 end as b from events where event_type is not null)""",
-    "find_column": f"{_DOUBLED} select article, i as col_index, n as name from b cross join (values (0, 'Name'), (1, 'Segment')) as v(i, n)",
-    "num_columns": f"{_DOUBLED} select article, 3 as num_columns from b",
+    "find_column": f"{_DOUBLED} select article, table_ord, name, min(col_index) as col_index from leaf where name <> 'Key' group by all",
+    "num_columns": f"{_DOUBLED} select article, table_ord, cast(count(*) as integer) as num_columns from leaf group by all",
+    "header_inheritance": _INHERITED.format("case when s = 0 then 'Name|Nation' else concat(name, '|', name) end", "'End|End'"),
+    "header_inheritance_corrected": _INHERITED.format("'Name|Nation'", "'Name|Nation'"),
+    "captions_markup": """with b as (select *, c_custkey // 40 as article from customer)
+        select article, concat('Customers of & ', article) as caption, md5(concat('<table class="wikitable"><caption>Customers  of &amp; ', article, '</caption><tr><th>Name</th><th>Segment</th></tr>',
+          string_agg(concat('<tr><td title="x &amp; y">', c_name, '</td><td>&lt;', c_mktsegment, '&gt;</td></tr>'), '' order by c_custkey), '</table>')) as digest from b group by article""",
     # histograms, links, rows as maps
-    "value_dist": f"with {_ORDERS}, v as (select article, o_orderpriority as value from b) {_VALUE_COUNTS}",
-    "value_dist_links": f"with {_ORDERS}, v as (select article, case o_orderkey % 3 when 0 then o_orderpriority when 1 then '' else concat('see ', o_orderstatus) end as value from b) {_VALUE_COUNTS}",
-    "value_dist_sorted": f"with {_ORDERS}, v as (select article, o_orderpriority as value from b), h as ({_VALUE_COUNTS}) select *, cast(row_number() over (partition by article order by count desc, value) as integer) as rank from h",
-    "cell_links": f"with {_ORDERS} select article, case o_orderkey % 3 when 0 then o_orderpriority else '' end as structured, concat('see ', o_orderstatus) as anchor, count(*) as n from b where o_orderkey % 3 < 2 group by all",
-    "row_dict": f"""with {_CUSTOMERS} select article, r as row_index, 'Name' as "column", cast(c_custkey as varchar) as value from b union all select article, r, 'Segment', c_mktsegment from b""",
-    "ordered_columns": f"""{_DOUBLED} select article, i as pos, n as "column" from b cross join (values (0, 'Name'), (1, 'Segment')) as v(i, n)""",
-    "column_meta": f"""with {_CUSTOMERS} select article, 'Name' as "column", cast(c_custkey as varchar) as value from b union all select distinct article, 'Segment', c_mktsegment from b""",
+    "value_dist": f"with {_ORDERS} {_VALUE_COUNTS.format('name,', "name <> 'Link'")}",
+    "value_dist_links": f"with {_ORDERS} {_VALUE_COUNTS.format('name as "column",', 'true')}",
+    "value_dist_sorted": f"with {_ORDERS}, h as ({_VALUE_COUNTS.format('', "name = 'Priority'")}) select *, cast(row_number() over (partition by article, table_ord, sub_id order by count desc, value) as integer) as rank from h",
+    "cell_links": f"with {_ORDERS} select article, table_ord, sub_id, case o_orderkey % 3 when 0 then o_orderpriority else '' end as structured, concat('see ', o_orderstatus) as anchor, count(*) as n from b where o_orderkey % 3 < 2 group by all",
+    "row_dict": f"with {_CUSTOMERS} {_DOUBLED_CELLS}",
+    "ordered_columns": f"""{_DOUBLED} select article, table_ord, col_index as pos, name as "column" from leaf where table_ord = 1 or col_index < 2""",
+    "column_meta": f"""with {_CUSTOMERS}, c as ({_DOUBLED_CELLS}) select distinct article, table_ord, "column", value from c""",
     # JSON and text forms
     "json_roundtrip": f"with {_CUSTOMERS} {_PLAIN}",
     "json_pruned": """with b as (select distinct c_custkey // 40 as article from customer) select article, 1 as id, i as pos, n as "column" from b cross join (values (0, 'Key'), (1, 'Name'), (2, 'Segment')) as v(i, n)""",
     "json_resolved": f"with {_CUSTOMERS}, x as ({_PLAIN}) select article, row_index, col_index as slot, col_index, \"column\", value from x",
     "article_json": "with a as (select c_custkey // 40 as article, cast(count(*) as integer) as n_rows from customer group by all) select concat('Article_', article) as entity, 'Rows' as section, cast(5000000 + row_number() over (order by article) as integer) as table_id, n_rows from a",
+    "article_json_file": f"with {_CUSTOMERS} select concat('Article_', article) as entity, 'Rows' as section, r as row_index, concat_ws('|', c_custkey, c_name, c_mktsegment) as row_values from b",
+    "table_json_file": "select 'Customers' as entity, 'Rows' as section, c_custkey // 40 as table_id, 'Key|Name|Segment' as columns, cast(count(*) as integer) as n_rows, cast(count(distinct c_mktsegment) as integer) as n_segments from customer group by c_custkey // 40",
+    "json_text": f"select n_nationkey as article, {_JSON.format(_ODD.format('\u00e9 \U0001f600'))} as json, {_JSON.format(_ODD.format('\\u00e9 \\ud83d\\ude00'))} as ascii from nation",
     "text_dump": f"with {_CUSTOMERS} select article, md5(concat(concat_ws(chr(9), 'Key', 'Name', 'Segment'), chr(10), string_agg(concat_ws(chr(9), c_custkey, c_name, c_mktsegment), chr(10) order by r))) as digest from b group by article",
     "tsv_load": """select coalesce(source, '') as entity, coalesce(lang, '') as section, cast(d.doc_id as integer) as table_id, cast(quality as varchar) as label, coalesce(toxic, 0) + 0.25e0 as label_confidence,
         md5(regexp_replace(regexp_replace(translate(coalesce(text, ''), concat(chr(9), chr(10), chr(13)), '   '), '^\\s+', ''), '\\s+$', '')) as digest, '{}' as table_json, '|' as table_markup
@@ -124,21 +151,28 @@ ORACLES: dict[str, str] = {
     "token_coverage": f"{_COVERAGE} select doc_id, bucket, md5(token) as token, covered, uncovered from coverage",
     "coverage_features": f"{_COVERAGE} {_FEATURES}",
     "feature_maps": f"{_COVERAGE}, f as ({_FEATURES}) select doc_id, count(*) as n_features, sum(value) as total from f group by all",
+    "line_bucket_decoded": f"with {_LINES}, {_BUCKETS} select doc_id, bucket, count(*) as n_lines from buckets group by all",
+    "token_coverage_decoded": f"{_COVERAGE} select doc_id, bucket, md5(token) as token, covered, uncovered from coverage",
+    "clean_markup_decoded": f"select doc_id, md5({_clean('text')}) as digest from documents",
     "bang_counts": "select doc_id, (length(text) - length(replace(text, '!!', ''))) // 2 as n_double, length(text) - length(replace(text, '!', '')) as n_single from documents",
     "rare_words": "select doc_id, w as word, count(*) as n from (select doc_id, unnest(string_split(lower(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')), ' ')) as w from documents) group by all having count(*) < 3",
-    "char_class_profile": """with v as (select p_brand, i, case i when 0 then p_name when 1 then p_type when 2 then cast(p_size as varchar) else cast(p_partkey as varchar) end as value from part cross join (values (0), (1), (2), (3)) as x(i)),
-        k as (select p_brand, i, case when regexp_full_match(c, '\\p{L}+') then 'lt' when regexp_full_match(c, '\\p{Nd}+') then 'num' else 'ot' end as kind from (select *, regexp_replace(value, '[ "&]', '', 'g') as c from v)),
+    "char_class_profile": f"""with v as (select p_brand, i, case i when 0 then p_name when 1 then p_type when 2 then cast(p_size as varchar) else cast(p_partkey as varchar) end as value from part cross join (values (0), (1), (2), (3)) as x(i)),
+        k as (select p_brand, i, {_LETTERS} as kind from (select *, regexp_replace(value, '[ "&]', '', 'g') as c from v)),
         s as (select p_brand, case when i < 1 then 0 else cast(floor((i - 1) * 9.0 / 3) as integer) + 1 end as bucket, n, count(*) filter (where kind = n) / cast(count(*) as double) as share from k cross join (values ('num'), ('lt'), ('ot')) as y(n) group by p_brand, i, n)
         select p_brand, concat('col-', n, '-', bucket) as feature, round(avg(share), 9) as value from s group by all""",
     "jaccard": "select page_id, round(" + _JACCARD.format(f"string_split({_TAGLESS}, ' ')", f"string_split({_TITLE}, ' ')") + ", 9) as jacc from pages",
     "kl_divergence": f"with {_divergence('page_id', 'pages', _TAGLESS, _TITLE)} select page_id, round(kl, 6) as kl from kl",
     "clean_markup": f"select doc_id, md5({_clean('text')}) as digest from documents",
-    "feature_union": f"""{_COVERAGE}, t as (select doc_id, {_STRIPPED_TEXT} as h, {_clean('text')} as m, text from documents), {_divergence('doc_id', 't', 'h', 'm')},
+    "feature_union": f"""{_COVERAGE},
+        cs as (select c_custkey // 40 as article, bucket, case bucket when 0 then cast(c_custkey as varchar) when 1 then c_name else if(c_custkey % 3 = 0, cast(c_nationkey as varchar), c_mktsegment) end as c from customer cross join (values (0), (1), (5)) as x(bucket)),
+        ks as (select article, bucket, {_LETTERS} as kind from (select article, bucket, regexp_replace(c, '[ "&]', '', 'g') as c from cs)),
+        shares as (select article, bucket, n as kind, count(*) filter (where kind = n) / cast(count(*) as double) as share from ks cross join (values ('num'), ('lt'), ('ot')) as y(n) group by all),
+        t as (select doc_id, {_STRIPPED_TEXT} as h, {_clean('text')} as m, text from documents), {_divergence('doc_id', 't', 'h', 'm')},
         f as ({_FEATURES} union all select doc_id, 'kl', kl from kl
         union all select doc_id, 'jacc', {_JACCARD.format("string_split(h, ' ')", "string_split(m, ' ')")} from t
-        union all select doc_id, 'num_cols', 4 from t
+        union all select doc_id, 'num_cols', 4 + cast(doc_id % 3 = 0 as integer) from t
         union all select doc_id, 'markup_double_exlamanation', (length(text) - length(replace(text, '!!', ''))) // 2 from t
         union all select doc_id, 'markup_single_exlamanation', length(text) - length(replace(text, '!', '')) from t
-        union all select doc_id, name, v from documents cross join (values ('col-num-0', 0.5), ('col-lt-0', 0.5), ('col-ot-0', 0), ('col-num-1', 0), ('col-lt-1', 0), ('col-ot-1', 1)) as c(name, v))
+        union all select doc_id, concat('col-', kind, '-', bucket), share from documents join shares on doc_id // 40 = article)
         select doc_id, feature, round(cast(value as double), 6) as value from f""",
 }

@@ -16,7 +16,7 @@ from weftable.operators import relational as R
 from weftable.operators.extract import extract, page_links
 from weftable.plans import render as H
 from weftable.sources import readers, writers
-from weftable.sources.shared import written
+from weftable.sources.shared import scratch, shared_path, written
 
 #: Rows of a rendered article.
 ROWS = 40
@@ -253,75 +253,123 @@ def subtable_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def find_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two tables on a page, whose columns stand in different places."""
     leaf = R.leaf_headers(R.tables(doubled(spark, sf_dir), "article"), "article")
     one = lambda name: R.find_column(leaf, name, "article").withColumn("name", F.lit(name))
-    return one("Name").unionByName(one("Segment"))
+    return one("Name").unionByName(one("Segment")).select("article", "table_ord", "name", "col_index")
 
 
 @query
 def num_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.num_columns(R.tables(doubled(spark, sf_dir), "article")).select("article", "num_columns")
+    return R.num_columns(R.tables(doubled(spark, sf_dir), "article")).select("article", "table_ord", "num_columns")
 
 
 def doubled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles with two columns of one name."""
-    return extracted(customers(spark, sf_dir), ["c_custkey"], H.tr(H.td(F.col("c_name")), H.td(F.col("c_mktsegment")), H.td(F.col("c_custkey"))), head("Name", "Segment", "Name"))
+    """Articles of two tables: one with two columns of one name; one with the columns the other way round, and in
+    every odd article with one more before them."""
+    name, segment, key = H.td(F.col("c_name")), H.td(F.col("c_mktsegment")), H.td(F.col("c_custkey"))
+    odd = lambda cell: F.when(F.pmod("article", F.lit(2)) == 1, cell).otherwise("")
+    row = lambda *cells: F.concat(F.lit("<tr>"), *cells, F.lit("</tr>"))
+    pages = H.gathered(customers(spark, sf_dir), "article", ["c_custkey"], row(name, segment, key), row(odd(key), segment, name))
+    second = row(odd(H.th("Key")), H.th("Segment"), H.th("Name"))
+    return extract(pages.select("article", page(H.wikitable(head("Name", "Segment", "Name"), F.col("rows")), H.wikitable(second, F.col("rows1"))).alias("html")))
+
+
+def inherited(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """Tables of two header rows, with a divider row before each segment but the first and one after the last row."""
+    w = Window.partitionBy("article").orderBy("c_mktsegment", "c_custkey")
+    df = customers(spark, sf_dir).withColumn("before", F.lag("c_mktsegment").over(w))
+    divider = H.tr(H.th(F.col("c_mktsegment"), colspan=2))
+    row = F.concat(F.when(F.col("before") != F.col("c_mktsegment"), divider).otherwise(""), H.tr(H.td(F.col("c_name")), H.td(F.col("c_nationkey"))))
+    pages = H.gathered(df, "article", ["c_mktsegment", "c_custkey"], row)
+    table_ = H.wikitable(H.tr(H.th("Customer", colspan=2)), head("Name", "Nation"), F.col("rows"), H.tr(H.th("End", colspan=2)))
+    found = R.tables(extract(pages.select("article", page(table_).alias("html")), mode=mode), "article")
+    names = lambda level: F.array_join(F.get(F.col("header"), F.lit(level))["columns"]["name"], "|")
+    return found.select("article", "sub_id", F.size("rows").alias("n_rows"), F.size("header").alias("n_levels"), names(0).alias("top"), names(1).alias("leaf"))
+
+
+@query
+def header_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last sub-table is empty: its divider has no row after it."""
+    return inherited(spark, sf_dir, "reference")
+
+
+@query
+def header_inheritance_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inherited(spark, sf_dir, "corrected")
+
+
+@query
+def captions_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caption and re-serialised markup; the page's attributes are unquoted and its row ends left out."""
+    pages = H.gathered(customers(spark, sf_dir), "article", ["c_custkey"], F.concat(F.lit("<tr><td title='x & y'>"), H.text(F.col("c_name")), F.lit("<td>"), H.text(F.concat(F.lit("<"), "c_mktsegment", F.lit(">")))))
+    caption = F.concat(F.lit("Customers  of &amp; "), F.col("article").cast("string"))
+    html = F.concat(F.lit("<html><title>t</title><body><section data-mw-section-id=0><table class=wikitable><caption>"), caption, F.lit("</caption><tr><th>Name<th>Segment"), F.col("rows"), F.lit("</table></section></body></html>"))
+    found = R.tables(extract(pages.select("article", html.alias("html"))), "article")
+    return found.select("article", "caption", F.md5("markup").alias("digest"))
 
 
 # ---- histograms, links, rows as maps -----------------------------------------------------------------------
 
 
 def order_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with a titled link in the second column of every third row, an untitled one in every third."""
+    """Articles of two tables, of even and of odd order keys; the first has a divider row before keys of a remainder of
+    2 by 4. The second column has a titled link in every third row, an untitled one in every third."""
     kind = F.pmod("o_orderkey", F.lit(3))
     shown = F.concat(F.lit("see "), F.col("o_orderstatus"))
     link = F.when(kind == 0, H.element("a", H.text(shown), title=F.col("o_orderpriority"))).when(kind == 1, H.element("a", H.text(shown))).otherwise(H.text(shown))
     row = H.tr(H.td(F.col("o_orderpriority")), H.element("td", link))
-    return extracted(orders(spark, sf_dir), ["o_orderkey"], row, head("Priority", "Link"))
+    of = lambda *rests: F.when(F.pmod("o_orderkey", F.lit(4)).isin(*rests), row).otherwise("")
+    pages = H.gathered(orders(spark, sf_dir), "article", ["o_orderkey"], of(0), of(2), of(1, 3))
+    top = head("Priority", "Link")
+    first = H.wikitable(top, F.col("rows"), H.tr(H.th("Later", colspan=2)), F.col("rows1"))
+    return extract(pages.select("article", page(first, H.wikitable(top, F.col("rows2"))).alias("html")))
+
+
+WHERE = ("article", "table_ord", "sub_id")
 
 
 @query
 def value_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.histograms(R.tables(order_articles(spark, sf_dir), "article"), "article")
-    return found.filter("name = 'Priority'").select("article", "value", "count")
+    return found.filter("col_index = 0").select(*WHERE, "name", "value", "count")
 
 
 @query
 def value_dist_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histograms taken from cells: titles of cells with links, texts of the others."""
-    tables_ = R.tables(order_articles(spark, sf_dir), "article")
-    found = R.value_histogram(R.cells(tables_, "article"), "article")
-    return found.join(R.leaf_headers(tables_, "article"), ["article", "header_uid"]).filter("name = 'Link'").select("article", "value", "count")
+    found = R.value_histogram(R.cells(R.tables(order_articles(spark, sf_dir), "article"), "article"), "article")
+    return found.select(*WHERE, "column", "value", "count")
 
 
 @query
 def value_dist_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.histograms(R.tables(order_articles(spark, sf_dir), "article"), "article").filter("name = 'Priority'")
-    return R.sorted_domain(found, "article").select("article", "value", "count", "rank")
+    return R.sorted_domain(found, *WHERE).select(*WHERE, "value", "count", "rank")
 
 
 @query
 def cell_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.links(R.cells(R.tables(order_articles(spark, sf_dir), "article"), "article"), "article")
-    return found.groupBy("article", "structured", "anchor").agg(F.count("*").alias("n"))
+    return found.groupBy(*WHERE, "structured", "anchor").agg(F.count("*").alias("n"))
 
 
 @query
 def row_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.row_dicts(R.tables(doubled(spark, sf_dir), "article"), "article")
-    return found.select("article", "row_index", F.explode("row").alias("column", "value"))
+    return found.select("article", "table_ord", "row_index", F.explode("row").alias("column", "value"))
 
 
 @query
 def ordered_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.tables(doubled(spark, sf_dir), "article")
-    return found.select("article", F.posexplode(R.ordered_columns()).alias("pos", "column"))
+    return found.select("article", "table_ord", F.posexplode(R.ordered_columns()).alias("pos", "column"))
 
 
 @query
 def column_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.tables(doubled(spark, sf_dir), "article")
-    return found.select("article", F.explode(R.column_meta()).alias("column", "values")).select("article", "column", F.explode("values").alias("value"))
+    return found.select("article", "table_ord", F.explode(R.column_meta()).alias("column", "values")).select("article", "table_ord", "column", F.explode("values").alias("value"))
 
 
 # ---- JSON and text forms -----------------------------------------------------------------------------------
@@ -361,6 +409,39 @@ def article_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("entity", "section", F.col("t.id").alias("table_id"), F.size("t.rows").alias("n_rows"))
 
 
+@query
+def article_json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published corpus: articles written to files and read again by their schema."""
+    with scratch(spark) as s:
+        path = shared_path(spark, "article-json")
+        writers.write_article_json(customer_articles(spark, sf_dir), path, ascii_only=True)
+        a = readers.read_article_json(spark, path).select("entity", F.explode("sections").alias("s"))
+        t = a.select("entity", "s.section", F.explode("s.tables").alias("t")).select("entity", "section", F.explode("t.rows").alias("r"))
+        return s.result(t.select("entity", "section", "r.row_index", F.array_join(F.col("r.values")["value"], "|").alias("row_values")), "article-rows")
+
+
+@query
+def table_json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables in files of JSON, read with the metadata that stand beside it."""
+    with scratch(spark) as s:
+        path = shared_path(spark, "table-json")
+        as_json(spark, sf_dir).select(F.to_json(F.struct(F.lit("Customers").alias("entity"), F.lit("Rows").alias("section"), "article", "json")).alias("value")).write.text(path)
+        read = spark.read.schema("entity string, section string, article bigint, json string").json(path)
+        found = readers.table_json(read, "json", "entity", "section", "article", column_meta=True)
+        return s.result(found.select("entity", "section", "table_id", F.array_join("columns", "|").alias("columns"), F.size("table_rows").alias("n_rows"), F.size(F.col("column_meta")["Segment"]).alias("n_segments")), "tables")
+
+
+@query
+def json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON itself, byte for byte: a link, a quote, a backslash and characters beyond ASCII, with and without escapes."""
+    nation = table(spark, sf_dir, "nation").withColumn("article", F.col("n_nationkey"))
+    odd = F.concat(F.lit('"'), F.col("n_name"), F.lit('" \\ \u00e9 \U0001f600'))
+    row = H.tr(H.td(odd), H.element("td", H.element("a", H.text("see"), title=F.col("n_name"))))
+    found = R.tables(extracted(nation, ["n_nationkey"], row, head("Name", "Link")), "article")
+    text = J.table_json(J.table_struct(F.col("article"), markup=F.lit("")))
+    return found.select("article", text.alias("json"), J.ascii_json(text).alias("ascii"))
+
+
 @query
 def text_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.tables(customer_articles(spark, sf_dir), "article")
@@ -417,6 +498,30 @@ def coverage_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.coverage_features(X.token_coverage(documents(spark, sf_dir), "doc_id"), "doc_id")
 
 
+def escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents() with line feeds, tabs and backslashes of the markup written as escapes."""
+    c = F.col("table_markup")
+    for plain, written_ in (("\\", "\\\\"), ("\n", "\\n"), ("\t", "\\t")):
+        c = F.replace(c, F.lit(plain), F.lit(written_))
+    return documents(spark, sf_dir).withColumn("table_markup", c)
+
+
+@query
+def line_bucket_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.markup_lines(escaped(spark, sf_dir), "table_markup", "doc_id", decode=True).groupBy("doc_id", "bucket").agg(F.count("*").alias("n_lines"))
+
+
+@query
+def token_coverage_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = X.token_coverage(escaped(spark, sf_dir), "doc_id", decode=True)
+    return found.select("doc_id", "bucket", F.md5("token").alias("token"), "covered", "uncovered")
+
+
+@query
+def clean_markup_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return escaped(spark, sf_dir).select("doc_id", F.md5(T.clean_markup("table_markup", decode=True)).alias("digest"))
+
+
 @query
 def bang_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.count_of("text", "!!").alias("n_double"), T.count_of("text", "!").alias("n_single"))
@@ -455,13 +560,14 @@ def clean_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_markup("text")).alias("digest"))
 
 
-#: Leaf columns of feature_union: value counts of two columns.
-LEAF = "array(struct(0 as level, array(struct('A' as name, array(struct('abc' as value, 2 as count), struct('12' as value, 2 as count)) as value_dist), struct('B' as name, array(struct('x-1' as value, 3 as count)) as value_dist)) as columns))"
-
-
 @query
 def feature_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = X.table_features(documents(spark, sf_dir).withColumn("header", F.expr(LEAF)), "doc_id")
+    """Features of documents' texts under the headers of extracted tables; some tables have one more column name."""
+    mixed = H.td(F.when(F.pmod("c_custkey", F.lit(3)) == 0, F.col("c_nationkey").cast("string")).otherwise(F.col("c_mktsegment")))
+    row = H.tr(H.td(F.col("c_custkey")), H.td(F.col("c_name")), mixed)
+    headers = R.tables(extracted(customers(spark, sf_dir), ["c_custkey"], row, head("Key", "Name", "Mixed")), "article").select("article", "header")
+    docs = documents(spark, sf_dir).withColumns({"article": F.expr("doc_id div 40"), "columns": F.expr("if(doc_id % 3 = 0, concat(columns, array('no such token')), columns)")})
+    found = X.table_features(docs.join(headers, "article", "left"), "doc_id")
     return found.select("doc_id", "feature", F.round("value", 6).alias("value"))
 
 

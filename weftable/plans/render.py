@@ -49,7 +49,9 @@ def article(title: Column | str, *body: Column) -> Column:
     return element("html", element("head", element("title", text(title))), element("body", *body))
 
 
-def gathered(df: DataFrame, key: str, order: list[str], html: Column) -> DataFrame:
-    """(key, rows): the HTML of a key's rows in order. Keys must be of bounded size, as tables of an article are."""
-    each = F.array_sort(F.collect_list(F.struct(*order, html.alias("_html"))))
-    return df.groupBy(key).agg(F.array_join(F.transform(each, lambda x: x["_html"]), "").alias("rows"))
+def gathered(df: DataFrame, key: str, order: list[str], html: Column, *more: Column) -> DataFrame:
+    """(key, rows, rows1, ...): the HTML of a key's rows in order, one column for each html. Keys must be of bounded
+    size, as tables of an article are."""
+    each = F.array_sort(F.collect_list(F.struct(*order, *[h.alias(f"_html{i}") for i, h in enumerate((html, *more))])))
+    joined = lambda i: F.array_join(F.transform(each, lambda x: x[f"_html{i}"]), "")
+    return df.groupBy(key).agg(*[joined(i).alias(f"rows{i or ''}") for i in range(1 + len(more))])

@@ -20,7 +20,7 @@ TABLE_CELLS = f"struct<caption:string,id:int,header:array<{HEADER}>,rows:array<s
 #: What the extractor emits: the nested table, and identities of header and cell objects that cover several slots.
 X_COLUMN = f"struct<header_uid:int,col_index:int,name:string,col_span:int,row_span:int,value_dist:array<{VALUE_COUNT}>>"
 X_HEADER = f"struct<level:int,columns:array<{X_COLUMN}>>"
-X_CELL = f"struct<cell_uid:int,header_uid:int,column:string,column_at_index:string,col_index:int,value:string,structured_values:array<{LINK}>>"
+X_CELL = f"struct<cell_uid:int,is_first:boolean,header_uid:int,column:string,column_at_index:string,col_index:int,value:string,structured_values:array<{LINK}>>"
 X_ROW = f"struct<row_index:int,`values`:array<{X_CELL}>>"
 X_TABLE = f"struct<table_ord:int,sub_id:int,caption:string,markup:string,num_columns:int,header:array<{X_HEADER}>,rows:array<{X_ROW}>>"
 X_SECTION = f"struct<section_ord:int,section:string,tables:array<{X_TABLE}>>"
