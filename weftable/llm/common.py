@@ -7,18 +7,15 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftable.sources.shared import shared_path, written
+from weftable.sources.shared import scratch, shared_path, written
 
-__all__ = ["blocks", "key_and_text", "map_blocks", "shared_path", "text_udf", "utf8", "written"]
+__all__ = ["blocks", "key_and_text", "map_blocks", "scratch", "shared_path", "text_udf", "utf8", "written"]
 
 #: Text bytes handed to Python at once; whole rows, so one longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
-#: Rows of an Arrow batch between the JVM and Python where the session has Spark's default: rows are whole texts, and
-#: both sides hold a batch outside of any limit.
-BATCH_ROWS = 500
 
 
 def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -37,13 +34,6 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size, unless it was set to another than the default."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def give_back() -> None:
     """Returns freed memory of a worker to the machine at the end of a task: workers live on between stages."""
     pa.default_memory_pool().release_unused()
@@ -64,7 +54,6 @@ def map_blocks(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.Recor
                     yield out
         give_back()
 
-    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -73,8 +62,6 @@ def text_udf(fn: Callable[[pa.Array], pa.Array], kind: str):
 
     Only the texts go to Python: the other columns of the rows stay in the JVM."""
 
-    bounded_batches(SparkSession.active())
-
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
