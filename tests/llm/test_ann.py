@@ -90,8 +90,29 @@ def test_the_query_itself_does_not_stop_the_search():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((2000, 24))
     x /= np.sqrt((x * x).sum(1))[:, None]
-    cell = A.Cell(A.Cells.fit(x, 1 + 1e-9, 0), x, [[i] for i in range(len(x))])
+    cell = A.Cell(A.Cells.drawn(24, 1 + 1e-9, 0), x, [[i] for i in range(len(x))])
     s = x[:200] @ x.T
     s[np.arange(200), np.arange(200)] = -2
     found = cell.search(x[:200], np.full(200, np.inf), 1, A.chi_square_quantile(0.98, A.DIMS))
     assert np.mean([s[i].argmax() in f for i, f in enumerate(found)]) >= 0.9
+
+
+def test_more_ties_than_k(spark):
+    """Sixty vectors of one score with the query: those of the smallest ids are the answer, in whatever order they lie."""
+    rng = np.random.default_rng(6)
+    tied = [(1000 - i, [1.0, *rng.permutation([1.0, *[0.0] * 30]).tolist()]) for i in range(60)]
+    rows = [(20, [1.0, *[0.0] * 31]), *tied, *[(3000 + i, [0.5, *[0.0] * 30, float(i)]) for i in range(1, 600)]]
+    got = found(A.search(frame(spark, padded(rows)), A.F.col("id") == 20, k=20, cell_rows=64, confidence=0.999))
+    want = sorted({tuple(v): i for i, v in tied}.items(), key=lambda x: x[1])
+    assert [j for j, _ in got[20]] == sorted(i for i, _ in tied)[:20] and want
+
+
+def test_even_vectors_in_small_cells(spark):
+    """Unit vectors spread evenly, many cells: what the first cells lack, the second phase must find."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((12_000, 24)).astype(np.float32)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = frame(spark, padded(rows))
+    got = found(A.search(df, A.F.pmod("id", A.F.lit(200)) == 0, cell_rows=128))
+    assert recall(got, brute(rows, every=200)) >= 0.9

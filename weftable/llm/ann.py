@@ -9,8 +9,8 @@ present k-th one has a projected distance beyond the next in order is below 1 -
 Largest inner product becomes smallest distance by one more coordinate, sqrt(M² - |x|²) for vectors and 0 for
 queries, M being the largest norm.
 
-Distribution. The upper levels of the kd-tree are cut on a sample of SAMPLE projections (a documented bound);
-every vector is then in one cell. A cell, or where cells are large a part of one, is a group that one task holds, while
+Distribution. The upper levels of the kd-tree are cut on a sample of SAMPLE projections (a documented bound, projected
+where they are read); every vector is then in one cell. A cell, or where cells are large a part of one, is a group that one task holds, while
 the queries that visit it stream past. A query first goes to its NEAR nearest cells, which give
 it a first k-th distance, then to those other cells that the stopping test does not rule out; inside a cell, leaves
 are visited in order of projected distance under the same test. A cell answers a query in one row. Equal vectors are one entry that keeps the k + 1
@@ -18,7 +18,8 @@ smallest ids (with ties to smaller ids, others can't be in any answer), so a ver
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do
 those of another length than the most common one; null ids take no part; fewer candidates than k give all of
-them; rows that repeat an id are queries and candidates of their own; ties go to the smaller id; an empty table gives an empty table.
+them; rows that repeat an id are queries and candidates of their own; ties go to the smaller id, also
+where more than k vectors tie; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,17 +33,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftable.llm.common import written
+from weftable.llm.common import scratch, written
 
 DIMS = 8
 CONFIDENCE = 0.98
 LEAF = 256
-SAMPLE = 20_000
-CELL_ROWS, LEVELS = 1024, 12
+SAMPLE = 200_000
+CELL_ROWS, LEVELS = 1024, 16
 #: Vectors of a cell that one task holds, on average.
 PART_ROWS = 8192
 #: Queries whose distances to all cells are held at once.
 AT_ONCE = 256
+#: Rows of a batch of visits, each with the query's vector.
+VISITS = 4096
 HITS = pa.list_(pa.struct([("score", pa.float64()), ("other", pa.int64())]))
 #: Cells that a query visits before it has a k-th distance.
 NEAR = 6
@@ -82,18 +85,20 @@ class Cells:
     cut: np.ndarray
 
     @classmethod
-    def fit(cls, sample: np.ndarray, bound: float, levels: int, seed: int = 11) -> Cells:
-        d = sample.shape[1]
-        out = cls(np.random.default_rng(seed).standard_normal((d + 1, DIMS)), bound, levels, np.zeros((1 << levels) - 1, np.int64), np.zeros((1 << levels) - 1))
-        parts = {0: out.project(sample, False)}
-        for node in range((1 << levels) - 1):
+    def drawn(cls, d: int, bound: float, levels: int, seed: int = 11) -> Cells:
+        return cls(np.random.default_rng(seed).standard_normal((d + 1, DIMS)), bound, levels, np.zeros((1 << levels) - 1, np.int64), np.zeros((1 << levels) - 1))
+
+    def cut_on(self, projections: np.ndarray) -> Cells:
+        """Cuts the tree at medians of the projections along their widest axes."""
+        parts = {0: projections}
+        for node in range((1 << self.levels) - 1):
             x = parts.pop(node)
             if len(x):
-                out.axis[node] = int(np.argmax(x.max(0) - x.min(0)))
-                out.cut[node] = float(np.median(x[:, out.axis[node]]))
-            left = x[:, out.axis[node]] < out.cut[node]
+                self.axis[node] = int(np.argmax(x.max(0) - x.min(0)))
+                self.cut[node] = float(np.median(x[:, self.axis[node]]))
+            left = x[:, self.axis[node]] < self.cut[node]
             parts[2 * node + 1], parts[2 * node + 2] = x[left], x[~left]
-        return out
+        return self
 
     def project(self, x: np.ndarray, query: bool) -> np.ndarray:
         extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(0.0, self.bound**2 - (x * x).sum(1)))
@@ -105,22 +110,44 @@ class Cells:
             node = 2 * node + 1 + (p[np.arange(len(p)), self.axis[node]] >= self.cut[node])
         return node - ((1 << self.levels) - 1)
 
-    def distances(self, p: np.ndarray) -> np.ndarray:
-        """Squared projected distance from each point to each cell, (n, cells)."""
-        n = len(p)
-        off = {0: np.zeros((n, DIMS))}
-        out = np.zeros((n, 1 << self.levels))
-        for node in range((1 << (self.levels + 1)) - 1):
-            o = off.pop(node)
-            if node >= (1 << self.levels) - 1:
-                out[:, node - ((1 << self.levels) - 1)] = (o * o).sum(1)
+    def _beside(self, node: np.ndarray | int, off: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets of points from both children of a node, given those from the node."""
+        at = np.broadcast_to(np.asarray(self.axis[node])[..., None], (*off.shape[:-1], 1))
+        gap = np.take_along_axis(np.broadcast_to(p, off.shape), at, -1) - np.asarray(self.cut[node])[..., None]
+        was = np.take_along_axis(off, at, -1)
+        left, right = off.copy(), off.copy()
+        np.put_along_axis(left, at, np.maximum(was, np.maximum(gap, 0)), -1)
+        np.put_along_axis(right, at, np.maximum(was, np.maximum(-gap, 0)), -1)
+        return left, right
+
+    def nearest(self, p: np.ndarray, count: int) -> np.ndarray:
+        """(n, count) cells near to each point: the nearest of those that a search of the tree meets which keeps
+        4 * count nodes of a level."""
+        node, off = np.zeros((len(p), 1), np.int64), np.zeros((len(p), 1, DIMS))
+        for _ in range(self.levels):
+            left, right = self._beside(node, off, p[:, None, :])
+            node, off = np.concatenate([2 * node + 1, 2 * node + 2], 1), np.concatenate([left, right], 1)
+            if node.shape[1] > 4 * count:
+                keep = np.argsort((off * off).sum(2), 1, kind="stable")[:, : 4 * count]
+                node, off = np.take_along_axis(node, keep, 1), np.take_along_axis(off, keep[..., None], 1)
+        order = np.argsort((off * off).sum(2), 1, kind="stable")[:, :count]
+        return np.take_along_axis(node, order, 1) - ((1 << self.levels) - 1)
+
+    def within(self, p: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, cell) of every cell whose squared projected distance is at most the point's limit."""
+        inner, points, cells = (1 << self.levels) - 1, [], []
+        stack = [(0, np.arange(len(p)), np.zeros((len(p), DIMS)))]
+        while stack:
+            node, at, off = stack.pop()
+            if node >= inner:
+                points.append(at)
+                cells.append(np.full(len(at), node - inner))
                 continue
-            a, gap = self.axis[node], p[:, self.axis[node]] - self.cut[node]
-            left, right = o.copy(), o
-            left[:, a] = np.maximum(left[:, a], np.maximum(gap, 0))
-            right[:, a] = np.maximum(right[:, a], np.maximum(-gap, 0))
-            off[2 * node + 1], off[2 * node + 2] = left, right
-        return out
+            for child, o in zip((2 * node + 1, 2 * node + 2), self._beside(node, off, p[at])):
+                ok = (o * o).sum(1) <= limit[at]
+                if ok.any():
+                    stack.append((child, at[ok], o[ok]))
+        return (np.concatenate(points), np.concatenate(cells)) if points else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def leaves(p: np.ndarray) -> list[np.ndarray]:
@@ -150,7 +177,7 @@ class Cell:
         self.high = np.stack([p[a].max(0) for a in self.tree])
 
     def search(self, q: np.ndarray, reach: np.ndarray, k: int, stop: float) -> list[np.ndarray]:
-        """For each query, indices of the vectors that may be among its k best: leaves are visited in order of
+        """For each query, indices of the vectors that may be among its k best, with all that tie: leaves are visited in order of
         projected distance until the stopping test holds. reach: squared k-th distances known so far (inf: none)."""
         pq = self.cells.project(q, True)
         gap = np.zeros((len(q), len(self.tree)))
@@ -160,12 +187,13 @@ class Cell:
         order = np.argsort(gap, 1, kind="stable")
         width = k + 1
         best = np.full((len(q), width), -np.inf)  # of inner products
-        who = np.full((len(q), width), -1)
         norms = (q * q).sum(1) + self.cells.bound**2
+        slack = 1e-9 * np.maximum(norms, 1e-30)  # products of equal rank may differ in their last digits
         live = np.arange(len(q))
+        by_query: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for step in range(len(self.tree)):
             # the query itself may be among the best of any cell, so the k-th other is the last of the k + 1
-            known = np.minimum(reach[live], norms[live] - 2 * best[live, k])
+            known = np.minimum(reach[live], norms[live] - 2 * best[live, 0])
             nearest = gap[live, order[live, step]]
             live = live[nearest <= stop * np.maximum(known, 0) * (1 + 1e-9) + 1e-12]
             if not len(live):
@@ -177,11 +205,17 @@ class Cell:
                 at = self.tree[order[rows[0], step]]
                 s = q[rows] @ self.x[at].T
                 both = np.concatenate([best[rows], s], 1)
-                ids = np.concatenate([who[rows], np.broadcast_to(at, (len(rows), len(at)))], 1)
-                top = np.argsort(-both, 1, kind="stable")[:, :width]
-                best[rows] = np.take_along_axis(both, top, 1)
-                who[rows] = np.take_along_axis(ids, top, 1)
-        return [w[w >= 0] for w in who]
+                both.partition(both.shape[1] - width, axis=1)
+                best[rows] = both[:, -width:]  # the least of them first
+                i, j = np.nonzero(s >= (best[rows, 0] - slack[rows])[:, None])
+                by_query.append((rows[i], at[j], s[i, j]))
+        if not by_query:
+            return [np.empty(0, np.int64)] * len(q)
+        who, at, s = (np.concatenate(c) for c in zip(*by_query))
+        fine = s >= (best[:, 0] - slack)[who]  # all ties of the last score stay
+        who, at = who[fine], at[fine]
+        at = at[np.argsort(who, kind="stable")]
+        return np.split(at, np.cumsum(np.bincount(who, minlength=len(q)))[:-1])
 
     def answers(self, asked: pa.RecordBatch, k: int, stop: float) -> pa.RecordBatch:
         """row, id and hits of the queries that find something here."""
@@ -232,17 +266,29 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     if not lengths:
         return empty
     d = max(lengths, key=lambda x: (lengths[x], x))
-    rows = rows.filter(F.size("v") == d)
+    with scratch(spark) as s:
+        return s.result(_found(rows.filter(F.size("v") == d), d, is_query, k, id_col, confidence, cell_rows), "ann-found")
+
+
+def _found(rows: DataFrame, d: int, is_query: Column, k: int, id_col: str, confidence: float, cell_rows: int) -> DataFrame:
+    spark = rows.sparkSession
     # equal vectors: one entry with the k + 1 smallest ids, found below each task first
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     entries = written(rows.withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ann-entries")
     queries = written(rows.filter(is_query).withColumn("row", F.monotonically_increasing_id()), "ann-queries")
     n, norm = entries.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
     levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(1, n) / cell_rows)))))
-    span = 1 << 30
-    picked = entries.filter(F.pmod(F.xxhash64("v"), F.lit(span)) < F.lit(min(span, SAMPLE * span // max(1, n) + 1))).select("v").limit(2 * SAMPLE).toArrow()
-    cells = Cells.fit(matrix(picked.column("v")) if picked.num_rows else np.zeros((1, d)), float(np.sqrt(norm)) * (1 + 1e-9), levels)
+    cells = Cells.drawn(d, float(np.sqrt(norm or 0)) * (1 + 1e-9), levels)
     stop = chi_square_quantile(confidence, DIMS)
+
+    def projected(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(cells.project(matrix(b.column("v")), False).ravel()), DIMS).cast(pa.list_(pa.float64()))], names=["p"])
+
+    span = 1 << 30
+    picked = entries.filter(F.pmod(F.xxhash64("v"), F.lit(span)) < F.lit(min(span, SAMPLE * span // max(1, n) + 1))).select("v")
+    picked = picked.mapInArrow(projected, "p array<double>").limit(2 * SAMPLE).toArrow()
+    cells.cut_on(matrix(picked.column("p")) if picked.num_rows else np.zeros((1, DIMS)))
     shared = spark.sparkContext.broadcast(cells)
 
     def place(batches):
@@ -261,19 +307,20 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
             for i in range(0, whole.num_rows, AT_ONCE):
                 b = whole.slice(i, AT_ONCE)
                 q = matrix(b.column("v"))
-                far = c.distances(c.project(q, True))
-                near = np.zeros(far.shape, bool)
-                np.put_along_axis(near, np.argsort(far, 1, kind="stable")[:, :NEAR], True, 1)
+                p = c.project(q, True)
+                near = c.nearest(p, NEAR)
                 if first:
-                    go, reach = near, np.full(len(q), np.inf)
+                    at, cell = np.repeat(np.arange(len(q)), near.shape[1]), near.ravel()
+                    reach = np.full(len(q), np.inf)
                 else:
                     kth = b.column("kth").to_numpy(zero_copy_only=False).astype(float)
                     reach = np.where(np.isnan(kth), np.inf, (q * q).sum(1) + c.bound**2 - 2 * kth)
-                    go = (far <= stop * np.maximum(reach, 0)[:, None] * (1 + 1e-9) + 1e-12) & ~near
-                at, cell = np.nonzero(go)
-                if len(at):
-                    take = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), *(b.column(n).take(take) for n in ("row", "id", "v")), pa.array(reach[at])], names=["cell", "row", "id", "v", "reach"])
+                    at, cell = c.within(p, stop * np.maximum(reach, 0) * (1 + 1e-9) + 1e-12)
+                    new = ~np.isin(at << LEVELS | cell, (np.arange(len(q))[:, None] << LEVELS | near).ravel())
+                    at, cell = at[new], cell[new]
+                for j in range(0, len(at), VISITS):
+                    take = pa.array(at[j : j + VISITS])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[j : j + VISITS], pa.int64()), *(b.column(n).take(take) for n in ("row", "id", "v")), pa.array(reach[at[j : j + VISITS]])], names=["cell", "row", "id", "v", "reach"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Vectors of a part come first and are held; queries follow and stream."""
