@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftable.llm.common import written
+from weftable.llm.common import scratch, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -32,13 +32,15 @@ def components(edges: DataFrame) -> DataFrame:
     edges: columns u and v, long; loops, repeats and either direction are allowed. Each step is a table in the
     shared folder, so lineage stays short and a lost executor costs one step.
     """
-    edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = written(edges, "edges")
-    state = _state(edges)
-    while True:
-        # every edge points from the larger node to the smaller one
-        edges = written(_large(edges), "edges")
-        edges = written(_small(edges), "edges")
-        before, state = state, _state(edges)
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    spark = edges.sparkSession
+    with scratch(spark) as whole:
+        edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        edges = written(edges, "edges")
+        state = _state(edges)
+        while True:
+            # every edge points from the larger node to the smaller one
+            with scratch(spark) as step:
+                edges = step.result(_small(written(_large(edges), "edges")), "edges")
+            before, state = state, _state(edges)
+            if state == before:
+                return whole.result(edges.select(F.col("u").alias("node"), F.col("v").alias("component")), "components")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftable.llm.common import key_and_text, map_blocks, utf8, written
+from weftable.llm.common import key_and_text, map_blocks, scratch, utf8, written
 from weftable.llm.components import components
 from weftable.llm.words import gram_hashes, word_hashes
 
@@ -37,26 +37,27 @@ SHINGLE, PERCENT = 5, 80
 ROWS, BANDS = 4, 28
 SKETCH, CUT = 512, 0.72
 BLOCK = 512
-_STEP = 2048  # shingles hashed at once
+_STEP = 1024  # shingles hashed at once
 
 
 def _family(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(seed)
-    return (r.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1))[:, None], r.integers(0, 1 << 32, n, dtype=np.uint32)[:, None]
+    return tuple(r.integers(0, 1 << 64, n, dtype=np.uint64)[:, None] for _ in "ab")
 
 
 _BANDING, _SKETCHING = _family(ROWS * BANDS, 41), _family(SKETCH, 43)
 
 
 def minima(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Minima of each universal hash a * x + b (mod 2**32) over a set of at least one."""
+    """Minima of each hash of a strongly universal family over a set of at least one: the upper halves of a * x + b
+    (mod 2**64), x being 32 bits of a shingle's hash (multiply-add-shift)."""
     a, b = family
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    x = shingles >> np.uint64(32)
     out = None
     for i in range(0, len(x), _STEP):
         low = (a * x[None, i : i + _STEP] + b).min(1)
         out = low if out is None else np.minimum(out, low)
-    return out
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
 def shingle_set(text: bytes | None, size: int = SHINGLE) -> tuple[bytes, np.ndarray]:
@@ -199,30 +200,32 @@ def open_pairs(members: DataFrame, label: DataFrame, sets: DataFrame, reps: Data
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (it is that one)."""
-    docs = key_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    profiles = written(profile(docs, shingle), "profiles")
-    full = profiles.filter("c1 is not null and doc_id is not null")
-    classes = written(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
-    chosen = classes.select("c1", "c2", F.col("node").alias("doc_id"))
-    reps = written(full.join(chosen, ["c1", "c2", "doc_id"], "left_semi").select("doc_id", "bands"), "representatives")
-
-    rows = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("node"))
-    turn = F.xxhash64("band")  # draws the leader of each bucket anew
-    drawn = F.col("node").bitwiseXOR(turn)
-    leaders = rows.groupBy("band").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high")).filter("low <> high")
-    leaders = written(leaders.select("band", F.col("low").bitwiseXOR(turn).alias("leader")), "leaders")
-    members = written(rows.join(leaders, "band").select("band", "node", "leader"), "members")
-
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = written(sets_of(docs.join(wanted, "doc_id", "left_semi"), shingle), "sets")
-    pairs = members.filter("node <> leader").select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")).distinct()
-    links = written(confirmed(written(may_link(pairs, sets), "leader-pairs"), sets), "links")
-    label = components(links)
-    more = written(confirmed(written(open_pairs(members, label, sets, reps), "open-pairs"), sets), "links")
-    if more.limit(1).count():
-        label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select("u", "v")))
-
-    named = classes.join(label, "node", "left").filter("copies > 1 or component is not null").select("c1", "c2", F.coalesce("component", "node").alias("component_id"))
-    named = written(named, "class-components")
-    out = profiles.join(named, ["c1", "c2"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    with scratch(docs.sparkSession) as s:
+        docs = key_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+        profiles = written(profile(docs, shingle), "profiles")
+        full = profiles.filter("c1 is not null and doc_id is not null")
+        classes = written(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
+        chosen = classes.select("c1", "c2", F.col("node").alias("doc_id"))
+        reps = written(full.join(chosen, ["c1", "c2", "doc_id"], "left_semi").select("doc_id", "bands"), "representatives")
+
+        rows = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("node"))
+        turn = F.xxhash64("band")  # draws the leader of each bucket anew
+        drawn = F.col("node").bitwiseXOR(turn)
+        leaders = rows.groupBy("band").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high")).filter("low <> high")
+        leaders = written(leaders.select("band", F.col("low").bitwiseXOR(turn).alias("leader")), "leaders")
+        members = written(rows.join(leaders, "band").select("band", "node", "leader"), "members")
+
+        wanted = members.select(F.col("node").alias("doc_id")).distinct()
+        sets = written(sets_of(docs.join(wanted, "doc_id", "left_semi"), shingle), "sets")
+        pairs = members.filter("node <> leader").select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")).distinct()
+        links = written(confirmed(written(may_link(pairs, sets), "leader-pairs"), sets), "links")
+        label = components(links)
+        more = written(confirmed(written(open_pairs(members, label, sets, reps), "open-pairs"), sets), "links")
+        if more.limit(1).count():
+            label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select("u", "v")))
+
+        named = classes.join(label, "node", "left").filter("copies > 1 or component is not null").select("c1", "c2", F.coalesce("component", "node").alias("component_id"))
+        named = written(named, "class-components")
+        out = profiles.join(named, ["c1", "c2"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+        out = out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        return s.result(out, "near-dup")
