@@ -4,8 +4,8 @@ vector machines between the languages of that family.
 Features are hashed byte trigrams of the lower-cased whole text with everything but letters and non-ASCII
 bytes turned to spaces; counts are square-rooted and scaled to unit length. Families are told apart by
 one-versus-rest linear SVMs, languages inside a family by one SVM for each pair. All are trained here by dual
-coordinate descent (squared hinge loss) on at most about PER_LANG labelled rows of each language (a documented
-bound: rows are taken by a hash of their id, with a rate set from the language's count), and margins become
+coordinate descent (squared hinge loss) on at most about PER_LANG labelled rows of each language and IN_ALL together (documented
+bounds: rows are taken by a hash of their id, with a rate set from the language's count), and margins become
 probabilities by a fitted logistic curve. Families are the table FAMILIES; languages not in it share one.
 
 Defined results: text that is null or has no letter gives `und` with score 0; without any labelled row every
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from weftable.llm.common import key_and_text, map_blocks, text_udf
 
-PER_LANG = 600
+#: Labelled rows learnt from: of a language, and of all languages together.
+PER_LANG, IN_ALL = 600, 24_000
 BINS = 4096
 #: Bytes of a text turned to features at once; a longer text is added up piece by piece.
 PIECE = 1 << 21
@@ -59,24 +60,26 @@ def features(text: str) -> np.ndarray:
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 40) -> np.ndarray:
-    """Weights and bias (last) of a squared-hinge SVM; y in {-1, 1}; classes weighted alike."""
-    gram = x @ x.T + 1.0
+    """Weights and bias (last) of a squared-hinge SVM by dual coordinate descent that keeps the weights, so memory is
+    that of x; y in {-1, 1}; classes weighted alike."""
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     ridge = 1 / (2 * c * weight)
-    alpha, f = np.zeros(len(y)), np.zeros(len(y))
+    norm = np.einsum("ij,ij->i", x, x).astype(np.float64) + 1.0 + ridge
+    alpha, w, bias = np.zeros(len(y)), np.zeros(x.shape[1], x.dtype), 0.0
     order = np.random.default_rng(7)
     for _ in range(epochs):
         moved = 0.0
         for i in order.permutation(len(y)):
-            g = y[i] * f[i] - 1 + alpha[i] * ridge[i]
-            new = max(0.0, alpha[i] - g / (gram[i, i] + ridge[i]))
-            if new != alpha[i]:
-                f += (new - alpha[i]) * y[i] * gram[i]
-                moved = max(moved, abs(new - alpha[i]))
-                alpha[i] = new
+            g = y[i] * (float(x[i] @ w) + bias) - 1 + alpha[i] * ridge[i]
+            step = max(0.0, alpha[i] - g / norm[i]) - alpha[i]
+            if step:
+                w += x.dtype.type(step * y[i]) * x[i]
+                bias += step * y[i]
+                alpha[i] += step
+                moved = max(moved, abs(step))
         if moved < 1e-3:
             break
-    return np.append((alpha * y) @ x, (alpha * y).sum()).astype(np.float32)
+    return np.append(w, bias).astype(np.float32)
 
 
 def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -120,7 +123,7 @@ class Model:
         machines, columns, curves = [], [], []
         for name, rows, yes in jobs:
             y = np.where(yes[rows], 1.0, -1.0)
-            w = linear_svm(x[rows].astype(np.float64), y)
+            w = linear_svm(x[rows], y)
             machines.append(name)
             columns.append(w)
             curves.append(logistic(x[rows] @ w[:-1] + w[-1], y))
@@ -160,7 +163,7 @@ def train(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, families: di
     counts = {r["lang"]: r["count"] for r in slim.groupBy("lang").count().collect()}
     if not counts:
         return Model()
-    span = 1 << 20
+    span, per_lang = 1 << 20, max(1, min(per_lang, IN_ALL // len(counts)))
     rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(span, -(-per_lang * span // n)))])
     sample = slim.filter((F.pmod(F.xxhash64("doc_id"), F.lit(span)) < rate[F.col("lang")]) & F.col("text").isNotNull())
 
