@@ -32,6 +32,7 @@ OVERLAP = 1 << 9
 GUARD = 16
 
 _loaded: dict[str, object] = {}
+_splices: dict[str, bool] = {}
 
 
 def tokenizer(path: str):
@@ -99,13 +100,15 @@ def spliced(t, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[in
 
 def count_texts(path: str, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
     t = tokenizer(path)
+    if path not in _splices:
+        _splices[path] = not path.endswith(".model") and can_splice(t)
     if path.endswith(".model"):  # sentencepiece normalises across the text, so no boundary is provably stable: whole texts
         return [len(x) for x in t.encode(texts, num_threads=1)]
     short = [i for i, x in enumerate(texts) if len(x) <= chunk]
     counts = [0] * len(texts)
     for i, e in zip(short, t.encode_batch_fast([texts[i] for i in short], add_special_tokens=False)):
         counts[i] = len(e)
-    split = can_splice(t)
+    split = _splices[path]
     for i, x in enumerate(texts):
         if len(x) > chunk:
             counts[i] = len(spliced(t, x, chunk, overlap)) if split else len(t.encode(x, add_special_tokens=False))
