@@ -3,6 +3,8 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import random
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def test_odd_rows(spark):
 
 def test_captures(spark, tmp_path):
     path = f"file://{tmp_path}/out"
-    W.write(pages(spark, ODD[:6]).withColumn("url", F.lit(None).cast("string")), path, rows=2)
+    W.write(pages(spark, ODD[:6]).withColumn("url", F.when(F.col("page_id") > 3, F.lit("http://h/a b"))), path, file_bytes=600)
     found = W.read(spark, path)
     assert found.groupBy("type").count().orderBy("type").collect() == found.sparkSession.createDataFrame([("metadata", 6), ("request", 6), ("response", 3), ("revisit", 3)], "type string, count long").collect()
     got = W.assemble(found).collect()
@@ -61,6 +63,63 @@ def test_captures(spark, tmp_path):
     bodies = {r["metadata"][0]["fields"]["pageid"]: bytes(r["capture"]["payload"]).decode() for r in got if r["capture"]["type"] == "response"}
     assert bodies == {"3": "same é", "1": "", "4": ODD[5][1]}
     assert all(r["capture"]["payload_digest"] == r["capture"]["declared_digest"] for r in got if r["capture"]["type"] == "response")
+    ids = {r["metadata"][0]["fields"]["pageid"]: r["capture"] for r in got}
+    assert {k: c["refers_to"] for k, c in ids.items() if c["type"] == "revisit"} == {"5": ids["3"]["record_id"], "9": ids["3"]["record_id"], "2": ids["1"]["record_id"]}
+    assert {c["target_uri"] for c in ids.values()} == {"urn:none", "http://h/a%20b"}
+
+
+def members(data):
+    out = []
+    while data:
+        z = zlib.decompressobj(31)
+        out.append(z.decompress(data))
+        data = z.unused_data
+    return out
+
+
+def test_every_record_is_a_member_and_revisits_say_what_they_repeat(spark, tmp_path):
+    W.write(pages(spark, ODD[:6]), f"file://{tmp_path}/out")
+    found = [m for f in (tmp_path / "out").glob("*.warc.gz") for m in members(f.read_bytes())]
+    assert len(found) == 18 and all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in found)
+    revisits = [m for m in found if b"WARC-Type: revisit" in m]
+    assert len(revisits) == 3 and all(b"WARC-Refers-To: <urn:uuid:" in m and b"WARC-Refers-To-Target-URI: http://h/" in m and b"WARC-Refers-To-Date: " in m for m in revisits)
+    # what an attempt that never committed has left behind is not read
+    (tmp_path / "out" / "lost.warc.gz").write_bytes(gzip.compress(RECORD))
+    assert W.read(spark, f"file://{tmp_path}/out").count() == 18
+
+
+def test_ranges_read_each_record_once(spark, tmp_path):
+    rng = random.Random(1)
+    records = [RECORD.replace(b"<a>", b"<%d>" % i).replace(b"Length: 5", b"Length: %d" % (n := rng.randrange(900))).replace(b"hello", rng.randbytes(n)) for i in range(300)]
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "pairs.warc.gz").write_bytes(b"".join(gzip.compress(a + b) for a, b in zip(records[::2], records[1::2])))
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    for size in (100, 1000, 7777, 1 << 20):
+        for f in tmp_path.iterdir():
+            reader = W._Reader(f"file://{f}", False, size)
+            got = [i for p in reader.partitions() for b in reader.read(p) for i in b.column("record_id").to_pylist()]
+            assert sorted(got) == sorted(f"<{i}>" for i in range(300)), (f.name, size)
+
+
+def test_hostile_records_are_error_rows(spark, tmp_path):
+    for i, (old, new) in enumerate([(b"Length: 5", b"Length: " + b"9" * 25), (b"Length: 5", b"Length: " + b"9" * 15), (b"Content-Length", b"X" * (3 << 20))]):
+        (tmp_path / f"{i}.warc").write_bytes(RECORD + RECORD.replace(old, new))
+    (tmp_path / "digest.warc").write_bytes(RECORD.replace(b"WARC-Type", b"WARC-Payload-Digest: sha1:" + b"z" * 40 + b"\r\nWARC-Type"))
+    got = W.read(spark, f"file://{tmp_path}").collect()
+    assert [r["type"] for r in got].count("error") == 3 and [r["type"] for r in got].count("response") == 4
+    assert all(r["declared_digest"] is None for r in got)
+
+
+def test_a_capture_of_very_many_records_is_dealt_out(spark):
+    df = spark.range(95).select(F.concat(F.lit("<r"), "id", F.lit(">")).alias("record_id"), F.lit("request").alias("type"), F.lit("<c>").alias("concurrent_to"))
+    df = df.union(spark.createDataFrame([("<c>", "response", None)], "record_id string, type string, concurrent_to string"))
+    for name in ("refers_to", "target_uri", "profile", "payload_digest", "declared_digest"):
+        df = df.withColumn(name, F.lit(None).cast("string"))
+    df = df.withColumns({"payload_bytes": F.lit(0), "fields": F.lit(None).cast("map<string,string>"), "payload": F.lit(None).cast("binary")})
+    got = W.assemble(df, part=10).collect()
+    assert len(got) > 5 and sum(len(r["requests"]) for r in got) == 95 and max(len(r["requests"]) for r in got) < 40
+    assert [r["part"] for r in got if r["capture"]] == [0]
 
 
 RECORD = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
@@ -82,7 +141,7 @@ def test_archives_of_others(spark, tmp_path):
 
 def test_concurrent_records_without_a_capture(spark):
     df = spark.createDataFrame([("<r>", "request", "<gone>"), ("<m>", "metadata", None), ("<c>", "response", None), ("<q>", "request", "<c>")], "record_id string, type string, concurrent_to string")
-    for name in ("target_uri", "profile", "payload_digest", "declared_digest"):
+    for name in ("refers_to", "target_uri", "profile", "payload_digest", "declared_digest"):
         df = df.withColumn(name, F.lit(None).cast("string"))
     df = df.withColumns({"payload_bytes": F.lit(0), "fields": F.lit(None).cast("map<string,string>"), "payload": F.lit(None).cast("binary")})
     got = {r["capture_id"]: r for r in W.assemble(df).collect()}
