@@ -7,6 +7,7 @@ import re
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weftable.llm import decontaminate as D
 
@@ -53,10 +54,25 @@ def test_against_brute_force_on_the_tables(spark, docs, texts):
     assert kept == {r[0] for r in want if not r[5]}
 
 
-def test_blocks_give_the_same(spark, docs, texts):
+def test_a_full_sieve_gives_the_same(spark, docs, monkeypatch):
+    """With as few bits as let nearly every window through, the join alone must decide."""
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
-    assert rows(D.report(docs, bench, block_bytes=4000)) == rows(D.report(docs, bench))
-    assert rows(D.clean(docs, bench, block_bytes=4000)) == rows(D.clean(docs, bench))
+    want, kept = rows(D.report(docs, bench)), rows(D.clean(docs, bench))
+    monkeypatch.setattr(D, "SIEVE_BITS", 1 << 10)
+    assert rows(D.report(docs, bench)) == want and rows(D.clean(docs, bench)) == kept
+
+
+def test_documents_are_read_once_and_the_benchmark_stays_off_the_driver(spark, docs):
+    """Hashes of a large benchmark become a bitmap; what is broadcast has a bound."""
+    bench = spark.range(20_000).select(F.col("id").alias("item_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{j}x"), F.col("id")) for j in range(12)]).alias("text"))
+    table = D.windows(D.key_and_text(bench, "item_id", "text"))
+    made = D.sieve(table)
+    assert made.sizes == [10] and made.bits.nbytes <= D.SIEVE_BITS // 8
+    words = [f"w{j}x77".encode() for j in range(12)]
+    assert sorted(made.candidates([b"a", *words, b"b"]).values()) == [[1], [2], [3]]
+    assert sum(len(made.candidates([b"q%d" % (50 * i + j) for j in range(50)])) for i in range(50)) < 60  # of 2,050
+    one = spark.createDataFrame([(1, " ".join(w.decode() for w in words))], "doc_id long, text string")
+    assert D.report(one, bench).select("n_hit", "n_items").first()[:] == (12, 1)
 
 
 def test_small_vocabulary(spark):
@@ -76,7 +92,6 @@ def test_odd_rows_and_empty_tables(spark, odd, empty, docs):
     bench = spark.createDataFrame([(1, "a B c d e f"), (1, "a b c d e f"), (2, None), (3, "...")], "item_id long, text string")
     want = brute([(r["doc_id"], r["text"]) for r in odd.collect()], [(r["item_id"], r["text"]) for r in bench.collect()])
     assert rows(D.report(odd, bench)) == want
-    assert rows(D.report(odd, bench, block_bytes=1)) == want
     clean = D.clean(odd, bench)
     assert clean.columns == odd.columns and clean.count() == odd.count() - sum(r[5] for r in want)
     assert D.report(empty, bench).count() == 0 and D.clean(empty, bench).count() == 0

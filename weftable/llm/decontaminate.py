@@ -7,9 +7,11 @@ words always shares a fingerprint. Documents' fingerprints are joined with the b
 extended to the WINDOW-word spans around it, which are compared word by word with the item's. Items shorter
 than WINDOW words are one window each and are looked up at their own length.
 
-The benchmark is read in blocks of at most BLOCK_BYTES of text (a documented bound, so that what is sent to
-each task is bounded whatever the benchmark's size); documents are never shuffled. With more than one block,
-the hit spans of the blocks are merged by row.
+Neither side passes through the driver. The benchmark's fingerprints and windows are tables; of their hashes the
+executors make one bitmap of at most SIEVE_BITS bits (32 MB), the only thing that is broadcast, whatever the
+benchmark's size. Documents are read once: a fingerprint that the bitmap lets through is extended to the windows
+around it, and windows that pass it as well are candidates, few rows beside the text. They are joined with the
+benchmark's windows by their words, so a result never rests on a hash. Texts that are equal are joined once.
 
 Defined results: null or wordless texts have no words and no hits; null, wordless and repeated items are
 allowed (a wordless item is never found; repeated item_ids count once); a repeated document row gives its
@@ -25,12 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from weftable.llm.common import key_and_text, map_blocks, text_udf, utf8
+from weftable.llm.common import key_and_text, map_blocks, scratch, utf8, written
 from weftable.llm.words import gram_hashes, word_hashes
 
 WINDOW, K = 10, 6
-BLOCK_BYTES = 8 << 20
+#: The bitmap has 16 bits for each distinct hash, to at most these; beyond them it lets more candidates through.
+SIEVE_BITS = 1 << 28
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -55,80 +59,77 @@ def fingerprints(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[n
     return at, grams[at]
 
 
-class Index:
-    """Fingerprints and windows of a bounded block of benchmark items, in arrays: some 40 bytes a word."""
+def salted(hashes: np.ndarray, kind: int) -> np.ndarray:
+    """Hashes of one kind (a window's length; 0 for fingerprints) kept apart from those of others."""
+    with np.errstate(over="ignore"):
+        return (hashes ^ np.uint64(kind + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
 
-    def __init__(self, items: list[tuple[object, bytes | None]]) -> None:
-        self.words: list[bytes] = []  # of all items, one after another
-        self.names: list[str] = []
-        kept, spans, prints = {}, [], []
-        for item, text in items:
+
+def windows(benchmark: DataFrame) -> DataFrame:
+    """item, words (joined by a space) and hash of each item's windows; rows of a null item hold fingerprints."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        items, spans, hashes, sizes = [], [], [], []
+        for item, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text"))):
             words = words_of(text)
-            if words:
-                spans.append((len(self.words), len(words)))
-                self.words += [kept.setdefault(w, w) for w in words]
-                self.names.append("null" if item is None else str(item))
-        h = word_hashes(self.words)
-        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        of_length: dict[int, list[int]] = {}
-        for owner, (at, n) in enumerate(spans):
-            of_length.setdefault(min(n, WINDOW), []).append(owner)
-            if n >= WINDOW:
-                prints.append(fingerprints(h[at : at + n])[1])
-        for n, owners in of_length.items():
-            starts = np.concatenate([np.arange(spans[o][0], spans[o][0] + spans[o][1] - n + 1) for o in owners])
-            owner = np.repeat(owners, [spans[o][1] - n + 1 for o in owners])
-            a, b = gram_hashes(h, n)[starts], gram_hashes(~h, n)[starts]
-            # a window that an item repeats is one entry
-            _, first = np.unique(np.stack([a, b, owner.astype(np.uint64)], 1), axis=0, return_index=True)
-            first = first[np.argsort(a[first], kind="stable")]
-            self.windows[n] = a[first], starts[first], owner[first]
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.empty(0, np.uint64)
-        # a first, cheap test of fingerprints: one bit for each value of their low 20 bits
-        self.low = np.zeros(1 << 20, bool)
-        self.low[(self.prints & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans (start, end) of the words that lie in occurrences of windows, and the items that have them."""
-        spans: list[tuple[int, int]] = []
-        items: set[str] = set()
-        if not self.windows or not words:
-            return spans, items
+            if not words:
+                continue
+            n, h = min(len(words), WINDOW), word_hashes(words)
+            name = "null" if item is None else str(item)
+            found: dict[bytes, int] = {}
+            for i, g in enumerate(salted(gram_hashes(h, n), n).view(np.int64).tolist()):
+                found.setdefault(b" ".join(words[i : i + n]), g)
+            prints = set(salted(fingerprints(h)[1], 0).view(np.int64).tolist())
+            items += [name] * len(found) + [None] * len(prints)
+            spans += [*(w.decode() for w in found), *[None] * len(prints)]
+            sizes += [n] * len(found) + [0] * len(prints)
+            hashes += [*found.values(), *prints]
+        return pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(spans, pa.string()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.int64())], names=["item", "words", "n", "hash"])
+
+    return map_blocks(benchmark, "text", run, "item string, words string, n int, hash bigint").distinct()
+
+
+class Sieve:
+    """The bitmap of hashes that the benchmark has, and the lengths of its windows."""
+
+    def __init__(self, bits: np.ndarray, sizes: list[int]) -> None:
+        self.bits, self.sizes = bits, sizes
+
+    def passes(self, hashes: np.ndarray, kind: int) -> np.ndarray:
+        at = salted(hashes, kind) & np.uint64(64 * len(self.bits) - 1)
+        return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    def candidates(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """Windows that may be the benchmark's -> where they start."""
+        found: dict[bytes, list[int]] = {}
+        if not words or not self.sizes:
+            return found
         h = word_hashes(words)
-        for n, (known, places, owners) in self.windows.items():
+        for n in self.sizes:
             grams = gram_hashes(h, n)
             if n == WINDOW:
                 at, prints = fingerprints(h)
-                maybe = self.low[(prints & np.uint64((1 << 20) - 1)).astype(np.int64)]
-                at = at[maybe][member(prints[maybe], self.prints)]
-                if not len(at):
-                    continue
+                at = at[self.passes(prints, 0)]
                 near = (at[:, None] - np.arange(WINDOW - K + 1)).ravel()
                 starts = np.unique(near[(near >= 0) & (near < len(grams))])
             else:
                 starts = np.arange(len(grams))
-            starts = starts[member(grams[starts], known)]
-            seen: dict[bytes, list[int]] = {}
-            for i in starts.tolist():
-                here = words[i : i + n]
-                key = b" ".join(here)
-                if key not in seen:
-                    low, high = np.searchsorted(known, grams[i]), np.searchsorted(known, grams[i], "right")
-                    seen[key] = [e for e in range(low, high) if self.words[places[e] : places[e] + n] == here]
-                    items.update(self.names[owners[e]] for e in seen[key])
-                if seen[key]:
-                    if spans and spans[-1][0] <= i <= spans[-1][1]:
-                        spans[-1] = (spans[-1][0], max(spans[-1][1], i + n))
-                    else:
-                        spans.append((i, i + n))
-        return merged(spans), items
-
-
-def member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known) or not len(values):
-        return np.zeros(len(values), bool)
-    i = np.searchsorted(known, values)
-    return known[np.minimum(i, len(known) - 1)] == values
+            for i in starts[self.passes(grams[starts], n)].tolist():
+                found.setdefault(b" ".join(words[i : i + n]), []).append(i)
+        return found
+
+
+def sieve(table: DataFrame) -> Sieve:
+    """Made by the executors: what comes to the driver is the bitmap, and at most WINDOW lengths."""
+    sizes = sorted(r["n"] for r in table.filter("n > 0").select("n").distinct().collect())
+    total = table.select("hash").distinct().count()
+    bits = min(SIEVE_BITS, max(1 << 16, 1 << (16 * total).bit_length()))
+    slot = F.col("hash").bitwiseAND(F.lit(bits - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    cells = table.select(F.shiftright(slot, 6).alias("cell"), one.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().view(np.uint64)
+    return Sieve(out, sizes)
 
 
 def merged(spans: list) -> list[tuple[int, int]]:
@@ -141,60 +142,52 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int):
-    """The distinct items in lists of at most `limit` bytes of text (one longer item is a list of its own)."""
-    items = key_and_text(benchmark, item_col, text_col).distinct()
-    block, size = [], 0
-    for row in items.toLocalIterator():
-        text = (row["text"] or "").encode()
-        if block and size + len(text) > limit:
-            yield block
-            block, size = [], 0
-        block.append((row["doc_id"], text))
-        size += len(text)
-    yield block
+FOUND = "array<struct<words:string,n:int,starts:array<int>>>"
+_FOUND = pa.list_(pa.struct([("words", pa.string()), ("n", pa.int32()), ("starts", pa.list_(pa.int32()))]))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document row: n_words, n_hit, items (sorted array<string>), spans (array of [start, end) in words)."""
-    sc = docs.sparkSession.sparkContext
-    slim = key_and_text(docs, id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-    parts = []
-    for block in benchmark_blocks(benchmark, item_col, item_text, block_bytes):
-        parts.append(scan(slim, sc.broadcast(block), kind))
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("doc_id", id_col)
-    # rows are told apart by a hash of the text as well, so that repeated doc_ids stay rows of their own
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    union = union.withColumn("nth", F.lit(1))
-    grouped = union.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.sum("nth") / len(parts)).cast("int").alias("copies"))
-    fold = """aggregate(array_sort(spans), cast(array() as array<array<int>>), (s, x) -> if(size(s) > 0 and x[0] <= s[size(s) - 1][1],
-        concat(slice(s, 1, size(s) - 1), array(array(s[size(s) - 1][0], greatest(s[size(s) - 1][1], x[1])))), concat(s, array(x))))"""
-    out = grouped.withColumn("spans", F.expr(fold)).withColumn("n_hit", F.expr("aggregate(spans, 0L, (s, x) -> s + x[1] - x[0])"))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(F.col("doc_id").alias(id_col), "n_words", "n_hit", "items", "spans", "digest")
-
-
-def scan(slim: DataFrame, block, kind: str) -> DataFrame:
-    built: list[Index] = []
+def scan(slim: DataFrame, made: Sieve, kind: str) -> DataFrame:
+    """doc_id, digest (MD5 of the text), n_words and the candidates of each document."""
+    shared = slim.sparkSession.sparkContext.broadcast(made)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not built:
-            built.append(Index(block.value))
-        index, n_words, n_hit, items, spans, digest = built[0], [], [], [], [], []
+        n_words, found, digest = [], [], []
         for text in utf8(batch.column("text")):
             words = words_of(text)
-            found, names = index.find(words)
             n_words.append(len(words))
-            n_hit.append(sum(b - a for a, b in found))
-            items.append(sorted(names))
-            spans.append([list(s) for s in found])
+            found.append([{"words": w.decode(), "n": w.count(b" ") + 1, "starts": at} for w, at in shared.value.candidates(words).items()])
             digest.append(hashlib.md5(text or b"").hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_hit", "items", "spans", "digest"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest, pa.string()), pa.array(n_words, pa.int64()), pa.array(found, _FOUND)], names=["doc_id", "digest", "n_words", "found"])
+
+    return map_blocks(slim, "text", run, f"doc_id {kind}, digest string, n_words bigint, found {FOUND}")
+
+
+def asked(scanned: DataFrame) -> DataFrame:
+    """digest, words, n, starts: the candidates of each distinct text."""
+    once = scanned.filter(F.size("found") > 0).groupBy("digest").agg(F.first("found").alias("found"))
+    return once.select("digest", F.explode("found").alias("f")).select("digest", "f.words", "f.n", "f.starts")
 
-    return map_blocks(slim, "text", run, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<array<int>>, digest string")
+
+@F.arrow_udf(ArrayType(ArrayType(IntegerType())))
+def _spans(found: pa.Array) -> pa.Array:
+    return pa.array([[list(s) for s in merged([(i, i + w["n"]) for w in ws for i in w["starts"]])] for ws in found.to_pylist()], pa.list_(pa.list_(pa.int32())))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per document row: n_words, n_hit, items (sorted array<string>), spans (array of [start, end) in words)."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    with scratch(docs.sparkSession) as s:
+        table = written(windows(key_and_text(benchmark, item_col, item_text).distinct()), "bench-windows")
+        scanned = written(scan(key_and_text(docs, id_col, text_col), sieve(table), kind), "doc-windows")
+        known = table.filter("n > 0")
+        hits = written(asked(scanned).join(known.select("words").distinct(), "words"), "window-hits")
+        spans = hits.groupBy("digest").agg(F.collect_list(F.struct("n", "starts")).alias("f")).select("digest", _spans("f").alias("spans"))
+        items = hits.select("digest", "words").join(known.select("words", "item"), "words").select("digest", "item").distinct().groupBy("digest").agg(F.array_sort(F.collect_list("item")).alias("items"))
+        told = written(spans.join(items, "digest"), "text-hits")
+        out = scanned.select("doc_id", "digest", "n_words").join(told, "digest", "left")
+        n_hit = F.expr("aggregate(spans, 0L, (s, x) -> s + x[1] - x[0])")
+        empty = lambda c: F.coalesce(c, F.array().cast(dict(told.dtypes)[c]))
+        return s.result(out.select(F.col("doc_id").alias(id_col), "n_words", F.coalesce(n_hit, F.lit(0).cast("bigint")).alias("n_hit"), empty("items").alias("items"), empty("spans").alias("spans")), "contamination")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -204,20 +197,13 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return found.select(key, "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents without any hit, all columns kept, in one pass for each block of the benchmark."""
-    out = docs
-    for block in benchmark_blocks(benchmark, item_col, item_text, block_bytes):
-        out = keep_clean(out, out.sparkSession.sparkContext.broadcast(block), text_col)
-    return out
-
-
-def keep_clean(docs: DataFrame, block, text_col: str) -> DataFrame:
-    built: list[Index] = []
-
-    def run(texts: pa.Array) -> pa.Array:
-        if not built:
-            built.append(Index(block.value))
-        return pa.array([not built[0].find(words_of(text))[0] for text in utf8(texts)], pa.bool_())
-
-    return docs.filter(text_udf(run, "boolean")(F.col(f"`{text_col}`").cast("string")))
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents without any hit, all columns kept; null texts stay. The digests of texts with a hit are a table of
+    the shared folder, for the caller's rows are read after this returns."""
+    spark = docs.sparkSession
+    with scratch(spark) as s:
+        table = written(windows(key_and_text(benchmark, item_col, item_text).distinct()), "bench-windows")
+        slim = docs.select(F.lit(0).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+        scanned = written(scan(slim, sieve(table), "int").filter(F.size("found") > 0).select("digest", "found"), "doc-windows")
+        hit = s.result(asked(scanned).join(table.filter("n > 0").select("words").distinct(), "words").select(F.col("digest").alias("hit")).distinct(), "contaminated")
+    return docs.alias("d").join(hit.alias("h"), F.md5(F.col(f"d.`{text_col}`").cast("string")) == F.col("h.hit"), "left_anti")
