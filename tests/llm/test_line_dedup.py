@@ -69,6 +69,29 @@ def test_insertions_and_deletions(spark):
     assert empty.counts.count() == 0
 
 
+def test_shards_split_and_only_touched_ones_change(spark, monkeypatch):
+    monkeypatch.setattr(L, "SHARD_KEYS", 8)
+    monkeypatch.setattr(L, "PARTS", 3)
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    base = [(i, "\n".join(f"line {j}" for j in range(60))) for i in range(3)]
+    more = [(100 + i, f"other {i // 2}") for i in range(12)]
+    store = L.LineStore(spark, 2, 1).insert(frame(base))
+    blobs = lambda s: {r["shard"]: bytes(r["blob"]) for r in s.filters.collect()}
+    assert store.shards == 8 and len(blobs(store)) == 8
+    one = store.insert(frame([(200, "new"), (201, "new")]))
+    before, after = blobs(store), blobs(one)
+    assert sum(before[s] != after[s] for s in before) == 1
+    all_ = base + [(200, "new"), (201, "new")] + more
+    last = one
+    for part in (more[:4], more[4:8], more[8:]):
+        last = last.insert(frame(part))
+    assert len(last.parts) <= 3 and last.shards == 16
+    for limit in (0, 1 << 20):
+        got = last.apply(frame(all_), limit=limit).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256))
+        assert rows(got) == brute(all_, 2)
+    assert last.delete(frame(more)).counts.count() == 61
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 63, (5000, 2), dtype=np.uint64)

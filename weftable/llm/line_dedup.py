@@ -1,16 +1,20 @@
 """Reversible line deduplication: sharded cuckoo filters backed by exact reference-count tables.
 
 A line's key is the line without ASCII white space at both ends and with A-Z lower-cased; keys are told apart
-by a 128-bit hash. The exact table holds, for each key, the number of document rows that have it; documents
-are inserted by adding their distinct keys and deleted by subtracting them, so the table is at any time that of
-the documents present. Beside it, one cuckoo filter for each shard of the key space holds the keys whose count
-has reached the threshold; keys that cross it upwards are inserted and those that cross it downwards deleted.
-
-A cuckoo filter never misses a key and seldom claims one too many. The claims it makes wrongly about keys of
-the exact table are listed by one pass over the table, so "in the filter and not in that list" is exact for
-every document that the table counts. Filters and list are broadcast where their measured size is at most
-BROADCAST_BYTES; texts are then not shuffled at all. Beyond that, keys are joined with the exact table, where
-Spark splits skewed partitions.
+by a 128-bit hash. The exact counts hold, for each key, the number of document rows that have it; documents are
+inserted by adding their distinct keys and deleted by subtracting them, so the counts are at any time those of the
+documents present. They are a base table and at most PARTS tables of changes, which are then added up into a new
+base: a change writes what it changes and no more. Beside them, one cuckoo filter for each shard of the key space
+holds the keys whose count has reached the threshold; keys that cross it upwards are inserted and those that cross
+it downwards deleted. Only shards with such keys are written anew; when shards hold more than SHARD_KEYS keys on
+average, they are split.
+
+A cuckoo filter never misses a key and seldom claims one too many. The claims it makes wrongly about counted keys
+are listed by one pass over the counts, so "in the filter and not in that list" is exact for every document that is
+counted. Filters and list are broadcast where their measured size is at most BROADCAST_BYTES; texts are then not
+shuffled at all. Beyond that, keys of texts go to the filter of their shard (a shard is dealt to several tasks, each
+with the filter, and keys stream past it), what it claims is joined with the exact counts, and the texts are joined
+with what is left by their digests, once.
 
 Defined results: null or empty text is one empty line, which has no key of a code point or more and stays;
 repeated rows count as documents of their own; a null doc_id is a value like any other; an empty table
@@ -19,19 +23,25 @@ gives an empty table.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftable.llm.common import map_blocks, text_udf, utf8, written
+from weftable.llm.common import map_blocks, scratch, text_udf, utf8, written
 
 SHARD_KEYS = 400_000
+#: Tables of changes beside the base of the counts.
+PARTS = 8
+#: Keys of a shard that one task asks about, on average.
+ASKED_KEYS = 2_000_000
 BROADCAST_BYTES = 64 << 20
 SLOTS, KICKS = 4, 500
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -129,14 +139,25 @@ def key_counts(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
 
 @dataclass
 class LineStore:
-    """The exact reference counts and the filters of a set of documents; insert() and delete() give the store after."""
+    """The exact reference counts and the filters of a set of documents; insert() and delete() give the store after.
+
+    Its tables are in the shared folder, and go with the scratch() that it is used in."""
 
     spark: SparkSession
     threshold: int
     min_chars: int
-    counts: DataFrame | None = None  # k1, k2, n > 0
+    parts: tuple[DataFrame, ...] = ()  # k1, k2, n: counts and changes of them
     filters: DataFrame | None = None  # shard, blob
-    shards: int = 0
+    shards: int = 1
+
+    @property
+    def counts(self) -> DataFrame:
+        """k1, k2, n of the keys that are there."""
+        if not self.parts:
+            return self.spark.createDataFrame([], "k1 bigint, k2 bigint, n bigint")
+        if len(self.parts) == 1:
+            return self.parts[0].filter("n > 0")
+        return reduce(DataFrame.unionByName, self.parts).groupBy("k1", "k2").agg(F.sum("n").alias("n")).filter("n > 0")
 
     def insert(self, docs: DataFrame, text_col: str = "text") -> LineStore:
         return self._changed(key_counts(docs, text_col, self.min_chars))
@@ -146,38 +167,34 @@ class LineStore:
         return self._changed(key_counts(docs, text_col, self.min_chars).withColumn("n", -F.col("n")))
 
     def _changed(self, delta: DataFrame) -> LineStore:
-        if self.counts is None:
-            table = delta.select("k1", "k2", F.lit(0).cast("bigint").alias("was"), "n")
-        else:
-            both = self.counts.select("k1", "k2", F.col("n").alias("was"), F.lit(0).cast("bigint").alias("d")).unionByName(delta.select("k1", "k2", F.lit(0).cast("bigint").alias("was"), F.col("n").alias("d")))
-            table = both.groupBy("k1", "k2").agg(F.sum("was").alias("was"), (F.sum("was") + F.sum("d")).alias("n"))
-        table = written(table, "line-counts")
         t = self.threshold
-        frequent = (F.col("n") >= t) | (F.col("was") >= t)
-        shards = self.shards or max(1, -(-table.filter(frequent).count() // SHARD_KEYS))
-        # a key's shard: from its first half; places in the filter come from its second
-        keys = table.filter(frequent).select(F.pmod(F.col("k1"), F.lit(shards)).cast("int").alias("shard"), "k1", "k2", "was", "n")
-        old = self.filters if self.filters is not None else self.spark.createDataFrame([], "shard int, blob binary")
-
-        def renew(left: pa.Table, right: pa.Table) -> pa.Table:
-            shard = (left if left.num_rows else right).column("shard")[0].as_py()
-            pairs = np.stack([right.column(c).to_numpy() for c in ("k1", "k2")], 1).view(np.uint64) if right.num_rows else np.empty((0, 2), np.uint64)
-            was, n = (right.column(c).to_numpy() for c in ("was", "n"))
-            up, down, now = (was < t) & (n >= t), (was >= t) & (n < t), n >= t
-            ok = False
-            if left.num_rows:
-                f = CuckooFilter.of_bytes(left.column("blob")[0].as_py())
-                f.delete(pairs[down])
-                ok = f.insert(pairs[up])
-            size = int(now.sum())
-            while not ok:
-                f = CuckooFilter.of_size(size)
-                ok = f.insert(pairs[now])
-                size = 2 * size + 16
-            return pa.table({"shard": pa.array([shard], pa.int32()), "blob": pa.array([f.cells.tobytes()], pa.binary())})
-
-        filters = written(old.groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(renew, "shard int, blob binary"), "line-filters")
-        return LineStore(self.spark, t, self.min_chars, table.filter("n > 0").select("k1", "k2", "n"), filters, shards)
+        delta = written(delta, "line-changes")
+        after = LineStore(self.spark, t, self.min_chars, (*self.parts, delta), self.filters, self.shards)
+        if len(after.parts) > PARTS:
+            after.parts = (written(after.counts, "line-counts"),)
+        frequent = after.counts.filter(F.col("n") >= t)
+        if self.parts:
+            changed = delta.withColumnRenamed("n", "d").join(self.counts, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("n", F.lit(0)).alias("was"), (F.coalesce("n", F.lit(0)) + F.col("d")).alias("n"))
+            many = frequent.count()
+        else:
+            changed = delta.select("k1", "k2", F.lit(0).cast("bigint").alias("was"), "n")
+            many = delta.filter(F.col("n") >= t).count()
+        wanted = 1 << max(0, (-(-many // SHARD_KEYS) - 1).bit_length())
+        if self.filters is None or wanted > self.shards:
+            after.shards = max(wanted, self.shards)
+            after.filters = written(_filters(_sharded(frequent, after.shards)), "line-filters")
+            return after
+        crossing = _sharded(changed.filter((F.col("was") < t) != (F.col("n") < t)), self.shards)
+        crossing = written(crossing.select("shard", "k1", "k2", (F.col("n") >= t).alias("up")), "line-crossing")
+        touched = crossing.select("shard").distinct()
+        renewed = self.filters.join(touched, "shard", "left_semi").groupBy("shard").cogroup(crossing.groupBy("shard")).applyInArrow(_renewed, "shard int, blob binary")
+        renewed = written(renewed, "line-renewed")
+        # a filter that is full has no blob now: it is made anew from the exact counts
+        full = renewed.filter("blob is null").select("shard")
+        anew = _filters(_sharded(frequent, self.shards).join(full, "shard", "left_semi"))
+        kept = self.filters.join(touched, "shard", "left_anti")
+        after.filters = written(kept.unionByName(renewed.filter("blob is not null")).unionByName(anew), "line-filters")
+        return after
 
     def _broadcastable(self, limit: int):
         """Filters and the list of their wrong claims, if together within the limit; else None."""
@@ -232,25 +249,45 @@ class LineStore:
         return _shown(slim.select("text", "row", text_udf(run, CHANGED)(F.col("text")).alias("made")))
 
     def _joined(self, slim: DataFrame) -> DataFrame:
-        """The way for stores beyond the limit: keys meet the exact table in a join."""
-        min_chars = self.min_chars
-        slim = slim.withColumn("digest", F.unhex(F.sha2("text", 256)))
+        """The way for stores beyond the limit: keys meet their shard's filter, claims the exact counts."""
+        min_chars, shards = self.min_chars, self.shards
+        slim = slim.withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
 
         def keys(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            who, what = [], []
+            found: dict[bytes, set] = {}
             for d, t in zip(batch.column("digest").to_pylist(), utf8(batch.column("text"))):
-                ks = set(line_keys(t, min_chars)) - {None}
-                who += [d] * len(ks)
-                what += ks
+                if d not in found:
+                    found[d] = set(line_keys(t, min_chars)) - {None}
+            what = [k for ks in found.values() for k in ks]
             if not what:
                 return None
             pairs = as_pairs(what).view(np.int64)
+            who = [d for d, ks in found.items() for _ in ks]
             return pa.RecordBatch.from_arrays([pa.array(who, pa.binary()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["digest", "k1", "k2"])
 
-        texts = slim.select("digest", "text").dropDuplicates(["digest"])
-        asked = map_blocks(texts, "text", keys, "digest binary, k1 bigint, k2 bigint")
+        asked = written(_sharded(map_blocks(slim.select("digest", "text"), "text", keys, "digest binary, k1 bigint, k2 bigint"), shards), "line-asked")
+        ways = max(1, -(-asked.count() // (shards * ASKED_KEYS)))
+        sides = [
+            self.filters.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))).withColumn("is_key", F.lit(False)),
+            asked.withColumn("way", F.pmod(F.xxhash64("digest"), F.lit(ways)).cast("int")).withColumn("is_key", F.lit(True)),
+        ]
+
+        def claimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The filter comes first; keys stream past it."""
+            held = None
+            for b in batches:
+                is_key = b.column("is_key")
+                for blob in b.filter(pc.invert(is_key)).column("blob").to_pylist():
+                    held = CuckooFilter.of_bytes(blob)
+                b = b.filter(is_key)
+                if held is not None and b.num_rows:
+                    pairs = np.stack([b.column(c).to_numpy() for c in ("k1", "k2")], 1).view(np.uint64)
+                    yield b.select(["digest", "k1", "k2"]).filter(pa.array(held.has(pairs)))
+
+        dealt = sides[0].unionByName(sides[1], allowMissingColumns=True).repartition("shard", "way").sortWithinPartitions("shard", "way", "is_key")
+        claims = dealt.groupBy("shard", "way").applyInArrow(claimed, "digest binary, k1 bigint, k2 bigint")
         frequent = self.counts.filter(F.col("n") >= self.threshold).select("k1", "k2")
-        hits = asked.join(frequent, ["k1", "k2"]).groupBy("digest").agg(F.collect_list(F.struct("k1", "k2")).alias("hits"))
+        hits = claims.distinct().join(frequent, ["k1", "k2"]).groupBy("digest").agg(F.collect_list(F.struct("k1", "k2")).alias("hits"))
         joined = slim.join(written(hits, "line-hits"), "digest", "left")
 
         def run(column: pa.Array) -> pa.Array:
@@ -262,6 +299,40 @@ class LineStore:
         return _shown(joined.select("text", "row", made.alias("made")))
 
 
+def _sharded(keys: DataFrame, shards: int) -> DataFrame:
+    """A key's shard is by its first half; its places in the filter come from the second."""
+    return keys.withColumn("shard", F.col("k1").bitwiseAND(F.lit(shards - 1)).cast("int"))
+
+
+def _pairs(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy() for c in ("k1", "k2")], 1).view(np.uint64) if table.num_rows else np.empty((0, 2), np.uint64)
+
+
+def _filter_row(shard: int, f: CuckooFilter | None) -> pa.Table:
+    return pa.table({"shard": pa.array([shard], pa.int32()), "blob": pa.array([f.cells.tobytes() if f else None], pa.binary())})
+
+
+def _filters(keys: DataFrame) -> DataFrame:
+    """A filter for each shard of these keys."""
+
+    def made(table: pa.Table) -> pa.Table:
+        pairs = _pairs(table)
+        size = len(pairs)
+        while not (f := CuckooFilter.of_size(size)).insert(pairs):
+            size = 2 * size + 16
+        return _filter_row(table.column("shard")[0].as_py(), f)
+
+    return keys.select("shard", "k1", "k2").groupBy("shard").applyInArrow(made, "shard int, blob binary")
+
+
+def _renewed(old: pa.Table, crossing: pa.Table) -> pa.Table:
+    """A shard's filter after a change; no blob where the keys don't fit any more."""
+    pairs, up = _pairs(crossing), crossing.column("up").to_numpy(zero_copy_only=False)
+    f = CuckooFilter.of_bytes(old.column("blob")[0].as_py()) if old.num_rows else CuckooFilter.of_size(int(up.sum()))
+    f.delete(pairs[~up])
+    return _filter_row(crossing.column("shard")[0].as_py(), f if f.insert(pairs[up]) else None)
+
+
 #: What Python says of a text: kept only where lines are gone.
 CHANGED = "n_lines bigint, n_dropped bigint, kept string"
 
@@ -292,7 +363,7 @@ class Filters:
         if self.shards == 1:
             return self.of[0].has(pairs) if self.of else np.zeros(len(pairs), bool)
         out = np.zeros(len(pairs), bool)
-        shard = np.mod(pairs[:, 0].astype(np.int64), self.shards)
+        shard = (pairs[:, 0] & np.uint64(self.shards - 1)).astype(np.int64)
         for s, f in self.of.items():
             at = np.flatnonzero(shard == s)
             if len(at):
@@ -321,6 +392,6 @@ def without_lines(docs: DataFrame, threshold: int = 10, min_chars: int = 1, text
 
 
 def report(docs: DataFrame, threshold: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    slim = docs.select(id_col, text_col)
-    out = dedup_lines(slim, threshold, min_chars, text_col)
-    return out.select(id_col, "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+    with scratch(docs.sparkSession) as s:
+        out = dedup_lines(docs.select(id_col, text_col), threshold, min_chars, text_col)
+        return s.result(out.select(id_col, "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256")), "line-dedup")
