@@ -1,11 +1,15 @@
 """Byte-level BPE encoding and decoding by a rank file.
 
-The merges of a long pre-token are driven by a hierarchical-bitmap rank queue: one bucket per merge rank
-holds the positions (in a linked list of tokens) of pairs of that rank; three levels of 64-bit words tell
-which buckets are filled, so that find-first-set gives the next rank in three steps. A merge leaves the
-entries of the pairs that it destroyed behind; they are recognised as stale when popped and skipped. The
-cost of a pre-token of n bytes is O(n log n), whatever its pairs are. Pre-tokens of at most SHORT bytes
-use a plain scan for the lowest rank, which gives the same merges and costs less there.
+A pre-token that is no rank itself is merged by a hierarchical-bitmap rank queue: one bucket per merge rank holds
+the positions (in a linked list of tokens) of pairs of that rank; three levels of 64-bit words tell which buckets are
+filled, so that find-first-set gives the next rank in three steps. A merge leaves the entries of the pairs that it
+destroyed behind; they are recognised as stale and skipped. All is in flat lists that outlive a call. The new
+pre-tokens of a text lie in one such list side by side, with fences that no pair crosses, so setting up costs little
+for short ones, and a pre-token of n bytes costs O(n log n) whatever its pairs are. The queue suits long pre-tokens:
+on those of at most SCAN bytes, a scan for the lowest rank before each merge gives the same ids in half the time.
+
+A text is cut by the pattern. For PLAIN, whose matches always end where white space begins, runs up to there are
+looked up in a cache first; other patterns' own matches are.
 
 Defined results: null text encodes as empty text (no ids, empty bytes); rows keep their number, so repeated
 rows give repeated results; ties in rank go to the leftmost pair; an empty table gives an empty table.
@@ -16,7 +20,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from heapq import heappop, heappush
 from itertools import islice
 
 import pyarrow as pa
@@ -25,12 +28,17 @@ from pyspark.sql import DataFrame
 
 from weftable.llm.common import key_and_text, map_blocks
 
-SHORT = 48
-#: White space as the patterns of public rank files mean it.
+#: The pattern of the public byte-level rank files that PARTS is right for. Fixed value.
+PLAIN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space as that pattern means it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Cuts a text where such a pattern always ends a match: before white space that follows another character, and
-#: after it, the last plain space going with what follows. So each part can be encoded by itself.
+#: Cuts a text where PLAIN always ends a match: before white space that follows another character, and after it, the
+#: last plain space going with what follows. So each part can be encoded by itself.
 PARTS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Bytes of a pre-token up to which a scan finds the next merge; measured, it is faster to about 24 bytes.
+SCAN = 16
+#: Longer parts, in characters, aren't kept in the cache.
+KEPT = 48
 #: Entries of a generation of the cache of parts; at most two generations live in a worker.
 CACHE = 120_000
 #: Parts handled at once, so that the memory for one huge text stays bounded.
@@ -38,29 +46,30 @@ PIECES = 1 << 16
 
 
 class RankQueue:
-    """A priority queue of (rank, position) for ranks below 64**4: buckets under a bitmap of three levels."""
+    """Positions in buckets by rank, under a bitmap of three levels; for ranks below `ranks`."""
 
     __slots__ = ("buckets", "leaf", "mid", "top")
 
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.leaf: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
+    def __init__(self, ranks: int) -> None:
+        self.buckets: list[list[int]] = [[] for _ in range(ranks)]
+        self.leaf = [0] * ((ranks >> 6) + 1)
+        self.mid = [0] * ((ranks >> 12) + 1)
         self.top = 0
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
+    def mark(self, rank: int) -> None:
+        """Tells the bitmap of a bucket that is no longer empty."""
         a, b = rank >> 6, rank >> 12
-        self.leaf[a] = self.leaf.get(a, 0) | 1 << (rank & 63)
-        self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
+        self.leaf[a] |= 1 << (rank & 63)
+        self.mid[b] |= 1 << (a & 63)
         self.top |= 1 << b
 
-    def pop(self) -> tuple[int, int] | None:
-        """The leftmost position of the lowest rank; None when the queue is empty."""
+    def push(self, rank: int, position: int) -> None:
+        if not (bucket := self.buckets[rank]):
+            self.mark(rank)
+        bucket.append(position)
+
+    def pop(self) -> tuple[int, list[int]] | None:
+        """The lowest rank and its positions from left to right; None when the queue is empty."""
         if not self.top:
             return None
         b = (self.top & -self.top).bit_length() - 1
@@ -68,57 +77,91 @@ class RankQueue:
         a = b << 6 | (w & -w).bit_length() - 1
         w = self.leaf[a]
         rank = a << 6 | (w & -w).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.leaf[a] &= ~(1 << (rank & 63))
-            if not self.leaf[a]:
-                self.mid[b] &= ~(1 << (a & 63))
-                if not self.mid[b]:
-                    self.top &= ~(1 << b)
-        return rank, position
-
-
-def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a pre-token by the rank queue."""
-    n = len(piece)
-    after, before, key = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-    queue = RankQueue()
-    for i in range(n - 1):
-        r = ranks.get(piece[i : i + 2])
-        if r is not None:
-            key[i] = r
-            queue.push(r, i)
-
-    def renew(i: int) -> None:
-        j = after[i]
-        r = ranks.get(piece[i : after[j]]) if j < n else None
-        key[i] = -1 if r is None else r
-        if r is not None:
-            queue.push(r, i)
-
-    while (found := queue.pop()) is not None:
-        r, i = found
-        if key[i] != r:
-            continue  # stale
-        j = after[i]
-        k = after[i] = after[j]
-        key[j] = -1
-        if k < n:
-            before[k] = i
-        renew(i)
-        if before[i] >= 0:
-            renew(before[i])
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return ids
-
-
-def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a pre-token by scanning for the lowest rank before each merge."""
+        self.leaf[a] = w & (w - 1)
+        if not self.leaf[a]:
+            self.mid[b] &= self.mid[b] - 1
+            if not self.mid[b]:
+                self.top &= self.top - 1
+        found, self.buckets[rank] = self.buckets[rank], []
+        found.sort()
+        return rank, found
+
+
+class Merges:
+    """The merges of a rank file: ids of pre-tokens by the queue. A token's id is the rank that made it."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.name = {i: str(i) for i in ranks.values()}
+        self.byte = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.pair = [-1] * (1 << 16)  # of two bytes
+        for b, i in ranks.items():
+            if len(b) == 2:
+                self.pair[b[0] << 8 | b[1]] = i
+
+    def ids(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each pre-token, by one run of the queue over all of them."""
+        data = b"".join(pieces)
+        n, get, pair, queue = len(data), self.ranks.get, self.pair, self.queue
+        buckets, mark = queue.buckets, queue.mark
+        token, key = list(map(self.byte.__getitem__, data)), [-1] * n
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        fence = bytearray(n + 1)  # 1 where a piece begins
+        fence[n] = 1
+        i = 0
+        for p in pieces:
+            fence[i] = 1
+            was = p[0]
+            for now in p[1:]:
+                r = pair[was << 8 | now]
+                if r >= 0:
+                    key[i] = r
+                    if not (bucket := buckets[r]):
+                        mark(r)
+                    bucket.append(i)
+                was = now
+                i += 1
+            i += 1
+        while (found := queue.pop()) is not None:
+            r, places = found
+            for nth, i in enumerate(places):
+                if key[i] != r:
+                    continue  # stale
+                token[i] = r
+                j = after[i]
+                k = after[i] = after[j]
+                key[j] = s = t = -1
+                if not fence[k]:
+                    before[k] = i
+                    if (s := get(data[i : after[k]], -1)) >= 0:
+                        if not (bucket := buckets[s]):
+                            mark(s)
+                        bucket.append(i)
+                key[i] = s
+                if not fence[i]:
+                    h = before[i]
+                    key[h] = t = get(data[h:k], -1)
+                    if t >= 0:
+                        if not (bucket := buckets[t]):
+                            mark(t)
+                        bucket.append(h)
+                if 0 <= s < r or 0 <= t < r:  # a lower rank has come up: it goes first
+                    for p in places[nth + 1 :]:
+                        queue.push(r, p)
+                    break
+        out, i = [], 0
+        for p in pieces:
+            ids, end = [], i + len(p)
+            while i < end:
+                ids.append(token[i])
+                i = after[i]
+            out.append(ids)
+        return out
+
+
+def scanned(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a short pre-token, by scanning for the lowest rank before each merge."""
     none = 1 << 62
     get = ranks.get
     cut = list(range(len(piece) + 1))
@@ -143,44 +186,58 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes_of = {str(i): b for b, i in self.ranks.items()}
-        self.find = regex.compile(pattern)
+        self.merges = Merges(self.ranks)
+        self.pattern = regex.compile(pattern)
+        self.plain = pattern == PLAIN
         self.young: dict[str, str] = {}
         self.old: dict[str, str] = {}
 
-    def piece(self, piece: bytes) -> list[int]:
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        return (merge_short if len(piece) <= SHORT else merge_long)(piece, self.ranks)
-
-    def missed(self, piece: str) -> str:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = " ".join([str(i) for p in self.find.findall(piece) for i in self.piece(p.encode())])
-            if len(piece) > SHORT:
-                return ids
-        if len(self.young) >= CACHE:
-            self.old, self.young = self.young, {}
-        self.young[piece] = ids
-        return ids
-
     def runs(self, text: str):
         """The ids of a whole text as strings of decimal ids joined by a space, a bounded run of parts at a time."""
-        if len(text) <= 4 * PIECES:
-            pieces = PARTS.findall(text)
-            if pieces:
+        if self.plain and len(text) <= 4 * PIECES:
+            if pieces := PARTS.findall(text):
                 yield self.joined(pieces)
             return
-        found = (m.group() for m in PARTS.finditer(text))
-        while pieces := list(islice(found, PIECES)):
+        found = (m.group() for m in (PARTS if self.plain else self.pattern).finditer(text))
+        while pieces := [p for p in islice(found, PIECES) if p]:
             yield self.joined(pieces)
 
     def joined(self, pieces: list[str]) -> str:
-        try:
-            return " ".join(map(self.young.__getitem__, pieces))
-        except KeyError:
-            get, missed = self.young.get, self.missed
-            return " ".join([get(p) or missed(p) for p in pieces])
+        young = self.young
+        ids = list(map(young.get, pieces))
+        if missed := [i for i, x in enumerate(ids) if x is None]:
+            new = {pieces[i] for i in missed}
+            got = {p: self.old[p] for p in new if p in self.old}
+            got |= self.encoded(new - got.keys())
+            for i in missed:
+                ids[i] = got[pieces[i]]
+            if len(young) >= CACHE:
+                self.old, self.young = young, {}
+            self.young |= {p: x for p, x in got.items() if len(p) <= KEPT}
+        return " ".join(ids)
+
+    def encoded(self, parts: set[str]) -> dict[str, str]:
+        """Ids of parts that no cache holds; those of their long pre-tokens that are no rank go through the queue together."""
+        out, cut, get, name = {}, {}, self.ranks.get, self.merges.name
+        if self.plain:  # a part of ASCII letters is one pre-token
+            cut = {p: self.pattern.findall(p) for p in parts if not (p.isascii() and (p.isalpha() or (p[0] == " " and p[1:].isalpha())))}
+            parts = (parts - cut.keys()) | {x for xs in cut.values() for x in xs}
+        hard, whose = [], []
+        for p in parts:
+            b = p.encode()
+            r = get(b)
+            if r is not None:
+                out[p] = name[r]
+            elif len(b) <= SCAN:
+                out[p] = " ".join([name[i] for i in scanned(b, self.ranks)])
+            else:
+                hard.append(b)
+                whose.append(p)
+        for p, ids in zip(whose, self.merges.ids(hard) if hard else ()):
+            out[p] = " ".join([name[i] for i in ids])
+        for p, xs in cut.items():
+            out[p] = " ".join([out[x] for x in xs])
+        return out
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(" "))) if ids else b""
