@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from pathlib import Path
 
 import duckdb
 import public_tokenizers as P
@@ -56,6 +57,28 @@ def test_stages_keep_columns(spark, odd, empty):
         assert corpus_pipeline.STAGES[-1][1](spark, df, SF).count() == df.count()
 
 
+def test_stages_on_odd_rows(spark, odd):
+    ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=str)
+    everyone = ids(odd)
+    stage = {n: (lambda df, f=f: f(spark, df, SF)) for n, f in corpus_pipeline.STAGES}
+    assert ids(stage["language_id"](odd)) == sorted([4, 5, 7, 7, None, 10], key=str)
+    lines = stage["line_dedup"](odd)
+    assert ids(lines) == everyone and {r["doc_id"]: r["text"] for r in lines.collect()}[1] is None
+    near_ = stage["near_dedup"](odd)
+    assert ids(near_) == sorted([1, 2, 3, 4, 6, 7, None, 8, 9, 10], key=str)
+    assert ids(stage["near_dedup"](odd.union(odd.filter("doc_id is null")))) == ids(near_)
+    assert ids(stage["decontamination"](odd)) == everyone
+    assert {r["doc_id"]: r["n_tokens"] for r in stage["byte_bpe"](odd).collect()}[1] == 0
+
+
+def test_no_table_is_left_but_the_last(spark, tmp_path):
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(root.iterdir())
+    entry.queries()["op4_minhash"](spark, SF).count()
+    entry.queries()["op8_line_dedup"](spark, SF).count()
+    assert sorted(p.name.rsplit("-", 1)[0] for p in set(root.iterdir()) - before) == ["line-dedup", "near-dup"]
+
+
 def test_stages_are_the_ones_asked_for():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "byte_bpe"]
 
