@@ -102,8 +102,71 @@ def test_wider_gates():
         assert time.process_time() - began < 12, t[:10]
 
 
+def test_languages():
+    for kind, text in (
+        ("email", "juan arroba correo punto es"), ("email", "marie point dupont arobase exemple point fr"), ("email", "max punkt muster at beispiel punkt de"), ("email", "bob (ät) firma (punkt) de"), ("email", "bob at mail dot museum"), ("email", "john (  at  ) example.com"),
+        ("phone", "plus vier neun drei null eins zwei drei vier fünf sechs sieben"), ("phone", "plus trois trois un quatre deux sept six huit neuf zéro cinq"), ("phone", "más tres cuatro nueve uno dos tres cuatro cinco seis siete ocho"),
+        ("ip", "192 punkt 168 punkt 0 punkt 1"), ("ip", "uno nueve dos punto uno seis ocho punto cero punto uno"), ("card", "vier 111 1111 1111 1111"),
+    ):
+        assert disguise(f"x: {text}, y") == [(kind, text)], text
+
+
+def test_any_number_of_spoken_dots():
+    name, host = " dot ".join("abcdefghijklmnopqrst"), " dot ".join([*"abcdefghijklmnopqrst", "org"])
+    assert disguise(f"to {name} at {host} now")[0][1].endswith(f"{name} at {host}")
+
+
+SAID = {k: [w.split("/")[0] for w in v["digits"].split()] for k, v in P.SPOKEN.items()}
+
+
+def hidden(rng, kind):
+    """A finding and a disguise of it, by one of the ways that the transducers undo."""
+    lang = rng.choice(list(P.SPOKEN))
+    word = lambda name: rng.choice(P.SPOKEN[lang][name].split())
+    say = lambda s, p=1.0: " ".join(SAID[lang][int(c)] if rng.random() < p else c for c in s)
+    wide = lambda s: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in s)
+    letters = lambda n: "".join(rng.choice("bcdfgklmnrstvwz") for _ in range(n))
+    if kind == "email":
+        parts = [letters(5) for _ in range(rng.randint(1, 3))]
+        host = [letters(6) for _ in range(rng.randint(1, 2))] + [rng.choice(["com", "org", "de", "fr", "es", "museum"])]
+        box = lambda x: rng.choice(["[{}]", "({})", " [{}] ", " ( {} ) ", "<{}>", "{{{}}}"]).format(x)
+        way = rng.randrange(4)
+        if way == 0:
+            return f" {word('dot')} ".join(parts) + f" {word('at')} " + f" {word('dot')} ".join(host)
+        if way == 1:
+            return ".".join(parts) + box(rng.choice(["at", "@", word("at")])) + box(rng.choice(["dot", ".", word("dot")])).join(host)
+        if way == 2:
+            return "ｍ" + ".".join(parts) + "\uff20" + ".".join(host).replace("c", "с")
+        return ".".join(parts) + "​@" + ".".join(host)
+    if kind == "ip":
+        octets = [str(rng.randint(0, 255)) for _ in range(4)]
+        way = rng.randrange(3)
+        dot = f" {word('dot')} "
+        return dot.join(octets) if way == 0 else dot.join(map(say, octets)) if way == 1 else wide(".".join(octets))
+    if kind == "card":
+        while not P.luhn(n := "".join(str(rng.randint(0, 9)) for _ in range(16))):
+            pass
+        return rng.choice([lambda: say(n), lambda: wide(n), lambda: n[:12] + " " + say(n[12:])])()
+    n = str(rng.randint(1, 9)) + "".join(str(rng.randint(0, 9)) for _ in range(11))
+    return rng.choice([lambda: f"{word('plus')} {say(n)}", lambda: "+" + wide(n), lambda: f"+{n[:6]} {say(n[6:])}"])()
+
+
+def test_recall_of_disguises_by_kind():
+    """Generated disguises, each in a sentence; a hit covers all of it."""
+    import random
+
+    rng = random.Random(9)
+    for kind in P.KINDS:
+        hits = 0
+        for _ in range(400):
+            text = hidden(rng, kind)
+            hits += any(k == kind and text.strip() in t for k, t in disguise(f"note: {text}; end"))
+        print(kind, hits / 400)
+        assert hits >= 380, (kind, hits)
+
+
 def test_clean_text_stays_clean():
-    for t in ("We met at noon and looked at the dot on the map.", "One two three, said the man at the door.", "Привет, как дела? Это текст о котах.", "Rock (at) roll", "version 1.2.3 at 10 dot"):
+    for t in ("We met at noon and looked at the dot on the map.", "One two three, said the man at the door.", "Привет, как дела? Это текст о котах.", "Rock (at) roll", "version 1.2.3 at 10 dot", "Le point de vue est un point important.", "Der Punkt ist um eins erreicht.", "El punto es uno de los dos."):
         assert P.disguised(t, P.detect(t)) == [], t
 
 

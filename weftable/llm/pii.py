@@ -89,27 +89,50 @@ _LIKE = {
 _GONE = frozenset("­᠎​‌‍⁠⁡⁢⁣﻿")
 #: Characters that a disguise may use; Latin letters with accents are none.
 _ODD = re.compile("[­·ıɑɡͰ-ϿЀ-ԯ٠-٩۰-۹०-९᠎ -₟℀-↏−①-⓿。＀-￯﻿\U0001d400-\U0001d7ff\U0001fbf0-\U0001fbf9]")
-_NUMBERS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_NUMBER = "(?:" + "|".join(_NUMBERS) + ")"
+#: Spoken forms by language: digits from 0 on (spellings parted by "/"), signs, and words for repetition.
+SPOKEN = {
+    "en": {"digits": "zero/oh one two three four five six seven eight nine", "at": "at", "dot": "dot", "plus": "plus", "double": "double", "triple": "triple"},
+    "de": {"digits": "null eins zwei/zwo drei vier fünf/fuenf sechs sieben acht neun", "at": "at ät klammeraffe", "dot": "punkt", "plus": "plus", "double": "doppel", "triple": "dreifach"},
+    "fr": {"digits": "zéro/zero un/une deux trois quatre cinq six sept huit neuf", "at": "arobase arrobas", "dot": "point", "plus": "plus", "double": "double", "triple": "triple"},
+    "es": {"digits": "cero uno/una dos tres cuatro cinco seis siete ocho nueve", "at": "arroba", "dot": "punto", "plus": "más mas", "double": "doble", "triple": "triple"},
+}
+
+
+def _either(words) -> str:
+    return "(?:" + "|".join(sorted(set(words), key=lambda w: (-len(w), w))) + ")"
+
+
+def _said(name: str) -> list[str]:
+    return [w for spoken in SPOKEN.values() for w in spoken[name].split()]
+
+
+_NUMBERS = {w: str(i) for spoken in SPOKEN.values() for i, ws in enumerate(spoken["digits"].split()) for w in ws.split("/")}
+_TIMES_OF = dict.fromkeys(_said("double"), 2) | dict.fromkeys(_said("triple"), 3)
+_PLUS_WORDS = frozenset(_said("plus"))
+_NUMBER, _AT, _DOT, _PLUS, _MANY = _either(_NUMBERS), _either(_said("at")), _either(_said("dot")), _either(_PLUS_WORDS), _either(_TIMES_OF)
+_SIGN = dict.fromkeys(_said("at"), "@") | dict.fromkeys(_said("dot"), ".")
 _SEP = r"[ ,.-]{1,3}"
-_TIMES = r"(?:(?:double|triple)[ -]+)?"
+_TIMES = rf"(?:{_MANY}[ -]+)?"
 _DIGITS = rf"{_TIMES}(?:{_NUMBER}|[0-9]++)"
 #: A run of spelled digits and digits, with "plus" before, "double" and "triple" among them, and a spoken "dot" beside it.
-_SPELLED = re.compile(rf"(?P<before>\bdot[ \t]+)?\b(?P<run>(?:plus{_SEP})?{_DIGITS}(?:{_SEP}{_DIGITS})*)\b(?=(?P<after>[ \t]+dot\b)?)", re.I)
+_SPELLED = re.compile(rf"(?P<before>\b{_DOT}[ \t]+)?\b(?P<run>(?:{_PLUS}{_SEP})?{_DIGITS}(?:{_SEP}{_DIGITS})*)\b(?=(?P<after>[ \t]+{_DOT}\b)?)", re.I)
 _ANY_NUMBER = re.compile(_NUMBER, re.I)
-_SPELLED_TOKEN = re.compile(rf"plus|double|triple|{_NUMBER}|[0-9]+", re.I)
-_BOXED = re.compile(r"(?<![ \t])[ \t]*[\[({<][ \t]*(at|dot|@|\.)[ \t]*[\])}>][ \t]*", re.I)
+_SPELLED_TOKEN = re.compile(rf"{_PLUS}|{_MANY}|{_NUMBER}|[0-9]+", re.I)
+_BOXED = re.compile(rf"(?<![ \t])[ \t]*[\[({{<][ \t]*({_AT}|{_DOT}|@|\.)[ \t]*[\])}}>][ \t]*", re.I)
 _LABEL = r"[A-Za-z0-9-]+"
-_TOP = f"(?:{TOP})"
-#: "name at host dot com", with one spelled dot at least in the host and a top-level domain as last label, for "at" and "dot" are words too.
-#: At most eight spelled dots on either side of the "at", so that a long run of them costs linear time.
-_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9._%+-]++[ \t]+dot[ \t]+){{0,8}}[A-Za-z0-9._%+-]++(?:[ \t]+at[ \t]+|[ \t]*@[ \t]*){_LABEL}(?:\.{_LABEL})*(?:[ \t]+dot[ \t]+{_LABEL}(?:\.{_LABEL})*){{0,8}}[ \t]+dot[ \t]+(?:{_LABEL}\.)*{_TOP}(?![A-Za-z0-9-])", re.I)
-#: "name at host.com": a plain dot in the host. Its last label is in one case, for "at noon.It" is a sentence's end.
-_SPOKEN_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9._%+-]++[ \t]+dot[ \t]+){{0,8}}[A-Za-z0-9._%+-]++[ \t]+at[ \t]+(?:{_LABEL}\.)+(?=(?-i:[a-z0-9-]+|[A-Z0-9-]+)(?![A-Za-z0-9-])){_TOP}(?![A-Za-z0-9-])", re.I)
-_SPOKEN_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|[ \t]+dot[ \t]+)[0-9]{1,3}){3}(?![0-9])", re.I)
+_TOP = re.compile(TOP, re.I)
+_ONE_CASE = re.compile("[a-z0-9-]+|[A-Z0-9-]+")
+#: "name at host dot com": signs and words are read from the "at" on to both sides, so any number of them costs linear
+#: time. The name is read backwards, in the reversed text.
+_SPOKEN_SIGN = re.compile(rf"[ \t]+{_AT}[ \t]+|[ \t]*@[ \t]*", re.I)
+_NAME = re.compile(rf"[A-Za-z0-9._%+-]++(?:[ \t]+{_either(w[::-1] for w in _said('dot'))}[ \t]+[A-Za-z0-9._%+-]++)*+", re.I)
+_HOST = re.compile(rf"{_LABEL}(?:(?:\.|[ \t]+{_DOT}[ \t]+){_LABEL})+", re.I)
+_HOST_SEP = re.compile(rf"\.|[ \t]+{_DOT}[ \t]+", re.I)
+_NAME_SEP = re.compile(rf"[ \t]+{_DOT}[ \t]+", re.I)
+_SPOKEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|[ \t]+{_DOT}[ \t]+)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[ \t]+@[ \t]+{_LABEL}(?:[ \t]*\.[ \t]*{_LABEL})+(?![A-Za-z0-9-])")
-_SPOKEN_TOKEN = re.compile(r"[ \t]+(at|dot)[ \t]+|[ \t]*(@)[ \t]*|[ \t]*(\.)[ \t]*", re.I)
-_WORDY = re.compile(rf"[\[({{<][ \t]*(?:at|dot|@|\.)[ \t]*[\])}}>]|[ \t]dot[ \t]|[ \t]at[ \t]+[A-Za-z0-9-]+\.[A-Za-z0-9]|[ \t]@[ \t]|\b(?:plus|{_NUMBER}){_SEP}{_TIMES}(?:{_NUMBER}|[0-9])|[0-9]{_SEP}{_TIMES}{_NUMBER}\b", re.I)
+_SPOKEN_TOKEN = re.compile(rf"[ \t]+({_AT}|{_DOT})[ \t]+|[ \t]*(@)[ \t]*|[ \t]*(\.)[ \t]*", re.I)
+_WORDY = re.compile(rf"[\[({{<][ \t]*(?:{_AT}|{_DOT}|@|\.)[ \t]*[\])}}>]|[ \t]{_DOT}[ \t]|[ \t]{_AT}[ \t]+[A-Za-z0-9-]+\.[A-Za-z0-9]|[ \t]@[ \t]|\b(?:{_PLUS}|{_NUMBER}){_SEP}{_TIMES}(?:{_NUMBER}|[0-9])|[0-9]{_SEP}{_TIMES}{_NUMBER}\b", re.I)
 
 
 class Mapped:
@@ -181,10 +204,10 @@ def spelled_digits(m: Mapped, dots: bool = False) -> tuple[bool, bool]:
         times, head, last = 1, None, None
         for t in tokens:
             word = t.group().lower()
-            if word in ("double", "triple"):
-                times, head = 2 if word == "double" else 3, t.start()
+            if word in _TIMES_OF:
+                times, head = _TIMES_OF[word], t.start()
                 continue
-            by = "+" if word == "plus" else _NUMBERS.get(word, word) * times
+            by = "+" if word in _PLUS_WORDS else _NUMBERS.get(word, word) * times
             start = t.start() if head is None else head
             times, head = 1, None
             if last is not None and last[2] != "+" and "." in text[last[1] : start]:
@@ -199,16 +222,60 @@ def spelled_digits(m: Mapped, dots: bool = False) -> tuple[bool, bool]:
 
 
 def boxed(m: Mapped) -> None:
-    m.rewrite([(f.start(), f.end(), {"at": "@", "dot": "."}.get(f.group(1).lower(), f.group(1))) for f in _BOXED.finditer(m.text)])
+    m.rewrite([(f.start(), f.end(), _SIGN.get(f.group(1).lower(), f.group(1))) for f in _BOXED.finditer(m.text)])
+
+
+def host_end(text: str, at: int, word: bool) -> int | None:
+    """Where the host of a spoken address that begins at `at` ends; None where there is none. Its last label is a top-level
+    domain, for "at" and "dot" are words too. With plain dots alone, "at" must be a word, and the last label in one
+    case, for "at noon.It" is a sentence's end."""
+    found = _HOST.match(text, at)
+    if not found:
+        return None
+    last, spoken = None, False
+    cuts = [*_HOST_SEP.finditer(text, at, found.end())]
+    for cut, following in zip(cuts, [*cuts[1:], None]):
+        spoken = spoken or cut.group() != "."
+        end = following.start() if following else found.end()
+        label = text[cut.end() : end]
+        # where more of the host follows after a plain dot, this is the middle of a name
+        whole = following is None or following.group() != "."
+        if whole and _TOP.fullmatch(label) and (spoken or (word and _ONE_CASE.fullmatch(label))):
+            last = end
+    return last
+
+
+def spoken_addresses(m: Mapped) -> None:
+    text = m.text
+    back, edits, done = None, [], 0
+    for sign in _SPOKEN_SIGN.finditer(text):
+        if sign.start() < done:
+            continue
+        end = host_end(text, sign.end(), sign.group().strip() != "@")
+        if end is None:
+            continue
+        back = text[::-1] if back is None else back
+        name = _NAME.match(back, len(text) - sign.start())
+        if name is None:
+            continue
+        start = len(text) - name.end()
+        if start < done:
+            continue
+        dots = [*_NAME_SEP.finditer(text, start, sign.start()), *(d for d in _HOST_SEP.finditer(text, sign.end(), end) if d.group() != ".")]
+        new = [(d.start(), d.end(), ".") for d in dots] + ([(sign.start(), sign.end(), "@")] if sign.group() != "@" else [])
+        edits += sorted(new)
+        done = end
+    m.rewrite(edits)
 
 
 def at_and_dot(m: Mapped) -> None:
-    for pattern in (_SPOKEN, _SPOKEN_AT, _SPACED, _SPOKEN_IP):
+    spoken_addresses(m)
+    for pattern in (_SPACED, _SPOKEN_IP):
         edits = []
         for f in pattern.finditer(m.text):
             for t in _SPOKEN_TOKEN.finditer(f.group()):
                 word = next(g for g in t.groups() if g).lower()
-                by = {"at": "@", "dot": "."}.get(word, word)
+                by = _SIGN.get(word, word)
                 if by != t.group():
                     edits.append((f.start() + t.start(), f.start() + t.end(), by))
         m.rewrite(edits)
