@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from weftable.llm import secret_scan as S
@@ -14,7 +15,7 @@ def model(spark):
 
 
 def brute(text):
-    return [(m.start(), m.end(), m.group()) for m in re.finditer(S.CANDIDATE, text or "")]
+    return [(m.start(), m.end(), m.group()) for m in regex.finditer(S.CANDIDATE, text or "")]
 
 
 def test_candidates(docs, texts, odd, empty):
@@ -114,3 +115,22 @@ def test_dictionary_coverage(spark):
     df = spark.createDataFrame([(n,) for n in names], "c string")
     share = S.features(F.col("c"), F.lit(""), F.lit(""))["dictionary"]
     assert all(r[0] > 0.8 for r in df.select(share).collect())
+
+
+def test_the_planted_secrets_of_documents(spark):
+    """Labels that the training has no part in: documents hold keys that a token is given, beside card and phone
+    numbers, addresses and hosts."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    planted = {(r["doc_id"], m.group(1)) for r in df.select("doc_id", "text").collect() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r["text"] or "")}
+    rows = S.scan(df).select("doc_id", "candidate", "is_secret").collect()
+    told = {(r["doc_id"], r["candidate"]) for r in rows if r["is_secret"]}
+    recall, precision = len(told & planted) / len(planted), len(told & planted) / max(1, len(told))
+    print(f"planted {len(planted)}, candidates {len(rows)}, recall {recall:.3f}, precision {precision:.3f}")
+    assert len(planted) > 100 and recall >= 0.98 and precision >= 0.9
+
+
+def test_values_without_a_digit(spark):
+    rows = [(1, 'password = "CorrectHorseBatteryStaple"'), (2, "token: qXzRtLmWvKpJhGfD"), (3, "pwd=Tr!bune$Harbor"), (4, "secret: ingredients of the soup"), (5, "no CorrectHorseBatteryStaple here")]
+    got = {r["doc_id"]: (r["candidate"], r["is_secret"]) for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("CorrectHorseBatteryStaple", True) and got[2] == ("qXzRtLmWvKpJhGfD", True) and got[3][0] == "Tr!bune$Harbor"
+    assert not got[4][1] and 5 not in got

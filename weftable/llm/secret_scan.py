@@ -1,7 +1,9 @@
 """Secret scanning with a random forest that removes false positives; DataFrame and SQL functions only.
 
 Candidates are runs of at least 12 key characters that hold a digit. "=" ends a name, so the value after it is a
-candidate of its own, of 6 characters at least; only as padding at the end of a value is it part of one. Each is described by its length, its
+candidate of its own, of 6 characters at least; only as padding at the end of a value is it part of one. Right behind a
+name of a secret and an assignment, any value of 8 characters is a candidate, without a digit too, and with the
+marks that passwords have: what stays is the forest's to say. Each is described by its length, its
 character transitions, how much of it dictionary words cover, whether it or its surroundings look like a path,
 and the words beside it; a random forest trained on labelled findings gives the chance that it is a secret.
 
@@ -27,7 +29,11 @@ SHORTEST, SHORTEST_VALUE = 12, 6
 _CHARS = r"A-Za-z0-9+/_.\-"
 #: Padding is at most two "=" that neither a value nor an opening quote follows.
 _PADDING = rf"(?:={{1,2}}(?![{_CHARS}=]|[\"'`][^\s,;:.)\]}}>]))?"
-CANDIDATE = rf"(?<![{_CHARS}])(?=[A-Za-z+/_.\-]*[0-9])(?:[{_CHARS}]{{{SHORTEST - 1},}}|(?<==)[{_CHARS}]{{{SHORTEST_VALUE - 1},}})[A-Za-z0-9+/_\-]{_PADDING}"
+#: The left side of a value that a name of a secret is given.
+_NAMED = r"(?<=(?i:passw(?:or)?d|passwort|passphrase|pwd|secret|token|api[_-]?key|contrasena|clave|motdepasse)[\"']?[ ]?[=:][ ]?[\"'`]?)"
+_GENERAL = rf"(?=[A-Za-z+/_.\-]*[0-9])(?:[{_CHARS}]{{{SHORTEST - 1},}}|(?<==)[{_CHARS}]{{{SHORTEST_VALUE - 1},}})[A-Za-z0-9+/_\-]"
+_PASSWORD = rf"{_NAMED}[{_CHARS}!@#$%^*]{{7,}}[A-Za-z0-9+/_\-!@#$%^*]"
+CANDIDATE = rf"(?<![{_CHARS}])(?:{_PASSWORD}|{_GENERAL}){_PADDING}"
 
 #: Kinds by shape, first match wins.
 KINDS = (
@@ -86,7 +92,7 @@ def features(c: Column, before: Column, after: Column) -> dict[str, Column]:
         "switches": (F.regexp_count(c, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")) - 1) / n,
         "hex_switches": F.regexp_count(c, F.lit("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]")) / n,
         "digits": share("[0-9]"), "uppers": share("[A-Z]"), "lowers": share("[a-z]"), "marks": share("[^A-Za-z0-9]"),
-        "variety": F.size(F.array_distinct(F.split(F.left(c, F.lit(64)), ""))) / F.least(n, F.lit(64.0)),
+        "variety": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(64.0)),
         "vowels": share("[aeiouAEIOU]"),
         "dictionary": 1 - F.length(F.regexp_replace(F.lower(c), _DICTIONARY, "")) / n,
         "slashes": share("/"), "dots": share("[.]"),
@@ -110,6 +116,8 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     plain = pick(3, "the ", "of ", "and ", "le ", "der ", "", "with ", "number ", "que ", "in ")
     word = pick(4, "report", "index", "main", "user", "config", "article", "image", "template", "server", "data")
     word2 = pick(5, "page", "view", "list", "model", "service", "table", "summary", "file", "archive", "client")
+    word3 = pick(32, "horse", "battery", "correct", "window", "garden", "silver", "orange", "winter")
+    named = pick(33, 'password = "', "secret: ", "token=", "passwd: '", 'api_key: "', "pwd=", "passphrase: ")
     length = "cast(20 + pmod(xxhash64(id, 6), 24) as int)"
     quote = f"case when right(before, 1) in ('\"', \"'\") then right(before, 1) else {pick(7, ' ', '', '.', ' and', chr(10))} end"
     part = pick(25, "", "", "img", "v", "p-", "item_")
@@ -124,6 +132,10 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (1, f"concat({pick(10, 'sk_live_', 'rk_live_', 'xoxb-', 'AIzaSy')}, regexp_replace(substr({b64.format('g')}, 1, 33), '[^A-Za-z0-9]', '4'))", bare),
         (1, f"regexp_replace(substr({b64.format('h')}, 1, {length}), '[^A-Za-z0-9]', 'Q3')", bare),
         (1, f"substr(translate({b64.format('w')}, '+/', 'k4'), 1, cast(6 + pmod(xxhash64(id, 23), 9) as int))", pick(24, "password=", "DB_PASSWORD=", "secret=", "&token=", "passwd=", "API_KEY=", "auth=")),
+        (1, f"substr(regexp_replace({b64.format('y')}, '[^A-Za-z]', ''), 1, cast(8 + pmod(xxhash64(id, 28), 16) as int))", named),
+        (1, f"concat(initcap({word}), initcap({word2}), initcap({word3}), {pick(29, '!', '', '#', '$1', '')})", named),
+        (0, f"{pick(30, 'required', 'something', 'optional', 'disabled', 'undefined', 'password', 'ingredients', 'management', 'authentication', 'unchanged')}", named),
+        (0, f"concat({word2}, {pick(31, '-', '_', '.', '/')}, {word3}, {word})", named),
         (0, f"substr(concat({part}, {digits.format('x')}), 1, cast(6 + pmod(xxhash64(id, 26), 5) as int))", pick(27, "page=", "width=", "&id=", "utm_source=", "?v=", "lang=", "date=", "color=", "ref=")),
         (0, f"substr({digits.format('i')}, 1, 16)", plain),
         (0, f"substr({digits.format('j')}, 1, cast(12 + pmod(xxhash64(id, 11), 8) as int))", pick(12, "card ", "phone: ", "order ", "", "invoice = ", "tel: +", "?id=", "&ref=")),
