@@ -123,3 +123,27 @@ def test_table_ids_are_dense(spark):
     df = spark.range(500).select((F.col("id") % 50).alias("k"), F.lit(0).alias("section_ord"), (F.col("id") / 50).cast("int").alias("table_ord"), F.lit(0).alias("sub_id"))
     got = R.with_table_ids(df, "k").orderBy("k", "table_ord").collect()
     assert [r["table_id"] for r in got] == list(range(5_000_001, 5_000_501))
+
+
+def test_established_arguments(spark, tmp_path):
+    assert cli.renamed(["-option", "crawl_table_articles", "-seed", "S", "-out", "O"]) == ["crawl", "--seed", "S", "--out", "O"]
+    assert cli.renamed(["extract", "--in", "I", "--out", "O"]) == ["extract", "--in", "I", "--out", "O"]
+    (tmp_path / "lines").write_text("A\t<html><title>A</title></html>\n")
+    cli.main(["-option", "parse_tables", "-in", str(tmp_path / "lines"), "-out", str(tmp_path / "out")])
+    assert spark.read.text(str(tmp_path / "out" / "articles")).count() == 1
+    with pytest.raises(SystemExit):
+        cli.main(["-option", "unknown"])
+
+
+def test_failed_requests_are_tried_again():
+    asked = []
+
+    def fetch(url):
+        asked.append(url)
+        if len(asked) < 3:
+            raise OSError("busy")
+        return "page"
+
+    assert crawler.fetched("A", fetch, tries=3, wait=0)[2:] == (True, "page", None) and len(asked) == 3
+    asked.clear()
+    assert crawler.fetched("A", fetch, tries=2, wait=0)[2:] == (False, None, "OSError: busy")

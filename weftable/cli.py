@@ -2,11 +2,15 @@
 
     spark-submit -m weftable.cli crawl --seed SEEDS --out DIR
     spark-submit -m weftable.cli extract --in LINES --out DIR [--mode corrected] [--ascii]
+
+The established spelling works too: -option crawl_table_articles -seed SEEDS -out DIR, and
+-option parse_tables -in LINES -out DIR; an unknown option is an error.
 """
 
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +21,28 @@ from weftable.sources import readers, writers
 from weftable.sources.crawler import crawl
 
 
+#: Established names of the sub-commands. Fixed values.
+OPTIONS = {"crawl_table_articles": "crawl", "parse_tables": "extract"}
+
+
+def renamed(argv: list[str]) -> list[str]:
+    """Arguments in the established spelling as those of the sub-commands; others as they are."""
+    if "-option" not in argv[:-1]:
+        return argv
+    at = argv.index("-option")
+    rest = [f"-{a}" if a in ("-seed", "-in", "-out") else a for a in argv[:at] + argv[at + 2 :]]
+    return [OPTIONS.get(argv[at + 1], argv[at + 1]), *rest]
+
+
 def main(argv: list[str] | None = None) -> None:
+    argv = renamed(sys.argv[1:] if argv is None else argv)
     p = argparse.ArgumentParser(prog="weftable")
     sub = p.add_subparsers(dest="what", required=True)
     a = sub.add_parser("crawl")
     a.add_argument("--seed", required=True)
     a.add_argument("--out", required=True)
     a.add_argument("--partitions", type=int, default=8)
+    a.add_argument("--tries", type=int, default=3)
     b = sub.add_parser("extract")
     b.add_argument("--in", dest="source", required=True)
     b.add_argument("--out", required=True)
@@ -32,7 +51,7 @@ def main(argv: list[str] | None = None) -> None:
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName("weftable").getOrCreate()
     if args.what == "crawl":
-        got = crawl(readers.seeds(spark, args.seed), partitions=args.partitions)
+        got = crawl(readers.seeds(spark, args.seed), partitions=args.partitions, tries=args.tries)
         got.write.mode("overwrite").parquet(f"{args.out}/fetched")
         got = spark.read.parquet(f"{args.out}/fetched")
         writers.write_crawl(got.filter("ok"), f"{args.out}/articles", html="body")

@@ -28,15 +28,20 @@ def url_of(entity: str, base: str = ARTICLE_URL) -> str:
     return base + quote_plus(entity.replace(" ", "_"), safe="*")
 
 
-def fetched(entity: str, fetch: Callable[[str], str], base: str = ARTICLE_URL) -> tuple:
-    url = url_of(entity, base)
-    try:
-        return entity, url, True, fetch(url), None
-    except Exception as e:  # any failure belongs to this entity alone
-        return entity, url, False, None, f"{type(e).__name__}: {e}"
-
-
-def crawl(seeds: DataFrame, fetch: Callable[[str], str] = http_fetch, partitions: int | None = None, pause: float = 0.0, base: str = ARTICLE_URL) -> DataFrame:
+def fetched(entity: str, fetch: Callable[[str], str], base: str = ARTICLE_URL, tries: int = 1, wait: float = 1.0) -> tuple:
+    """A failed request is tried again up to `tries` times in all, after `wait` seconds and twice as long each time."""
+    url, error = url_of(entity, base), None
+    for n in range(tries):
+        try:
+            return entity, url, True, fetch(url), None
+        except Exception as e:  # any failure belongs to this entity alone
+            error = f"{type(e).__name__}: {e}"
+            if n + 1 < tries:
+                time.sleep(wait * 2**n)
+    return entity, url, False, None, error
+
+
+def crawl(seeds: DataFrame, fetch: Callable[[str], str] = http_fetch, partitions: int | None = None, pause: float = 0.0, base: str = ARTICLE_URL, tries: int = 1, wait: float = 1.0) -> DataFrame:
     """Fetches each entity of `seeds`; `partitions` bounds how many requests run at once, `pause` spaces them."""
 
     def run(batches):
@@ -45,7 +50,7 @@ def crawl(seeds: DataFrame, fetch: Callable[[str], str] = http_fetch, partitions
         for pdf in batches:
             rows = []
             for entity in pdf["entity"]:
-                rows.append(fetched(entity, fetch, base))
+                rows.append(fetched(entity, fetch, base, tries, wait))
                 if pause:
                     time.sleep(pause)
             yield pd.DataFrame(rows, columns=["entity", "url", "ok", "body", "error"])
@@ -64,6 +69,7 @@ class _Reader(DataSourceReader):
         self.entities = [e for e in options.get("entities", "").split("\n") if e]
         self.base = options.get("base", ARTICLE_URL)
         self.parts = int(options.get("partitions", "4"))
+        self.tries = int(options.get("tries", "1"))
         self.fetch = fetch
 
     def partitions(self) -> list[_Slice]:
@@ -72,7 +78,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
         for e in partition.entities:
-            yield fetched(e, self.fetch, self.base)
+            yield fetched(e, self.fetch, self.base, self.tries)
 
 
 class ArticleSource(DataSource):
