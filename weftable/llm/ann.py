@@ -16,7 +16,7 @@ it a first k-th distance, then to those other cells that the stopping test does
 are visited in order of projected distance under the same test. A cell answers a query in one row. Equal vectors are one entry that keeps the k + 1
 smallest ids (with ties to smaller ids, others can't be in any answer), so a very common vector is one row.
 
-Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do
+Defined results: ids are integers; vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do
 those of another length than the most common one; null ids take no part; fewer candidates than k give all of
 them; rows that repeat an id are queries and candidates of their own; ties go to the smaller id, also
 where more than k vectors tie; an empty table gives an empty table.

@@ -6,7 +6,7 @@ SHINGLE words (the whole sequence if it has fewer). Two documents are linked if
 
 1. One pass over the texts: a 128-bit hash of the word sequence (documents equal in it are one class, whose
    smallest doc_id stands for it) and BANDS keys of ROWS minima each. A pair at the threshold shares no key with a
-   chance of (1 - 0.8 ** ROWS) ** BANDS, 4e-7; a more similar pair even less often.
+   chance of (1 - 0.8 ** ROWS) ** BANDS, 4e-7, if the family's minima were independent; a more similar pair even less often.
 2. In every bucket of two or more, a member drawn by a hash of the bucket leads. Pairs of leader and member are
    compared by 512 more minima; what may reach the threshold (est >= CUT, 4.5 standard deviations below it) is
    confirmed on the full sets. Components of these links follow.
@@ -16,7 +16,7 @@ SHINGLE words (the whole sequence if it has fewer). Two documents are linked if
    and the components taken again. So no bucket's pairs are all emitted, no bucket is collected by one task, and none of
    its pairs goes unseen. The work of this step grows with a bucket's members outside its largest component.
 
-Defined results: texts that are null or have no words have n_shingles 0 and are alone; a null doc_id takes no
+Defined results: doc_ids are integers; texts that are null or have no words have n_shingles 0 and are alone; a null doc_id takes no
 part (component_id null, kept true); rows that share a doc_id are each judged by their own text; ties of equal similarity are links
 alike; an empty table gives an empty table; other columns are ignored.
 """
