@@ -45,6 +45,10 @@ CACHE = 120_000
 PIECES = 1 << 16
 
 
+#: More than any rank.
+NONE = 1 << 62
+
+
 class RankQueue:
     """Positions in buckets by rank, under a bitmap of three levels; for ranks below `ranks`."""
 
@@ -94,12 +98,29 @@ class Merges:
         self.ranks = ranks
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.name = {i: str(i) for i in ranks.values()}
+        self.text = {b: self.name[i] for b, i in ranks.items()}
         self.byte = [ranks.get(bytes([b]), -1) for b in range(256)]
-        self.pair = [-1] * (1 << 16)  # of two bytes
+        self.one = [bytes([b]) for b in range(256)]
+        self.pair = [NONE] * (1 << 16)  # of two bytes
         for b, i in ranks.items():
             if len(b) == 2:
                 self.pair[b[0] << 8 | b[1]] = i
 
+    def scanned(self, piece: bytes) -> str:
+        """Ids of a short pre-token, joined by a space, by scanning for the lowest rank before each merge."""
+        get, pair = self.ranks.get, self.pair
+        tokens = list(map(self.one.__getitem__, piece))
+        rank = [pair[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        while rank and (low := min(rank)) != NONE:
+            i = rank.index(low)
+            del rank[i]
+            new = tokens[i] = tokens[i] + tokens.pop(i + 1)
+            if i < len(rank):
+                rank[i] = get(new + tokens[i + 1], NONE)
+            if i:
+                rank[i - 1] = get(tokens[i - 1] + new, NONE)
+        return " ".join(map(self.text.__getitem__, tokens))
+
     def ids(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each pre-token, by one run of the queue over all of them."""
         data = b"".join(pieces)
@@ -115,7 +136,7 @@ class Merges:
             was = p[0]
             for now in p[1:]:
                 r = pair[was << 8 | now]
-                if r >= 0:
+                if r != NONE:
                     key[i] = r
                     if not (bucket := buckets[r]):
                         mark(r)
@@ -160,25 +181,6 @@ class Merges:
         return out
 
 
-def scanned(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a short pre-token, by scanning for the lowest rank before each merge."""
-    none = 1 << 62
-    get = ranks.get
-    cut = list(range(len(piece) + 1))
-    pair = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
-    while pair:
-        low = min(pair)
-        if low == none:
-            break
-        i = pair.index(low)
-        del cut[i + 1], pair[i]
-        if i < len(pair):
-            pair[i] = get(piece[cut[i] : cut[i + 2]], none)
-        if i:
-            pair[i - 1] = get(piece[cut[i - 1] : cut[i + 1]], none)
-    return [ranks[piece[a:b]] for a, b in zip(cut, cut[1:])]
-
-
 class Codec:
     """Encoder and decoder of one rank file; one per worker process."""
 
@@ -208,7 +210,7 @@ class Codec:
         if missed := [i for i, x in enumerate(ids) if x is None]:
             new = {pieces[i] for i in missed}
             got = {p: self.old[p] for p in new if p in self.old}
-            got |= self.encoded(new - got.keys())
+            got |= self.encoded(new - got.keys())  # with their pre-tokens
             for i in missed:
                 ids[i] = got[pieces[i]]
             if len(young) >= CACHE:
@@ -218,18 +220,21 @@ class Codec:
 
     def encoded(self, parts: set[str]) -> dict[str, str]:
         """Ids of parts that no cache holds; those of their long pre-tokens that are no rank go through the queue together."""
-        out, cut, get, name = {}, {}, self.ranks.get, self.merges.name
+        out, cut, get, name, scanned = {}, {}, self.merges.text.get, self.merges.name, self.merges.scanned
         if self.plain:  # a part of ASCII letters is one pre-token
             cut = {p: self.pattern.findall(p) for p in parts if not (p.isascii() and (p.isalpha() or (p[0] == " " and p[1:].isalpha())))}
             parts = (parts - cut.keys()) | {x for xs in cut.values() for x in xs}
+            for known in (self.old, self.young):  # a pre-token may have been a part before
+                out |= {p: known[p] for p in parts & known.keys()}
+            parts -= out.keys()
         hard, whose = [], []
         for p in parts:
             b = p.encode()
-            r = get(b)
-            if r is not None:
-                out[p] = name[r]
+            known = get(b)
+            if known is not None:
+                out[p] = known
             elif len(b) <= SCAN:
-                out[p] = " ".join([name[i] for i in scanned(b, self.ranks)])
+                out[p] = scanned(b)
             else:
                 hard.append(b)
                 whose.append(p)
