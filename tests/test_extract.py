@@ -8,8 +8,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from weftable.operators import dom
 from weftable.operators.dom import parse, title
-from weftable.operators.extract import extract_article
+from weftable.operators.extract import PARTS, extract_article
 
 
 def cell(tag: str, spec: str) -> str:
@@ -192,3 +193,36 @@ def test_a_grid_without_spans_is_itself(columns, rows_, seed):
     (t,), _ = run("; ".join(["H " + ",".join(f"c{j}" for j in range(columns)), *("D " + ",".join(r) for r in data)]))
     assert [[v for _, _, v in r] for r in rows(t)] == data
     assert sum(n for _, d in dist(t) for _, n in d) == columns * rows_
+
+
+PIECES = st.sampled_from(["<table class=\"wikitable\">", "</table>", "<tr>", "</tr>", "<td>", "<TD colspan=\"2\">", "</td>", "<th rowspan=\"2\">", "</th>", "<a title=\"t\">", "</a>", "<p>", "</p>", "<br>", "<li>", "<section>", "<title>", "</title>", "x", " ", "a  b", "&amp;", "&lt", "\xa0", "é\n"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PIECES, max_size=30).map("".join))
+def test_plain_pages_have_the_same_tree(html):
+    """Tokens by one pattern against the standard library's."""
+    found = dom._plain(html)
+    other = dom._Builder()
+    other.feed(html)
+    other.close()
+    if found is not None:
+        seen = lambda b: [(e.tag, e.attrs, e.parent and e.parent.at, [c if isinstance(c, str) else c.at for c in e.children]) for e in b.order]
+        assert seen(found) == seen(other)
+
+
+def test_rendered_pages_are_plain():
+    assert dom._plain(article(rows_html("H A,B; D x{c=2},y"))) is not None
+
+
+@pytest.mark.parametrize("odd", ["<script>a<b</script>", "<!-- c -->", "a < b", "<b c=d>", "<br/>", "<title>a<b>c</title>", "<b c=\"&amp;\">", "x <", "no tag", "<title>"])
+def test_other_pages_are_not(odd):
+    assert dom._plain(odd) is None
+
+
+def test_parts_of_tables():
+    html = article(rows_html("H A,B; D 1,2; H E; D 3,4"))
+    (whole,) = extract_article(html)["sections"]
+    for part in PARTS:
+        (some,) = extract_article(html, parts=(part,))["sections"]
+        assert some["tables"] == [{k: None if k in PARTS and k != part else v for k, v in t.items()} for t in whole["tables"]]

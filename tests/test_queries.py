@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from weftable.plans import queries, render
 from weftable.plans.oracles import ORACLES
 from weftable.plans.queries import QUERIES
 
@@ -41,3 +42,21 @@ def test_query(spark, duck, name):
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize(("name", "part"), [("value_dist", "header")])
+def test_only_what_is_read_is_extracted(spark, monkeypatch, name, part):
+    asked = []
+    monkeypatch.setattr(queries, "extract", lambda *a, f=queries.extract, **k: asked.append(k.get("parts")) or f(*a, **k))
+    QUERIES[name](spark, str(DATA))
+    assert asked == [(part,)]
+
+
+def test_articles_are_spread(spark):
+    """Small as they are compressed, the pages stay in as many partitions as the session has for shuffles."""
+    rows = spark.range(64).selectExpr("id", "id div 4 as k")
+    found = render.gathered(rows, "k", ["id"], render.td(rows["id"]))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert n > 1 and found.rdd.getNumPartitions() == n
+    assert {r["k"]: r["rows"] for r in found.collect()} == {k: "".join(f"<td>{i}</td>" for i in range(4 * k, 4 * k + 4)) for k in range(16)}

@@ -13,7 +13,7 @@ from weftable.functions import features as X
 from weftable.functions import nested_json as J
 from weftable.functions import text as T
 from weftable.operators import relational as R
-from weftable.operators.extract import extract, page_links
+from weftable.operators.extract import PARTS, extract, page_links
 from weftable.plans import render as H
 from weftable.sources import readers, writers
 from weftable.sources.shared import scratch, shared_path, written
@@ -50,10 +50,10 @@ def page(*body: Column, heading: str = "Rows") -> Column:
     return H.article(F.concat(F.lit("Article "), F.col("article").cast("string")), H.section(heading, *body))
 
 
-def extracted(df: DataFrame, order: list[str], row: Column, *before: Column, mode: str = "reference") -> DataFrame:
+def extracted(df: DataFrame, order: list[str], row: Column, *before: Column, mode: str = "reference", parts: tuple[str, ...] = PARTS) -> DataFrame:
     """One article with one table for each value of the column article."""
     pages = H.gathered(df, "article", order, row)
-    return extract(pages.select("article", page(H.wikitable(*before, F.col("rows"))).alias("html")), mode=mode)
+    return extract(pages.select("article", page(H.wikitable(*before, F.col("rows"))).alias("html")), mode=mode, parts=parts)
 
 
 def customer_row() -> Column:
@@ -312,9 +312,10 @@ def captions_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- histograms, links, rows as maps -----------------------------------------------------------------------
 
 
-def order_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_articles(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
     """Articles of two tables, of even and of odd order keys; the first has a divider row before keys of a remainder of
-    2 by 4. The second column has a titled link in every third row, an untitled one in every third."""
+    2 by 4. The second column has a titled link in every third row, an untitled one in every third. parts: what is made of
+    the tables."""
     kind = F.pmod("o_orderkey", F.lit(3))
     shown = F.concat(F.lit("see "), F.col("o_orderstatus"))
     link = F.when(kind == 0, H.element("a", H.text(shown), title=F.col("o_orderpriority"))).when(kind == 1, H.element("a", H.text(shown))).otherwise(H.text(shown))
@@ -323,7 +324,7 @@ def order_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = H.gathered(orders(spark, sf_dir), "article", ["o_orderkey"], of(0), of(2), of(1, 3))
     top = head("Priority", "Link")
     first = H.wikitable(top, F.col("rows"), H.tr(H.th("Later", colspan=2)), F.col("rows1"))
-    return extract(pages.select("article", page(first, H.wikitable(top, F.col("rows2"))).alias("html")))
+    return extract(pages.select("article", page(first, H.wikitable(top, F.col("rows2"))).alias("html")), parts=parts or PARTS)
 
 
 WHERE = ("article", "table_ord", "sub_id")
@@ -331,7 +332,7 @@ WHERE = ("article", "table_ord", "sub_id")
 
 @query
 def value_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.histograms(R.tables(order_articles(spark, sf_dir), "article"), "article")
+    found = R.histograms(R.tables(order_articles(spark, sf_dir, "header"), "article"), "article")
     return found.filter("col_index = 0").select(*WHERE, "name", "value", "count")
 
 

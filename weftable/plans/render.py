@@ -51,7 +51,11 @@ def article(title: Column | str, *body: Column) -> Column:
 
 def gathered(df: DataFrame, key: str, order: list[str], html: Column, *more: Column) -> DataFrame:
     """(key, rows, rows1, ...): the HTML of a key's rows in order, one column for each html. Keys must be of bounded
-    size, as tables of an article are."""
+    size, as tables of an article are.
+
+    The rows are dealt by key before they are rendered, to as many partitions as the session has for shuffles: HTML is
+    long but compresses so well that Spark would join its partitions into about one a core, whose last one is waited for."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = F.array_sort(F.collect_list(F.struct(*order, *[h.alias(f"_html{i}") for i, h in enumerate((html, *more))])))
     joined = lambda i: F.array_join(F.transform(each, lambda x: x[f"_html{i}"]), "")
-    return df.groupBy(key).agg(*[joined(i).alias(f"rows{i or ''}") for i in range(1 + len(more))])
+    return df.repartition(n, key).groupBy(key).agg(*[joined(i).alias(f"rows{i or ''}") for i in range(1 + len(more))])
