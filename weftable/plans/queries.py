@@ -351,7 +351,7 @@ def value_dist_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cell_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.links(R.cells(R.tables(order_articles(spark, sf_dir), "article"), "article"), "article")
+    found = R.links(R.cells(R.tables(order_articles(spark, sf_dir, "rows"), "article"), "article"), "article")
     return found.groupBy(*WHERE, "structured", "anchor").agg(F.count("*").alias("n"))
 
 
