@@ -339,7 +339,7 @@ def value_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def value_dist_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histograms taken from cells: titles of cells with links, texts of the others."""
-    found = R.value_histogram(R.cells(R.tables(order_articles(spark, sf_dir), "article"), "article"), "article")
+    found = R.value_histogram(R.cells(R.tables(order_articles(spark, sf_dir, "rows"), "article"), "article"), "article")
     return found.select(*WHERE, "column", "value", "count")
 
 
