@@ -45,7 +45,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize(("name", "part"), [("value_dist", "header"), ("value_dist_links", "rows"), ("cell_links", "rows")])
+@pytest.mark.parametrize(("name", "part"), [("value_dist", "header"), ("value_dist_sorted", "header"), ("value_dist_links", "rows"), ("cell_links", "rows")])
 def test_only_what_is_read_is_extracted(spark, monkeypatch, name, part):
     asked = []
     monkeypatch.setattr(queries, "extract", lambda *a, f=queries.extract, **k: asked.append(k.get("parts")) or f(*a, **k))

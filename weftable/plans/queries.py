@@ -345,7 +345,7 @@ def value_dist_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def value_dist_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.histograms(R.tables(order_articles(spark, sf_dir), "article"), "article").filter("name = 'Priority'")
+    found = R.histograms(R.tables(order_articles(spark, sf_dir, "header"), "article"), "article").filter("name = 'Priority'")
     return R.sorted_domain(found, *WHERE).select(*WHERE, "value", "count", "rank")
 
 
