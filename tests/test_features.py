@@ -119,3 +119,28 @@ def test_segments_of_a_key_of_any_size(spark):
     assert plain.columns == spread.columns
     assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, spread.collect()), key=str)
     assert R.segments(df.limit(0), *args, spread=True).count() == 0
+
+
+STEPS = (('\\\\"', '"'), ('style="?(.*?)"', " "), ('(\\\\n)|(class="?wikitable"?)|(colspan=(.*?))|(rowspan=(.*?))|\\|+', " "), ("<ref(\\s?name=(.*?))?>(.*?)</ref>", " "), ("</?span\\s*>", ""), ('(bgcolor="(.*?)")|(align="(.*?)")', " "), ("\\]+|\\[+|\"+|'+|!+|\\}+|\\{+|\\n+|\\++", " "), ("^\\s+", ""), ("\\s+$", ""))
+
+
+def test_clean_markup_is_its_plain_substitutions(spark):
+    """Random markup through the substitutions as the established ones are written."""
+    parts = ["a", " ", "\n", "\t", "\\n", '\\"', '"', "style=", 'style="x"', "class=wikitable", 'class="wikitable"', "colspan=", "rowspan=2", "|", "||", "<ref>", "<ref name=q>", "</ref>", "</span >", "<span>", 'bgcolor="r"', 'align="', "[[", "]", "!", "!!", "}", "{", "{{", "''", "++", "é", "[{"]
+    r = random.Random(7)
+    texts = ["".join(r.choices(parts, k=r.randrange(40))) for _ in range(400)]
+    plain = F.col("x")
+    for pattern, by in STEPS:
+        plain = F.regexp_replace(plain, pattern, by)
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    assert all(row["a"] == row["b"] for row in df.select(T.clean_markup("x").alias("a"), plain.alias("b")).collect())
+
+
+def test_profiles_are_made_of_headers_alone(spark):
+    """No text meets a header, and the features are those of tables that have the header themselves."""
+    dist = "array<struct<value:string,count:int>>"
+    headers = spark.createDataFrame([(1, [([("A", [("x", 2), ("1", 1)]), ("B", [("?", 1)])],)]), (2, [([("A", [])],)])], f"article int, header array<struct<columns:array<struct<name:string,value_dist:{dist}>>>>")
+    docs = spark.createDataFrame([(10, 1), (11, 1), (12, 2), (13, 3), (14, None)], "doc_id int, article int").selectExpr("*", "'c' as table_caption", "'<p>a b' as table_html", "'| a !! b' as table_markup", "array('a') as columns")
+    want = X.table_features(docs.join(headers, "article", "left"), "doc_id")
+    found = X.table_features(docs, "doc_id").unionByName(X.profile_features(docs, headers, "article", "doc_id"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))

@@ -33,7 +33,7 @@ def markup_lines(df: DataFrame, markup: str, *keep: str, bins: int = BINS, decod
 
 def tokens(line: Column) -> Column:
     """Cell delimiters to tabs, stripped, split; tokens themselves are not trimmed."""
-    return F.split(T.strip(F.regexp_replace(line, "!+|\\|+|-", "\t")), "\t")
+    return F.split(T.strip(F.regexp_replace(line, "(?=[-!|])(?:!+|\\|+|-)", "\t")), "\t")
 
 
 def skipped_line(line: Column) -> Column:
@@ -190,10 +190,12 @@ def class_profile(leaf: Column, bins: int = BINS) -> Column:
 
 def table_features(df: DataFrame, key: str = "table_id", bins: int = BINS, decode: bool = False) -> DataFrame:
     """All features of tables, long form. df: a row per table with key, table_caption, table_html, table_markup,
-    columns, header. Every feature is made within its row: one pass, no shuffle."""
+    columns, header. Every feature is made within its row: one pass, no shuffle. Without a column header, those of the
+    columns' values are left out; profile_features() makes them of headers that lie elsewhere."""
     df = df.withColumn("_plain", T.string_escape(F.col("table_markup")) if decode else F.col("table_markup"))
     covered = coverage(F.col("_plain"), F.col("table_caption"), F.col("columns"), bins=bins)
-    df = df.select(key, "table_markup", "columns", "header", covered.alias("_coverage"), T.strip_tags("table_html").alias("_html"), T.clean_markup("table_markup", decode).alias("_markup"))
+    own = ["header"] if "header" in df.columns else []
+    df = df.select(key, "table_markup", "columns", *own, covered.alias("_coverage"), T.strip_tags("table_html").alias("_html"), T.clean_markup("table_markup", decode).alias("_markup"))
     one, none = F.lit(1), F.lit(0)
     names = F.transform("_coverage", lambda c: feature_name(c["bucket"], F.when(c["known"], one).otherwise(none), F.when(c["known"], none).otherwise(one), bins))
     pair = lambda name, value: F.struct(F.lit(name).alias("feature"), value.alias("value"))
@@ -206,11 +208,19 @@ def table_features(df: DataFrame, key: str = "table_id", bins: int = BINS, decod
     )
     some = lambda c: F.coalesce(c, F.array().cast("array<struct<feature:string,value:double>>"))
     buckets = F.transform(run_counts(names), lambda r: F.struct(r["item"].alias("feature"), r["n"].cast("double").alias("value")))
-    profile = class_profile(leaf_columns(F.col("header")), bins)
-    found = df.select(key, F.explode_outer(F.concat(some(buckets), scalars, some(profile))).alias("f")).select(key, "f.feature", "f.value")
+    profile = [some(class_profile(leaf_columns(F.col("header")), bins))] if own else []
+    found = df.select(key, F.explode_outer(F.concat(some(buckets), scalars, *profile)).alias("f")).select(key, "f.feature", "f.value")
     return found.filter("feature <> 'kl' or value is not null")
 
 
+def profile_features(keys: DataFrame, headers: DataFrame, on: str, key: str = "table_id", bins: int = BINS) -> DataFrame:
+    """The features that table_features() makes of a header, for tables whose header is another table's: keys has key
+    and on, headers on and header. A profile is made once for each header, and no text is shuffled to it."""
+    profiles = headers.select(on, class_profile(leaf_columns(F.col("header")), bins).alias("_profile"))
+    found = keys.select(key, on).join(profiles, on).select(key, F.explode("_profile").alias("f"))
+    return found.select(key, "f.feature", "f.value")
+
+
 def feature_map(long: DataFrame, key: str = "table_id") -> DataFrame:
     """One map of features per table (its number of features is bounded by its bins and scalars)."""
     return long.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("features"))

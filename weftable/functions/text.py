@@ -20,7 +20,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """All white space off both ends, not only spaces."""
-    return F.regexp_replace(F.regexp_replace(_col(c), "^\\s+", ""), "\\s+$", "")
+    return F.btrim(_col(c), F.lit(" \t\n\x0b\f\r"))
 
 
 def strip_comments(html: Column | str) -> Column:
@@ -94,15 +94,16 @@ def unicode_escape(s: pd.Series) -> pd.Series:
     return s.map(_unicode_escape, na_action="ignore")
 
 
-#: Substitutions of clean_markup() in order.
+#: Substitutions of clean_markup() in order. Each begins with one set of characters, which most of a text isn't in; a
+#: lazy group at the end of an alternative takes nothing and is left out.
 MARKUP_STEPS = (
     ('\\\\"', '"'),
     ('style="?(.*?)"', " "),
-    ('(\\\\n)|(class="?wikitable"?)|(colspan=(.*?))|(rowspan=(.*?))|\\|+', " "),
-    ("<ref(\\s?name=(.*?))?>(.*?)</ref>", " "),
+    ('(?=[\\\\cr|])(?:\\\\n|class="?wikitable"?|colspan=|rowspan=|\\|+)', " "),
+    ("<ref(?:\\s?name=(?:.*?))?>(?:.*?)</ref>", " "),
     ("</?span\\s*>", ""),
-    ('(bgcolor="(.*?)")|(align="(.*?)")', " "),
-    ("\\]+|\\[+|\"+|'+|!+|\\}+|\\{+|\\n+|\\++", " "),
+    ('(?=[ab])(?:bgcolor|align)="(?:.*?)"', " "),
+    ("([\\]\\[\"'!}{\\n+])\\1*", " "),
 )
 
 

@@ -566,9 +566,9 @@ def feature_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of documents' texts under the headers of extracted tables; some tables have one more column name."""
     mixed = H.td(F.when(F.pmod("c_custkey", F.lit(3)) == 0, F.col("c_nationkey").cast("string")).otherwise(F.col("c_mktsegment")))
     row = H.tr(H.td(F.col("c_custkey")), H.td(F.col("c_name")), mixed)
-    headers = R.tables(extracted(customers(spark, sf_dir), ["c_custkey"], row, head("Key", "Name", "Mixed")), "article").select("article", "header")
+    headers = R.tables(extracted(customers(spark, sf_dir), ["c_custkey"], row, head("Key", "Name", "Mixed"), parts=("header",)), "article").select("article", "header")
     docs = documents(spark, sf_dir).withColumns({"article": F.expr("doc_id div 40"), "columns": F.expr("if(doc_id % 3 = 0, concat(columns, array('no such token')), columns)")})
-    found = X.table_features(docs.join(headers, "article", "left"), "doc_id")
+    found = X.table_features(docs, "doc_id").unionByName(X.profile_features(docs, headers, "article", "doc_id"))
     return found.select("doc_id", "feature", F.round("value", 6).alias("value"))
 
 
