@@ -144,3 +144,22 @@ def test_profiles_are_made_of_headers_alone(spark):
     want = X.table_features(docs.join(headers, "article", "left"), "doc_id")
     found = X.table_features(docs, "doc_id").unionByName(X.profile_features(docs, headers, "article", "doc_id"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_escapes_as_python_decodes_them(spark):
+    parts = ["a", "é", "\n", "\\", "\\\\", "\\'", '\\"', "\\a\\b\\f\\n\\r\\t\\v", "\\\n", "\\0", "\\7", "\\101", "\\18", "\\x41", "\\x4", "\\xzz", "\\x7f", "\\q", "\\8", "\u2028"]
+    rare = ["\\xc3\\xa9", "\\xe9", "\\303\\251", "\\377", "\\400", "\\u00e9", "\\ud83d\\ude00", "\\ud83d", "\\U0001f600", "\\u12"]
+    r = random.Random(3)
+    texts = [None, "", *["".join(r.choices(parts if i % 2 else parts + rare, k=r.randrange(12))) for i in range(600)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    for mine, plain in ((T.string_escape, T._string_escape), (T.unicode_escape, T._unicode_escape)):
+        found = {row["i"]: row["y"] for row in df.select("i", mine("x").alias("y")).collect()}
+        assert found == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize(("decode", "rare"), [("string_escape", "\\xe9")])
+def test_only_rare_escapes_reach_python(spark, decode, rare):
+    """The Python worker of a text without them gets a null."""
+    df = spark.createDataFrame([("a\\nb",), ("c",), (rare,)], "x string")
+    plan = df.select(getattr(T, decode)("x").alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "CASE WHEN RLIKE(x" in plan.split("ArrowEvalPython")[1]

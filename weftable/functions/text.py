@@ -1,14 +1,14 @@
-"""Text primitives on HTML and wiki markup, as Catalyst expressions; the escape decoders are Arrow UDFs."""
+"""Text primitives on HTML and wiki markup, as Catalyst expressions; only rare escapes are decoded by Arrow UDFs."""
 
 from __future__ import annotations
 
 import codecs
 import re
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 ARTICLE_URL = "https://en.wikipedia.org/api/rest_v1/page/html/"
@@ -82,16 +82,58 @@ def _decoded(m: re.Match) -> str:
         return m.group()
 
 
-@pandas_udf(StringType())
-def string_escape(s: pd.Series) -> pd.Series:
-    """Byte escapes (\\n, \\x41, octal) to their bytes."""
-    return s.map(_string_escape, na_action="ignore")
+#: Texts that Python decodes at once.
+_SLICE = 64
 
 
-@pandas_udf(StringType())
-def unicode_escape(s: pd.Series) -> pd.Series:
+def _mapped(fn: Callable[[str], str], texts: pa.Array) -> pa.Array:
+    made = [pa.array([None if s is None else fn(s) for s in texts.slice(i, _SLICE).to_pylist()], pa.string()) for i in range(0, len(texts), _SLICE)]
+    return pa.concat_arrays(made) if made else pa.array([], pa.string())
+
+
+@F.arrow_udf(StringType())
+def _all_byte_escapes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield _mapped(_string_escape, texts)
+
+
+@F.arrow_udf(StringType())
+def _all_character_escapes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield _mapped(_unicode_escape, texts)
+
+
+#: An escape of one character below 256, a run without backslashes, or a backslash that begins no escape.
+_PIECE = "\\\\(?:[\\\\'\"abfnrtv\n]|[0-7]{1,3}|x[0-9a-fA-F]{2})|[^\\\\]+|\\\\"
+
+
+def _short_escapes(c: Column) -> Column:
+    """Escapes of characters below 256 decoded within the JVM."""
+
+    def decoded(p: Column) -> Column:
+        kind = F.substr(p, F.lit(2), F.lit(1))
+        number = lambda at, base: F.char(F.conv(F.substr(p, F.lit(at)), base, 10).cast("bigint"))
+        plain = ~p.startswith("\\") | (F.length(p) == 1)
+        one = F.translate(kind, "abfnrtv\n", "\x07\b\f\n\r\t\x0b")  # an escaped line feed is nothing
+        return F.when(plain, p).when(kind == "x", number(3, 16)).when(kind.between("0", "7"), number(2, 8)).otherwise(one)
+
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0)), decoded), "")
+
+
+def _unescaped(c: Column, rare: str, udf: Callable[[Column], Column]) -> Column:
+    """Texts with an escape that looks like `rare` go to Python whole, all others stay in the JVM."""
+    there = c.rlike(rare)
+    return F.when(there, udf(F.when(there, c))).when(F.contains(c, F.lit("\\")), _short_escapes(c)).otherwise(c)
+
+
+def string_escape(c: Column | str) -> Column:
+    """Byte escapes (\\n, \\x41, octal) to their bytes; bytes beyond ASCII make characters in Python."""
+    return _unescaped(_col(c), "\\\\(?:x[89a-fA-F][0-9a-fA-F]|[2-7][0-7]{2})", _all_byte_escapes)
+
+
+def unicode_escape(c: Column | str) -> Column:
     """Character escapes (\\n, \\u0041) to their characters."""
-    return s.map(_unicode_escape, na_action="ignore")
+    return _all_character_escapes(_col(c))
 
 
 #: Substitutions of clean_markup() in order. Each begins with one set of characters, which most of a text isn't in; a
