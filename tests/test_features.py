@@ -157,7 +157,7 @@ def test_escapes_as_python_decodes_them(spark):
         assert found == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize(("decode", "rare"), [("string_escape", "\\xe9")])
+@pytest.mark.parametrize(("decode", "rare"), [("string_escape", "\\xe9"), ("unicode_escape", "\\u0100")])
 def test_only_rare_escapes_reach_python(spark, decode, rare):
     """The Python worker of a text without them gets a null."""
     df = spark.createDataFrame([("a\\nb",), ("c",), (rare,)], "x string")

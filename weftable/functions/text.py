@@ -132,8 +132,8 @@ def string_escape(c: Column | str) -> Column:
 
 
 def unicode_escape(c: Column | str) -> Column:
-    """Character escapes (\\n, \\u0041) to their characters."""
-    return _all_character_escapes(_col(c))
+    """Character escapes (\\n, \\u0041) to their characters; those beyond 255 in Python."""
+    return _unescaped(_col(c), "\\\\(?:[uU]|[4-7][0-7]{2})", _all_character_escapes)
 
 
 #: Substitutions of clean_markup() in order. Each begins with one set of characters, which most of a text isn't in; a
