@@ -226,3 +226,9 @@ def test_parts_of_tables():
     for part in PARTS:
         (some,) = extract_article(html, parts=(part,))["sections"]
         assert some["tables"] == [{k: None if k in PARTS and k != part else v for k, v in t.items()} for t in whole["tables"]]
+
+
+@pytest.mark.parametrize(("markup", "text"), [("&quot;a&quot; &amp; b", '"a" & b'), ("cut off&amp", "cut off&"), ("cut off&am", "cut off&am")])
+def test_titles_have_all_references_decoded(markup, text):
+    """As the established parser does; the SQL of html_title knows only "&amp;"."""
+    assert title(parse(f"<title>{markup}</title>")) == text
